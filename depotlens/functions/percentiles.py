@@ -11,58 +11,65 @@ many requests it holds: a hot group never has to be sorted in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Measures = Mapping[str, tuple[Column, str]]
 
-def nearest_rank(value: str, p: int) -> Column:
-    """Aggregate; 0 for an empty group.  Partial maps of value counts are merged."""
-    found = F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})")
-    return F.coalesce(found, F.lit(0)).cast("bigint")
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def pick_from_counts(counts: Column, total: Column, p: int) -> Column:
-    """Floor-index percentile from a value-sorted array of (v, n) pairs."""
-    rank = F.least(F.expr("bigint(0)") + F.floor(total * p / 100), total - 1)
+def value_counts(df: DataFrame, value: str, by: Sequence[str], measures: Measures = {}) -> DataFrame:
+    """One row per (group, value) with its count ``n`` and mergeable measures.
+
+    A measure is an aggregate and the way its pieces merge: sum, min or max.
+    Only fixed-width buffers here, so this is a map-side hash aggregation.
+    """
+    return df.groupBy(*by, F.col(value).cast("bigint").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, (c, _) in measures.items()]
+    )
+
+
+def count_profile(measures: Measures = {}) -> list[Column]:
+    """Aggregates over :func:`value_counts` rows: sorted counts, sizes, merged measures."""
+    known = F.col("v").isNotNull()
+    return [
+        F.array_sort(F.collect_list(F.when(known, F.struct("v", "n")))).alias("counts"),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n_values"),
+        F.coalesce(F.sum(F.col("v") * F.col("n")), F.lit(0)).alias("sum_values"),
+        F.sum("n").alias("n_rows"),
+        *[_MERGE[how](name).alias(name) for name, (_, how) in measures.items()],
+    ]
+
+
+def _value_at(index: Column) -> Column:
+    """Value at a zero-based index of the sorted values; 0 for an empty group."""
     found = F.aggregate(
-        counts,
+        "counts",
         F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("hit")),
         lambda acc, pair: F.struct(
             (acc["seen"] + pair["n"]).alias("seen"),
-            F.when(
-                acc["hit"].isNull() & (acc["seen"] + pair["n"] > rank), pair["v"]
-            ).otherwise(acc["hit"]).alias("hit"),
+            F.when(acc["hit"].isNull() & (acc["seen"] + pair["n"] > index), pair["v"])
+            .otherwise(acc["hit"]).alias("hit"),
         ),
         lambda acc: acc["hit"],
     )
     return F.coalesce(found, F.lit(0).cast("bigint"))
 
 
-def floor_index_table(
-    df: DataFrame, value: str, by: Sequence[str], ps: Iterable[int], extra: Sequence[Column] = ()
-) -> DataFrame:
-    """Floor-index percentiles per group, next to additive aggregates of the same rows.
+def nearest_rank(p: int) -> Column:
+    """Of a profile row.  Whole-number arithmetic, so no rank is lost to rounding."""
+    return _value_at(F.expr(f"(n_values * {p} + 99) div 100 - 1"))
 
-    Rows shrink to one per (group, value) before the shuffle.  ``extra`` are
-    aggregates that may be summed over those pieces (counts, conditional counts).
-    """
-    names = [f"p{p}" for p in ps]
-    pieces = df.groupBy(*by, F.col(value).cast("bigint").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), *extra
-    )
-    summed = [c for c in pieces.columns if c not in (*by, "v", "n")]
-    grouped = pieces.groupBy(*by).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "n")))
-        ).alias("counts"),
-        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
-        *[F.sum(c).alias(c) for c in summed],
-    )
-    return grouped.select(
-        *by,
-        F.col("n_values"),
-        *summed,
-        *[pick_from_counts(F.col("counts"), F.col("n_values"), p).alias(n) for p, n in zip(ps, names)],
-    )
+
+def floor_index(p: int) -> Column:
+    return _value_at(F.expr(f"least(n_values * {p} div 100, n_values - 1)"))
+
+
+def profile(
+    df: DataFrame, value: str, by: Sequence[str], measures: Measures = {}
+) -> DataFrame:
+    """Profile per group, ready for :func:`nearest_rank` and :func:`floor_index`."""
+    return value_counts(df, value, by, measures).groupBy(*by).agg(*count_profile(measures))

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,7 +62,8 @@ def ship_batch(
         *keys, F.coalesce("quantity", F.lit(0).cast("bigint")).alias("quantity")
     )
     decided = _ship_hot(hot_stock, hot_rows_df, keys, order, n_hot, partitions)
-    return _ship_streamed(stock, cold_rows, keys, order).unionByName(decided)
+    both = _ship_streamed(stock, cold_rows, keys, order).unionByName(decided)
+    return both.select(*requests.columns, "accepted", "stock_after")
 
 
 def _ship_streamed(stock: DataFrame, requests: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -136,12 +137,17 @@ def _ship_hot(
     running sum.  A request of ``half`` or more that fits takes the stock below
     ``half``.  So each round is one running sum, cut at its first row that takes
     the stock below ``half``, and the number of rounds is at most the bit length
-    of the largest stock.  Only the per-key state moves between rounds.
+    of the largest stock.
+
+    A round adds up each chunk where it lies; only chunks that may hold the cut
+    are sorted.  Between rounds only the state of each key moves.
     """
     placed = ordered_positions(requests, [*keys, *order], partitions)
+    slim = placed.select(*keys, "position", "chunk", "quantity")
     end = F.lit((1 << 63) - 1)
 
     def small(frame: DataFrame) -> DataFrame:
+        # Rows: at most one per hot key and one more per chunk.
         return F.broadcast(frame) if n_keys <= BROADCAST_KEYS else frame
 
     state = cut_lineage(stock.select(
@@ -149,25 +155,11 @@ def _ship_hot(
     ).filter(F.col("left") > 0))
     rounds: list[DataFrame] = []
     while not state.isEmpty():
-        live_state = state.withColumn(
-            "half", F.expr("shiftleft(1L, length(bin(left)) - 1)")
-        )
-        live = placed.select(*keys, "position", "chunk", "quantity").join(
-            small(live_state), keys
-        ).filter(
+        live_state = state.withColumn("half", F.expr("shiftleft(1L, length(bin(left)) - 1)"))
+        live = slim.join(small(live_state), keys).filter(
             (F.col("position") > F.col("from_position")) & F.col("quantity").between(1, F.col("left"))
         )
-        fits_freely = F.col("quantity") < F.col("half")
-        summed = chunked_running_sum(
-            live, keys, F.when(fits_freely, F.col("quantity")).otherwise(F.lit(0)), "spent"
-        )
-        now = F.col("left") - F.col("spent")
-        ends_round = F.when(fits_freely, now - F.col("quantity") < F.col("half")).otherwise(
-            F.col("quantity") <= now
-        )
-        cut = summed.filter(ends_round).groupBy(*keys).agg(
-            F.min(F.struct("position", (now - F.col("quantity")).alias("left"))).alias("cut")
-        )
+        cut = _first_cut(live, keys, small)
         step = cut_lineage(live_state.join(small(cut), keys, "left"))
         rounds.append(step.select(
             *keys, "from_position", "half",
@@ -206,6 +198,44 @@ def _ship_hot(
     ).select(*requests.columns, "accepted", "stock_after")
 
 
+def _first_cut(live: DataFrame, keys: list[str], small) -> DataFrame:
+    """Per key the first position that takes the stock below ``half``, and the stock left there."""
+    quantity, half = F.col("quantity"), F.col("half")
+    freely = quantity < half
+    chunks = live.groupBy(*keys, "chunk", "left", "half").agg(
+        F.coalesce(F.sum(F.when(freely, quantity)), F.lit(0)).alias("sum_free"),
+        F.min(F.when(~freely, quantity)).alias("least_large"),
+    )
+    of_key = Window.partitionBy(*keys)
+    earlier = of_key.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    at_start = F.col("left") - F.coalesce(F.sum("sum_free").over(earlier), F.lit(0))
+    at_end = F.col("at_start") - F.col("sum_free")
+    crosses = at_end < half
+    # Figures after the true cut are off, but the first chunk that must hold a
+    # cut is never before it, and the chunk of the true cut is always a "may".
+    judged = chunks.withColumn("at_start", at_start).select(
+        *keys, "chunk", "at_start",
+        (crosses | F.coalesce(F.col("least_large") <= F.col("at_start"), F.lit(False))).alias("may"),
+        F.min(F.when(
+            crosses | F.coalesce(F.col("least_large") <= at_end, F.lit(False)), F.col("chunk")
+        )).over(of_key).alias("must_chunk"),
+    )
+    suspects = judged.filter(
+        F.col("may") & (F.col("must_chunk").isNull() | (F.col("chunk") <= F.col("must_chunk")))
+    ).select(*keys, "chunk", "at_start")
+    inside = Window.partitionBy(*keys, "chunk").orderBy("position").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    now = F.col("at_start") - F.coalesce(
+        F.sum(F.when(freely, quantity).otherwise(0)).over(inside), F.lit(0)
+    )
+    walked = live.join(small(suspects), [*keys, "chunk"]).withColumn("now", now)
+    below = F.when(freely, F.col("now") - quantity < half).otherwise(quantity <= F.col("now"))
+    return walked.filter(below).groupBy(*keys).agg(
+        F.min(F.struct("position", (F.col("now") - quantity).alias("left"))).alias("cut")
+    )
+
+
 def ship_responses(decided: DataFrame) -> DataFrame:
     """Answer of each request: new quantity, or the shortage with its message."""
     short = ~F.col("accepted")
@@ -255,8 +285,6 @@ def running_balance(movements: DataFrame, by: Sequence[str] = ("warehouse_id",),
     Movements are added up per period first; a group then holds one row per
     period of the calendar, whatever the number of movements.
     """
-    from pyspark.sql import Window
-
     period = F.date_format(F.date_trunc(unit, "ts"), "yyyy-MM-dd").alias("period")
     per = movements.groupBy(*by, period).agg(F.sum("signed_quantity").alias("net"))
     upto = Window.partitionBy(*by).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)

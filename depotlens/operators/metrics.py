@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.percentiles import floor_index_table, nearest_rank
+from depotlens.functions.percentiles import (
+    count_profile, floor_index, nearest_rank, profile, value_counts,
+)
 from depotlens.functions.scalar import (
-    iso_instant, mean_rounded, percent, percent_fixed1, percent_whole,
+    iso_instant, mean_rounded, percent, percent_fixed1, percent_whole, round_half_up,
 )
 
 
@@ -30,35 +32,60 @@ def count_columns() -> list[Column]:
     ]
 
 
-def latency_columns() -> list[Column]:
+def _only(status: str) -> Column:
+    return F.when(F.col("status") == status, F.col("latency_ms"))
+
+
+# Measures of a request log that can be merged from pieces.
+def _measures() -> dict:
+    return {
+        "success_count": (_n("success"), "sum"),
+        "throttle_count": (_n("throttled"), "sum"),
+        "error_count": (_n("error"), "sum"),
+        "success_sum": (F.sum(_only("success")), "sum"),
+        "success_n": (F.count(_only("success")), "sum"),
+        "throttled_sum": (F.sum(_only("throttled")), "sum"),
+        "throttled_n": (F.count(_only("throttled")), "sum"),
+        "first_ts": (F.min("ts"), "min"),
+    }
+
+
+def _mean(total: str, n: str) -> Column:
+    mean = F.col(total).cast("double") / F.nullif(F.col(n), F.lit(0).cast("bigint"))
+    return F.coalesce(round_half_up(mean), F.lit(0).cast("bigint"))
+
+
+def _summary_columns() -> list[Column]:
     return [
-        mean_rounded(F.col("latency_ms")).alias("avg_latency_ms"),
-        *[nearest_rank("latency_ms", p).alias(f"p{p}_latency_ms") for p in (50, 95, 99)],
+        F.col("n_rows").alias("total_requests"), "success_count", "throttle_count", "error_count",
+        _mean("sum_values", "n_values").alias("avg_latency_ms"),
+        *[nearest_rank(p).alias(f"p{p}_latency_ms") for p in (50, 95, 99)],
     ]
 
 
+def _throttle_rate() -> Column:
+    return percent(F.col("throttle_count"), F.col("n_rows")).alias("throttle_rate")
+
+
 def status_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(*count_columns())
 
 
 def mean_latency(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rounded mean over all, successful and throttled requests; 0 where there are none."""
-    def only(status: str) -> Column:
-        return F.when(F.col("status") == status, F.col("latency_ms"))
-
     return df.groupBy(*by).agg(
         mean_rounded(F.col("latency_ms")).alias("avg_latency_ms"),
-        mean_rounded(only("success")).alias("success_avg_latency_ms"),
-        mean_rounded(only("throttled")).alias("throttled_avg_latency_ms"),
+        mean_rounded(_only("success")).alias("success_avg_latency_ms"),
+        mean_rounded(_only("throttled")).alias("throttled_avg_latency_ms"),
     )
 
 
 def nearest_rank_percentiles(df: DataFrame, by: Sequence[str], value: str = "latency_ms") -> DataFrame:
-    return df.groupBy(*by).agg(*[nearest_rank(value, p).alias(f"p{p}") for p in (50, 95, 99)])
+    return profile(df, value, by).select(*by, *[nearest_rank(p).alias(f"p{p}") for p in (50, 95, 99)])
 
 
 def floor_index_percentiles(df: DataFrame, by: Sequence[str], value: str = "latency_ms") -> DataFrame:
-    return floor_index_table(df, value, by, (50, 95, 99)).drop("n_values")
+    return profile(df, value, by).select(*by, *[floor_index(p).alias(f"p{p}") for p in (50, 95, 99)])
 
 
 def rates(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -76,35 +103,38 @@ def rates(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def round_summary(df: DataFrame) -> DataFrame:
-    grouped = df.groupBy("run_id", "round").agg(
-        F.min("ts").alias("first_ts"), *count_columns(), *latency_columns()
+    table = profile(df, "latency_ms", ["run_id", "round"], _measures())
+    return table.select(
+        "run_id", "round", iso_instant(F.col("first_ts")).alias("started_at"),
+        *_summary_columns(), _throttle_rate(),
     )
-    return grouped.withColumn(
-        "throttle_rate", percent(F.col("throttle_count"), F.col("total_requests"))
-    ).withColumn("started_at", iso_instant(F.col("first_ts"))).drop("first_ts")
 
 
 def run_summary(df: DataFrame) -> DataFrame:
     """Per run from its requests; not an average of its rounds."""
-    def only(status: str) -> Column:
-        return F.when(F.col("status") == status, F.col("latency_ms"))
-
-    return df.groupBy("run_id", "variant").agg(
-        F.count_distinct("round").alias("iterations"), *count_columns(), *latency_columns(),
-        mean_rounded(only("success")).alias("success_avg_latency_ms"),
-        mean_rounded(only("throttled")).alias("throttled_avg_latency_ms"),
+    pieces = value_counts(df, "latency_ms", ["run_id", "variant", "round"], _measures())
+    table = pieces.groupBy("run_id", "variant").agg(
+        F.size(F.collect_set("round")).cast("bigint").alias("iterations"), *count_profile(_measures())
+    )
+    return table.select(
+        "run_id", "variant", "iterations", *_summary_columns(),
+        _mean("success_sum", "success_n").alias("success_avg_latency_ms"),
+        _mean("throttled_sum", "throttled_n").alias("throttled_avg_latency_ms"),
     )
 
 
 def impact_rollup(df: DataFrame) -> DataFrame:
-    """Rounds and runs in one pass; ``is_run`` marks the overall rows (round NULL)."""
+    """Rounds and runs from one pass; ``is_run`` marks the overall rows (round NULL).
+
+    The log shrinks to value counts first; only those are doubled for the two
+    grouping sets.
+    """
     run, rnd = F.col("run_id"), F.col("round")
-    grouped = df.groupingSets([[run, rnd], [run]], run, rnd).agg(
-        (F.grouping("round") == 1).alias("is_run"), *count_columns(), *latency_columns()
-    )
-    return grouped.withColumn(
-        "throttle_rate", percent(F.col("throttle_count"), F.col("total_requests"))
+    pieces = value_counts(df, "latency_ms", ["run_id", "round"], _measures())
+    table = pieces.groupingSets([[run, rnd], [run]], run, rnd).agg(
+        (F.grouping("round") == 1).alias("is_run"), *count_profile(_measures())
     )
+    return table.select("run_id", "round", "is_run", *_summary_columns(), _throttle_rate())
 
 
 def second_breakdown(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -120,14 +150,15 @@ def load_report(df: DataFrame, by: Sequence[str]) -> DataFrame:
     Expects outcomes of the "script" rules: requests that failed otherwise carry
     no status, count in no total, but their latency is in the percentiles.
     """
-    success, throttle = _n("success").alias("success"), _n("throttled").alias("throttle")
-    table = floor_index_table(df, "latency_ms", by, (50, 95, 99), extra=(success, throttle))
+    table = profile(df, "latency_ms", by, {
+        "success": (_n("success"), "sum"), "throttle": (_n("throttled"), "sum"),
+    })
     total = F.col("success") + F.col("throttle")
     return table.select(
         *by, total.alias("total"), "success", "throttle",
         percent_fixed1(F.col("success"), total).alias("success_rate"),
         percent_fixed1(F.col("throttle"), total).alias("throttle_rate"),
-        F.col("p50").alias("p50_ms"), F.col("p95").alias("p95_ms"), F.col("p99").alias("p99_ms"),
+        *[floor_index(p).alias(f"p{p}_ms") for p in (50, 95, 99)],
         F.when(total == 0, "No requests were completed.").alias("note"),
     )
 

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotlens.session import cut_lineage
+from depotlens.session import written_table
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
 def ordered_positions(
-    df: DataFrame, order: Sequence[Column | str], partitions: int | None = None
+    df: DataFrame, order: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
     """Adds ``position`` (increasing in the given order) and ``chunk`` (a slice of it).
 
@@ -27,12 +27,13 @@ def ordered_positions(
         df.repartitionByRange(*count, *order)
         .sortWithinPartitions(*order)
         .withColumn("position", F.monotonically_increasing_id())
+        .withColumn("chunk", F.shiftright("position", _POSITION_BITS))
     )
-    return cut_lineage(placed.withColumn("chunk", F.shiftright("position", _POSITION_BITS)))
+    return written_table(placed, "positions")
 
 
 def global_rank(
-    df: DataFrame, order: Sequence[Column | str], within: Sequence[str] = (),
+    df: DataFrame, order: Sequence[str], within: Sequence[str] = (),
     partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``rank`` (from 1) in the given order inside each ``within`` group.
@@ -45,7 +46,7 @@ def global_rank(
     counts = placed.groupBy(*within, "chunk").agg(
         F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position")
     )
-    # No "within" means one group of at most one row per chunk.
+    # Without groups this window holds one row per chunk.
     before = Window.partitionBy(*within).orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -53,6 +54,8 @@ def global_rank(
         *within, "chunk", "first_position",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
     )
+    if not within:
+        offsets = F.broadcast(offsets)  # one row per chunk
     return (
         placed.join(offsets, [*within, "chunk"])
         .withColumn("rank", F.col("offset") + F.col("position") - F.col("first_position") + 1)

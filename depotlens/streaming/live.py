@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.percentiles import floor_index_table
+from depotlens.functions.percentiles import floor_index, profile
 
 
 def _watermarked(df: DataFrame, watermark: str | None) -> DataFrame:
@@ -24,17 +24,14 @@ def per_second(requests: DataFrame, watermark: str | None = None, width: str = "
     every latency.
     """
     timed = _watermarked(requests, watermark).withColumn("w", F.window("ts", width))
-    table = floor_index_table(
-        timed, "latency_ms", ["w"], (50, 95),
-        extra=(
-            F.count_if(F.col("status") == "success").alias("success"),
-            F.count_if(F.col("status") == "throttled").alias("throttle"),
-        ),
-    )
+    table = profile(timed, "latency_ms", ["w"], {
+        "success": (F.count_if(F.col("status") == "success"), "sum"),
+        "throttle": (F.count_if(F.col("status") == "throttled"), "sum"),
+    })
     return table.select(
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("second_start"),
         (F.col("success") + F.col("throttle")).alias("rps"), "success", "throttle",
-        F.col("p50").alias("p50_ms"), F.col("p95").alias("p95_ms"),
+        *[floor_index(p).alias(f"p{p}_ms") for p in (50, 95)],
     )
 
 
