@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depotlens.functions.scalar import query_tokens, tokens
+from depotlens.session import written_table
 
 
 def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def ranked_search(
@@ -17,30 +18,39 @@ def ranked_search(
 ) -> DataFrame:
     """The ``k`` best documents for any of the query tokens, ties by key.
 
-    Term frequencies are counted inside each row, so no text is exploded or
-    shuffled: one pass gives the collection statistics (a single row), another
-    the scores, and a top-k ends it.
+    Texts are read and cut into tokens once.  That pass counts the query terms
+    inside each row, observes the collection statistics on the way, and keeps a
+    few numbers per matching document; no text is exploded or shuffled.  Scores
+    and a top-k follow on those numbers.
     """
     terms = query_tokens(query)
+    if not terms:
+        return docs.select(key, F.lit(0.0).alias("score")).filter(F.lit(False))
+    tf = [f"tf{i}" for i in range(len(terms))]
     words = docs.select(key, tokens(F.col(text)).alias("words"))
     counted = words.select(
         key,
         F.size("words").alias("length"),
-        *[_occurrences("words", term).alias(f"tf{i}") for i, term in enumerate(terms)],
+        *[_occurrences("words", term).alias(name) for name, term in zip(tf, terms)],
     )
-    collection = counted.agg(F.struct(
+    collection = Observation()
+    observed = counted.observe(
+        collection,
         F.count(F.lit(1)).alias("n"),
-        F.avg("length").alias("mean_length"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
-    ).alias("all")).scalar()
-    matched = counted.filter(F.greatest(F.lit(0), *[F.col(f"tf{i}") for i in range(len(terms))]) > 0)
-    matched = matched.withColumn("all", collection)
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("all.mean_length"))
+        F.sum("length").alias("length"),
+        *[F.count_if(F.col(name) > 0).alias(name) for name in tf],
+    )
+    matched = written_table(observed.filter(F.greatest(F.lit(0), *tf) > 0), "matches")
+    total = collection.get
+    if not total["n"]:
+        return matched.select(key, F.lit(0.0).alias("score"))
+    mean_length = total["length"] / total["n"]
+    norm = k1 * (F.lit(1 - b) + b * F.col("length") / mean_length)
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df_i = F.col(f"tf{i}"), F.col(f"all.df{i}")
-        idf = F.log(F.lit(1.0) + (F.col("all.n") - df_i + 0.5) / (df_i + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + norm)
+    for name in tf:
+        n, found = total["n"], total[name]
+        idf = F.log(F.lit(1.0 + (n - found + 0.5) / (found + 0.5)))
+        score = score + idf * F.col(name) * (k1 + 1) / (F.col(name) + norm)
     return (
         matched.select(key, F.round(score, 6).alias("score"))
         .orderBy(F.desc("score"), key).limit(k)

@@ -24,10 +24,11 @@ def progress_deltas(requests: DataFrame, seconds: int = 5) -> DataFrame:
         F.count_if(F.col("status") != "throttled").alias("d_success"),
         F.count_if(F.col("status") == "throttled").alias("d_throttle"),
     ).withColumn("until", F.col("w.end")).drop("w")
-    last = pieces.groupBy("run_id", "worker").agg(F.max("until").alias("until"), F.lit(1).alias("mark"))
-    return pieces.join(last, ["run_id", "worker", "until"], "left").select(
+    # One row per interval here, so a worker's rows are as few as its intervals.
+    newest = F.max("until").over(Window.partitionBy("run_id", "worker"))
+    return pieces.select(
         F.col("run_id").alias("execution_id"), "worker", "until", "d_total", "d_success", "d_throttle",
-        F.coalesce("mark", F.lit(0)).alias("completed_workers"),
+        (F.col("until") == newest).cast("int").alias("completed_workers"),
     )
 
 

@@ -86,6 +86,27 @@ class Criteria:
         return found
 
 
+    def description(self, column: str) -> str:
+        """What a capped search did with a criterion after the read."""
+        if column == "item_id":
+            return f'begins_with(item_id, "{self.item_prefix}")'
+        if column == "location":
+            return f'begins_with(location, "{self.location_prefix}")'
+        if column == "item_name":
+            return f'contains(item_name, "{self.item_name}")'
+        low, high = (
+            (self.min_price, self.max_price) if column == "unit_price"
+            else (self.min_quantity, self.max_quantity)
+        )
+        if low is not None and high is not None:
+            return f"{column} BETWEEN {_plain(low)} AND {_plain(high)}"
+        return f"{column} >= {_plain(low)}" if low is not None else f"{column} <= {_plain(high)}"
+
+
+def _plain(number: float) -> str:
+    return str(int(number)) if float(number).is_integer() else str(number)
+
+
 def closed_range(column: str, low: float | None, high: float | None) -> Column | None:
     if low is not None and high is not None:
         return F.col(column).between(low, high)
@@ -158,7 +179,7 @@ class CappedResult:
     rows: DataFrame
     page: Page | None
     view: str
-    residual: tuple[str, ...]
+    filters: tuple[str, ...]
     note: str | None
 
 
@@ -178,7 +199,8 @@ def capped_search(
     notes = [n for c, n in (("item_name", NOTE_NAME), ("quantity", NOTE_QUANTITY)) if c in choice.residual]
     return CappedResult(
         page.rows.filter(_all_of(list(choice.residual.values()))),
-        page, choice.view, tuple(choice.residual), "; ".join(notes) or None,
+        page, choice.view, tuple(criteria.description(c) for c in choice.residual),
+        "; ".join(notes) or None,
     )
 
 

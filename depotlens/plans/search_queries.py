@@ -152,7 +152,7 @@ CAPPED = Criteria("WH-OSAKA", location_prefix="B-", min_quantity=100, max_quanti
 
 
 @query("flt_12_capped_page", f"""
-    SELECT *, 'byLocation' AS used_view, 'quantity' AS residual,
+    SELECT *, 'byLocation' AS used_view, 'quantity BETWEEN 100 AND 700' AS filters,
       'quantity range is applied after the page was read' AS note
     FROM ({SELECT} WHERE warehouse_id = 'WH-OSAKA' AND starts_with(location, 'B-')
           ORDER BY location, item_id LIMIT 20) page
@@ -160,7 +160,7 @@ CAPPED = Criteria("WH-OSAKA", location_prefix="B-", min_quantity=100, max_quanti
 def _(spark, sf):
     found = search.capped_search(inventory(spark, sf), CAPPED)
     return found.rows.withColumns({
-        "used_view": F.lit(found.view), "residual": F.lit(", ".join(found.residual)),
+        "used_view": F.lit(found.view), "filters": F.lit(", ".join(found.filters)),
         "note": F.lit(found.note),
     })
 

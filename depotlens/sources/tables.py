@@ -18,9 +18,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of files; event times as session timestamps."""
+    """The same table as a stream of files; event times as session timestamps.
+
+    The rate limit bounds what one task can receive in a micro-batch.
+    """
     schema = load(spark, sf_dir, name).schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 32)
+    stream = reader.parquet(f"{sf_dir}/{name}.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

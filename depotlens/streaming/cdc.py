@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,24 +16,27 @@ KEYS = ("item_id", "warehouse_id")
 VALUES = ("new_quantity",)
 
 
-def _first_arrival() -> Column:
-    """Higher for earlier arrivals: of equal versions the first one stays."""
-    return -F.unix_micros(F.col("arrival_ts").cast("timestamp"))
+def _ranked(changes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Changes as (keys, row, rank).  Of equal versions the first arrival ranks highest."""
+    first = -F.unix_micros(F.col("arrival_ts").cast("timestamp"))
+    return changes.select(
+        *keys,
+        F.struct("version", (F.col("op") == "delete").alias("deleted"), *values).alias("row"),
+        F.struct(F.col("version"), F.lit(0).alias("held"), first.alias("first")).alias("rank"),
+    )
+
+
+def _winners(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``max_by`` merges map-side: a key with very many changes is reduced before
+    the shuffle and never sorted in one task."""
+    return ranked.groupBy(*keys).agg(F.max_by("row", "rank").alias("row")).select(*keys, "row.*")
 
 
 def net_changes(
     changes: DataFrame, keys: Sequence[str] = KEYS, values: Sequence[str] = VALUES
 ) -> DataFrame:
-    """The winning change per key, deletions kept as tombstones.
-
-    ``max_by`` merges map-side, so a key with very many changes is reduced
-    before the shuffle and never sorted in one task.
-    """
-    winner = F.max_by(
-        F.struct("version", (F.col("op") == "delete").alias("deleted"), *values),
-        F.struct(F.col("version"), _first_arrival().alias("first")),
-    )
-    return changes.groupBy(*keys).agg(winner.alias("r")).select(*keys, "r.*")
+    """The winning change per key, deletions kept as tombstones."""
+    return _winners(_ranked(changes, keys, values), keys)
 
 
 def apply_changes(
@@ -44,15 +47,13 @@ def apply_changes(
 
     Target rows carry ``version`` and ``deleted``.  Tombstones stay in the
     result, so an older write that arrives later cannot bring a row back.  On
-    equal versions the target row stays.
+    equal versions the target row stays.  One shuffle, no join.
     """
-    fields = ["version", "deleted", *values]
-    rows = target.select(*keys, *fields, F.lit(1).alias("_held")).unionByName(
-        net_changes(changes, keys, values).withColumn("_held", F.lit(0))
+    held = target.select(
+        *keys, F.struct("version", "deleted", *values).alias("row"),
+        F.struct(F.col("version"), F.lit(1).alias("held"), F.lit(0).cast("bigint").alias("first")).alias("rank"),
     )
-    return rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*fields), F.struct("version", "_held")).alias("r")
-    ).select(*keys, "r.*")
+    return _winners(held.unionByName(_ranked(changes, keys, values)), keys)
 
 
 def live_rows(target: DataFrame) -> DataFrame:

@@ -57,6 +57,12 @@ def test_axis_priority():
     assert list(choose_axis(Criteria("W", max_quantity=4)).residual) == ["quantity"]
 
 
+def test_filters_are_described(stock):
+    found = capped_search(stock, Criteria("W", "I#", "A-", "red", 1, None, None, 7.5))
+    assert found.filters == (
+        'begins_with(item_id, "I#")', 'begins_with(location, "A-")', 'contains(item_name, "red")', "quantity <= 7.5")
+
+
 def test_capped_page_filters_after_the_read(stock):
     criteria = Criteria("WH-TOKYO", min_quantity=500)
     rows = sorted(
@@ -65,7 +71,7 @@ def test_capped_page_filters_after_the_read(stock):
     first = {r["item_id"]: r["quantity"] for r in stock.filter("warehouse_id = 'WH-TOKYO'").collect()}
     found = capped_search(stock, criteria)
     assert sorted(i for i, _ in ids(found.rows)) == [i for i in rows if first[i] >= 500]
-    assert found.view == "byWarehouse" and found.residual == ("quantity",)
+    assert found.view == "byWarehouse" and found.filters == ("quantity >= 500",)
     plan = found.rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("GlobalLimit")
 
