@@ -12,6 +12,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from depotlens.functions.scalar import query_tokens, tokens
 from depotlens.operators.paging import Page, ordered_page
 from depotlens.schemas import INDEXED_VARIANTS, PAGE_SIZE, VARIANTS
 
+if TYPE_CHECKING:
+    from depotlens.sources.views import OrderedView
+
 # The notes a capped search reports.
 NOTE_NO_WAREHOUSE = "capped search needs a warehouse: every ordered view is kept per warehouse"
 NOTE_NAME = "name substring is applied after the page was read"
@@ -204,6 +208,20 @@ def capped_search(
     )
 
 
+def capped_search_views(
+    views: Mapping[str, OrderedView], criteria: Criteria, token: str | None = None,
+    size: int = PAGE_SIZE,
+) -> CappedResult:
+    """:func:`capped_search` on written ordered views: reads the files of one page only."""
+    if not criteria.warehouse_id:
+        return capped_search(views["item_id"].rows(), criteria)
+    axis = choose_axis(criteria).axis
+    prefix = {"location": criteria.location_prefix, "item_id": criteria.item_prefix}.get(axis)
+    start = criteria.min_price if axis == "unit_price" else None
+    rows = views[axis].slice(criteria.warehouse_id, start, prefix, token=token, size=size)
+    return capped_search(rows, criteria, token, size)
+
+
 def list_inventory(
     df: DataFrame, warehouse_id: str, variant: str, search_by: str | None = None,
     prefix: str | None = None, min_price: float | None = None, max_price: float | None = None,

@@ -8,7 +8,8 @@ from depotlens.functions.scalar import iso_instant
 from depotlens.operators import paging, ranking, search
 from depotlens.operators.search import Criteria
 from depotlens.plans.registry import query
-from depotlens.sources import tables
+from depotlens.plans.source_queries import scratch
+from depotlens.sources import catalogue, tables, views
 from depotlens.sources.tables import inventory
 
 COLUMNS = ["warehouse_id", "item_id", "item_name", "quantity", "lot_number", "location", "unit_price"]
@@ -21,6 +22,13 @@ FIVE_SQL = f"""{TOKYO} AND starts_with(item_id, 'ITEM#BRA-') AND starts_with(loc
     AND {NAME_RED_RING} AND unit_price BETWEEN 905 AND 990 AND quantity BETWEEN 50 AND 900"""
 
 
+def written_views(spark, sf):
+    """The stock written as ordered views into a new shared folder."""
+    path = scratch(spark, "views")
+    catalogue.write_layouts(inventory(spark, sf), path)
+    return views.open_views(spark, path)
+
+
 @query("flt_1_warehouse", f"{SELECT} WHERE {TOKYO}", "inventory")
 def _(spark, sf):
     return search.search(inventory(spark, sf), Criteria(warehouse_id="WH-TOKYO"))
@@ -165,6 +173,16 @@ def _(spark, sf):
     })
 
 
+@query("flt_12_capped_page_from_views", f"""
+    {SELECT.replace("FROM inventory", "")} FROM (SELECT * FROM inventory
+      WHERE warehouse_id = 'WH-OSAKA' AND unit_price >= 903 ORDER BY unit_price, item_id LIMIT 20) page
+    WHERE contains(item_name, 'r')""", "inventory")
+def _(spark, sf):
+    criteria = Criteria("WH-OSAKA", item_name="r", min_price=903)
+    found = search.capped_search_views(written_views(spark, sf), criteria)
+    return found.rows.select(COLUMNS)
+
+
 @query("flt_13_log_grep", """
     SELECT conv_id, turn, role, text FROM conversations WHERE regexp_matches(text, '[0-9]{2,}|nicht')
     ORDER BY conv_id DESC, turn DESC, role DESC, text DESC LIMIT 50""")
@@ -234,6 +252,15 @@ def _(spark, sf):
     return paging.ordered_page(rows, "unit_price", order="desc").rows
 
 
+@query("pag_1_page_from_views", f"""{SELECT} WHERE {TOKYO} AND starts_with(location, 'C-')
+    ORDER BY location DESC, item_id DESC LIMIT 20""", "inventory")
+def _(spark, sf):
+    rows = written_views(spark, sf)["location"].slice("WH-TOKYO", prefix="C-", order="desc")
+    return search.list_inventory(
+        rows, "WH-TOKYO", "good", "location", prefix="C-", order="desc"
+    ).rows.select(COLUMNS)
+
+
 _CURSOR_SQL = """translate(rtrim(base64(encode('{"unit_price":' || unit_price || ',"item_id":"' || item_id
     || '","warehouse_id":"' || warehouse_id || '"}')), '='), '+/', '-_')"""
 

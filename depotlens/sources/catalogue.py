@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotlens.schemas import CHANGE, INVENTORY, PRIMARY_KEY
+from depotlens.sources.views import AXES, write_ordered_view
 
 
 def read_snapshot(
@@ -64,26 +65,15 @@ def put_all(
 def write_layouts(df: DataFrame, path: str, files: int | None = None) -> dict[str, str]:
     """The same rows under each layout; returns name to folder.
 
-    There are only a few warehouses, so hashing by warehouse would keep a few
-    tasks busy.  Rows are split by ranges of (warehouse, axis, key) instead: a
-    large warehouse spreads over many files, and every file covers a narrow
-    range that the Parquet footers can skip.
+    Three ordered views per warehouse (see :mod:`depotlens.sources.views`), and
+    one layout by item whose files cover narrow ranges of item ids.
     """
-    axes = {
-        "by_warehouse": ("item_id",),
-        "by_location": ("location", "item_id"),
-        "by_unit_price": ("unit_price", "item_id"),
-    }
-    count = [files] if files else []
     folders = {}
-    for name, axis in axes.items():
-        folders[name] = f"{path}/{name}"
-        (
-            df.repartitionByRange(*count, "warehouse_id", *axis)
-            .sortWithinPartitions("warehouse_id", *axis)
-            .write.mode("overwrite").partitionBy("warehouse_id").parquet(folders[name])
-        )
+    for name, axis in AXES.items():
+        write_ordered_view(df, f"{path}/{name}", axis, files)
+        folders[name] = f"{path}/{name}/rows"
     folders["by_item"] = f"{path}/by_item"
+    count = [files] if files else []
     (
         df.repartitionByRange(*count, "item_id", "warehouse_id")
         .sortWithinPartitions("item_id", "warehouse_id")

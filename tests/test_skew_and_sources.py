@@ -3,9 +3,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from depotlens.operators import skew
-from depotlens.operators.search import Criteria, search
+from depotlens.operators.paging import ordered_page
+from depotlens.operators.search import Criteria, capped_search, capped_search_views, search
 from depotlens.schemas import WAREHOUSES
 from depotlens.sources import catalogue, tables
+from depotlens.sources.views import open_views
 
 
 def hot(spark, n=3000):
@@ -81,6 +83,68 @@ def test_layouts_prune_partitions_and_push_filters(spark, stock, tmp_path, capsy
     assert len(files) >= 2  # a warehouse is not one file
 
 
+@pytest.fixture(scope="module")
+def views(spark, stock, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("views"))
+    catalogue.write_layouts(stock, path, files=24)
+    return open_views(spark, path)
+
+
+@pytest.mark.parametrize("axis", ["item_id", "location", "unit_price"])
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_view_pages_equal_top_k_pages(stock, views, axis, order):
+    plain, token, guard = stock.filter("warehouse_id = 'WH-OSAKA'"), None, 0
+    while True:
+        rows = views[axis].slice("WH-OSAKA", order=order, token=token, size=15)
+        want = ordered_page(plain, axis, order, token, 15)
+        got = ordered_page(rows.filter("warehouse_id = 'WH-OSAKA'"), axis, order, token, 15)
+        assert [r.asDict() for r in got.rows.select(plain.columns).collect()] == [r.asDict() for r in want.rows.collect()]
+        assert got.next_token() == want.next_token()
+        assert len(rows.inputFiles()) <= 5
+        token, guard = want.next_token(), guard + 1
+        if token is None:
+            break
+    assert guard == 14
+
+
+@pytest.mark.parametrize("criteria", [
+    Criteria("WH-TOKYO", location_prefix="C-", min_quantity=200), Criteria("WH-TOKYO", min_price=910, item_name="red"),
+    Criteria("WH-TOKYO", max_price=903), Criteria("WH-TOKYO", item_prefix="ITEM#KEN-", max_quantity=700),
+    Criteria("WH-TOKYO", item_prefix="ITEM#ZZ"), Criteria("WH-NONE"), Criteria(item_name="red"), Criteria("WH-TOKYO"),
+])
+def test_capped_search_on_views(stock, views, criteria):
+    def ids(df):
+        return [r["item_id"] for r in df.orderBy("unit_price", "location", "item_id").collect()]
+
+    token = None
+    for _ in range(3):
+        want, got = capped_search(stock, criteria, token), capped_search_views(views, criteria, token)
+        assert ids(got.rows) == ids(want.rows) and got.filters == want.filters and got.note == want.note
+        token = want.page.next_token() if want.page else None
+        if got.page:
+            assert got.page.next_token() == token
+        if token is None:
+            break
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_view_slices_with_a_prefix(stock, views, order):
+    for axis, prefix in (("location", "D-"), ("item_id", "ITEM#BRA-")):
+        rows = views[axis].slice("WH-TOKYO", prefix=prefix, order=order)
+        keep = f"warehouse_id = 'WH-TOKYO' AND startswith({axis}, '{prefix}')"
+        got = [r["item_id"] for r in ordered_page(rows.filter(keep), axis, order).rows.collect()]
+        assert got == [r["item_id"] for r in ordered_page(stock.filter(keep), axis, order).rows.collect()]
+
+
+def test_view_in_a_folder_with_odd_names(spark, stock, tmp_path):
+    from depotlens.sources.views import OrderedView, write_ordered_view
+
+    odd = stock.filter("warehouse_id = 'WH-OSAKA'").withColumn("warehouse_id", F.lit("WH #1 50%"))
+    write_ordered_view(odd, str(tmp_path / "a b"), "location", 4)
+    rows = OrderedView(spark, str(tmp_path / "a b"), "location").slice("WH #1 50%")
+    assert ordered_page(rows, "location").rows.count() == 20
+
+
 def test_expansion_has_no_join(spark, sf):
     skus = tables.skus(spark, sf)
     expanded = catalogue.expand_catalogue(skus, WAREHOUSES)
