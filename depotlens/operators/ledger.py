@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.functions.scalar import iso_instant
 from depotlens.operators.skew import chunked_running_sum, ordered_positions
 from depotlens.session import cut_lineage
 
@@ -237,15 +238,16 @@ def _first_cut(live: DataFrame, keys: list[str], small) -> DataFrame:
 
 
 def ship_responses(decided: DataFrame) -> DataFrame:
-    """Answer of each request: new quantity, or the shortage with its message."""
+    """Answer of each request: new quantity and time, or the shortage with its message."""
     short = ~F.col("accepted")
-    return decided.withColumn("code", F.when(short, "INSUFFICIENT_STOCK")).withColumn(
-        "message",
-        F.when(short, F.concat(
+    return decided.withColumns({
+        "last_updated": F.when(F.col("accepted"), iso_instant(F.col("ts"))),
+        "code": F.when(short, "INSUFFICIENT_STOCK"),
+        "message": F.when(short, F.concat(
             F.lit("Insufficient stock. Current: "), F.col("stock_after").cast("string"),
             F.lit(", Requested: "), F.col("quantity").cast("string"),
         )),
-    )
+    })
 
 
 def closing_stock(stock: DataFrame, decided: DataFrame, keys: Sequence[str] = STOCK_KEY) -> DataFrame:
@@ -291,11 +293,11 @@ def running_balance(movements: DataFrame, by: Sequence[str] = ("warehouse_id",),
     return per.withColumn("balance", F.sum("net").over(upto))
 
 
-def movement_history(
+def movement_log(
     movements: DataFrame, item_prefix: str | None = None, since: str | None = None,
-    until: str | None = None, unit: str = "month",
+    until: str | None = None,
 ) -> DataFrame:
-    """Movements per item, period and type; filters reach the scan."""
+    """Single movements of items and a period, newest first; the filters reach the scan."""
     rows = movements
     if item_prefix:
         rows = rows.filter(F.col("item_id").startswith(item_prefix))
@@ -303,8 +305,13 @@ def movement_history(
         rows = rows.filter(F.col("ts") >= F.lit(since).cast("timestamp"))
     if until:
         rows = rows.filter(F.col("ts") < F.lit(until).cast("timestamp"))
+    return rows.orderBy(F.desc("ts"), "warehouse_id", "item_id")
+
+
+def movement_history(movements: DataFrame, unit: str = "month", **chosen: str | None) -> DataFrame:
+    """Movements added up per item, period and type; arguments as for :func:`movement_log`."""
     period = F.date_format(F.date_trunc(unit, "ts"), "yyyy-MM").alias("period")
-    return rows.groupBy("item_id", period, "type").agg(
+    return movement_log(movements, **chosen).groupBy("item_id", period, "type").agg(
         F.count(F.lit(1)).alias("movements"), F.sum("signed_quantity").alias("net_quantity")
     )
 

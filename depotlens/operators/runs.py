@@ -92,13 +92,25 @@ def effective_rps(progress: DataFrame) -> DataFrame:
     )
 
 
-def run_trend(progress: DataFrame) -> DataFrame:
-    """Throttle rate of each run next to that of the run before it, per variant."""
+def peak_throughput(requests: DataFrame, unit: str = "1 minute", seconds: int = 60) -> DataFrame:
+    """Highest served rate of each run, per second, over windows of ``unit``."""
+    per = requests.filter(F.col("status") != "throttled").groupBy(
+        "run_id", F.window("ts", unit).alias("w")
+    ).agg(F.count(F.lit(1)).alias("served"))
+    return per.groupBy(F.col("run_id").alias("execution_id")).agg(
+        F.round(F.max("served") / seconds, 6).alias("peak_per_second")
+    )
+
+
+def run_trend(progress: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Throttle rate and peak throughput of each run next to the run before it, per variant."""
     before = Window.partitionBy("variant").orderBy("started_at", "execution_id")
-    rated = progress.select(
-        "execution_id", "variant", "started_at", "total_requests",
+    rated = progress.join(peaks, "execution_id", "left").select(
+        "execution_id", "variant", "started_at",
         percent(F.col("throttle_count"), F.col("total_requests")).alias("throttle_rate"),
+        F.coalesce("peak_per_second", F.lit(0.0)).alias("peak_per_second"),
     )
-    return rated.withColumn("previous_rate", F.lag("throttle_rate").over(before)).withColumn(
-        "previous_requests", F.lag("total_requests").over(before)
-    ).withColumn("rate_change", F.round(F.col("throttle_rate") - F.col("previous_rate"), 6))
+    return rated.withColumns({
+        "previous_rate": F.lag("throttle_rate").over(before),
+        "previous_peak": F.lag("peak_per_second").over(before),
+    }).withColumn("rate_change", F.round(F.col("throttle_rate") - F.col("previous_rate"), 6))

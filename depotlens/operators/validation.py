@@ -62,10 +62,33 @@ def _verdict(df: DataFrame, rules: list[tuple[Column, Column]]) -> DataFrame:
     )
 
 
+def parse_ship_bodies(df: DataFrame, body: str = "body") -> DataFrame:
+    """Fields of JSON request texts.  A field of the wrong type reads as missing.
+
+    ``readable`` is false where the text is not JSON.
+    """
+    value = F.try_parse_json(body)
+
+    def field(path: str, kinds: str, to: str) -> Column:
+        kind = F.schema_of_variant(F.variant_get(value, path, "variant"))
+        return F.when(kind.rlike(f"^({kinds})"), F.try_variant_get(value, path, to))
+
+    numbers = "BIGINT|DECIMAL|DOUBLE|FLOAT"
+    return df.withColumns({
+        "readable": value.isNotNull(),
+        "warehouse_id": field("$.warehouseId", "STRING", "string"),
+        "item_id": field("$.itemId", "STRING", "string"),
+        "quantity": field("$.quantity", numbers, "double"),
+        "variant": field("$.table", "STRING", "string"),
+    })
+
+
 def validate_ship(df: DataFrame) -> DataFrame:
     """Adds ``code`` and ``message``; both NULL for a valid ship request."""
     quantity = F.col("quantity").cast("double")
+    unread = [(F.col("readable"), F.lit("Invalid JSON in request body"))] if "readable" in df.columns else []
     return _verdict(df, [
+        *unread,
         (F.col("warehouse_id") != "", F.lit("warehouseId is required and must be a string")),
         (F.col("item_id") != "", F.lit("itemId is required and must be a string")),
         ((quantity > 0) & _finite(quantity), F.lit("quantity is required and must be a positive number")),

@@ -37,6 +37,24 @@ def _(spark, sf):
     return quarantine.groupBy("message").agg(F.count(F.lit(1)).alias("requests"))
 
 
+@query("val_1_ship_bodies", """
+    SELECT request_id, CASE WHEN message IS NOT NULL THEN 'INVALID_REQUEST' END AS code, message
+    FROM (SELECT request_id, CASE WHEN NOT json_valid(body) THEN 'Invalid JSON in request body'
+        WHEN coalesce(json_type(body, '$.warehouseId'), '') <> 'VARCHAR' OR body->>'$.warehouseId' = ''
+          THEN 'warehouseId is required and must be a string'
+        WHEN coalesce(json_type(body, '$.itemId'), '') <> 'VARCHAR' OR body->>'$.itemId' = ''
+          THEN 'itemId is required and must be a string'
+        WHEN coalesce(json_type(body, '$.quantity'), '') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+          OR NOT (TRY_CAST(body->>'$.quantity' AS DOUBLE) > 0)
+          THEN 'quantity is required and must be a positive number'
+        WHEN coalesce(body->>'$.table', '') NOT IN ('bad', 'good', 'goodGsi', 'badOnDemand')
+          THEN 'table is required and must be "bad", "good", "goodGsi" or "badOnDemand"' END AS message
+      FROM ship_bodies) v""", "ship_bodies")
+def _(spark, sf):
+    parsed = validation.parse_ship_bodies(tables.ship_bodies(spark, sf))
+    return validation.validate_ship(parsed).select("request_id", "code", "message")
+
+
 _TABLE = """WHEN variant NOT IN ('bad', 'good', 'goodGsi', 'badOnDemand')
       THEN 'table is required and must be "bad", "good", "goodGsi" or "badOnDemand"'"""
 
@@ -93,7 +111,8 @@ SHIPPED = """WITH RECURSIVE numbered AS (
 _ANSWER = """SELECT request_id, item_id, warehouse_id, quantity, accepted, stock_after,
     CASE WHEN NOT accepted THEN 'INSUFFICIENT_STOCK' END AS code,
     CASE WHEN NOT accepted THEN 'Insufficient stock. Current: ' || stock_after || ', Requested: ' || quantity END
-      AS message FROM shipped"""
+      AS message, CASE WHEN accepted THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS last_updated
+    FROM shipped"""
 
 
 @query("sta_1_conditional_decrement", SHIPPED + _ANSWER, "ship_requests opening_stock")
@@ -162,7 +181,18 @@ def _(spark, sf):
     FROM movements WHERE starts_with(item_id, 'ITEM#ETH-') AND ts >= TIMESTAMP '1999-01-01'
       AND ts < TIMESTAMP '2000-01-01' GROUP BY ALL""", "movements")
 def _(spark, sf):
-    return ledger.movement_history(movements(spark, sf), "ITEM#ETH-", "1999-01-01", "2000-01-01")
+    return ledger.movement_history(
+        movements(spark, sf), item_prefix="ITEM#ETH-", since="1999-01-01", until="2000-01-01"
+    )
+
+
+@query("led_2_movement_log", """
+    SELECT warehouse_id, item_id, type, signed_quantity, strftime(ts, '%Y-%m-%d') AS day FROM movements
+    WHERE starts_with(item_id, 'ITEM#KEN-') AND ts >= TIMESTAMP '2000-06-01'
+    ORDER BY ts DESC, warehouse_id, item_id""", "movements")
+def _(spark, sf):
+    log = ledger.movement_log(movements(spark, sf), "ITEM#KEN-", since="2000-06-01")
+    return log.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).drop("ts")
 
 
 @query("led_3_by_lot", """

@@ -304,16 +304,20 @@ def _(spark, sf):
     return metrics.relative_bars(means.select("run_id", "round", "avg_latency_ms"), "avg_latency_ms", ["run_id"])
 
 
-@query("win_3_run_trend", f"""WITH {PROGRESS}
-    SELECT execution_id, variant, strftime(started_at, '%Y-%m-%d') AS started_at, total_requests, throttle_rate,
-      lag(throttle_rate) OVER w AS previous_rate, lag(total_requests) OVER w AS previous_requests,
+@query("win_3_run_trend", f"""WITH {PROGRESS}, peaks AS (
+      SELECT execution_id, round(max(served)::DOUBLE / 60, 6) AS peak FROM (
+        SELECT run_id AS execution_id, date_trunc('minute', ts) AS m, count(*) AS served FROM requests
+        WHERE status <> 'throttled' GROUP BY ALL) s GROUP BY execution_id)
+    SELECT execution_id, variant, strftime(started_at, '%Y-%m-%d') AS started_at, throttle_rate, peak_per_second,
+      lag(throttle_rate) OVER w AS previous_rate, lag(peak_per_second) OVER w AS previous_peak,
       round(throttle_rate - lag(throttle_rate) OVER w, 6) AS rate_change
-    FROM (SELECT *, {rate_sql('throttle_count', 'total_requests')} AS throttle_rate FROM progress) p
+    FROM (SELECT p.*, {rate_sql('throttle_count', 'total_requests')} AS throttle_rate,
+        coalesce(peak, 0.0::DOUBLE) AS peak_per_second
+      FROM progress p LEFT JOIN peaks USING (execution_id)) r
     WINDOW w AS (PARTITION BY variant ORDER BY started_at, execution_id)""", "runs")
 def _(spark, sf):
-    return runs.run_trend(progress(spark, sf)).withColumn(
-        "started_at", F.date_format("started_at", "yyyy-MM-dd")
-    )
+    trend = runs.run_trend(progress(spark, sf), runs.peak_throughput(requests(spark, sf)))
+    return trend.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd"))
 
 
 @query("cls_1_outcomes", """

@@ -19,6 +19,26 @@ def read_snapshot(
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def read_typed_export(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot lines with typed attributes: ``{"Item": {"itemId": {"S": "..."}, "quantity": {"N": "5"}}}``."""
+    def camel(name: str) -> str:
+        head, *rest = name.split("_")
+        return head + "".join(part.title() for part in rest)
+
+    def kind(field: T.StructField) -> str:
+        return "N" if isinstance(field.dataType, T.LongType) else "S"
+
+    item = T.StructType([
+        T.StructField(camel(f.name), T.StructType([T.StructField(kind(f), T.StringType())]))
+        for f in INVENTORY.fields
+    ])
+    lines = spark.read.schema(T.StructType([T.StructField("Item", item)])).json(path)
+    return lines.select(*[
+        F.col(f"Item.{camel(f.name)}.{kind(f)}").try_cast(f.dataType).alias(f.name)
+        for f in INVENTORY.fields
+    ])
+
+
 def read_changes(
     spark: SparkSession, path: str, stream: bool = True, fmt: str = "json",
     schema: T.StructType = CHANGE, max_files_per_trigger: int | None = None,

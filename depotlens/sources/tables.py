@@ -157,6 +157,22 @@ def raw_ship_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ship_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship requests as JSON text: cut short, wrong types, missing fields, or well formed."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    house = F.when(kind == "signup", F.lit("7")).otherwise(F.lit('"WH-TOKYO"'))
+    quantity = F.when(e % 5 == 0, F.concat(F.lit('"'), e.cast("string"), F.lit('"'))).when(
+        e % 5 == 1, F.col("value").cast("string")
+    ).otherwise((e % 4).cast("string"))
+    text = F.concat(
+        F.lit('{"warehouseId": '), house, F.lit(', "itemId": "ITEM#U'), F.col("user_id").cast("string"),
+        F.lit('", "quantity": '), quantity, F.when(kind != "click", F.lit(', "table": "good"}')).otherwise("}"),
+    )
+    return load(spark, sf_dir, "events").select(
+        e.alias("request_id"), F.when(kind == "error", F.substring(text, 1, 20)).otherwise(text).alias("body")
+    )
+
+
 def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run configurations of varying validity, one per order."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -265,6 +281,14 @@ SQL_VIEWS = {
           value - 10.0 AS quantity,
           CASE WHEN event_type = 'click' THEN 'legacy' ELSE {_VARIANTS}[user_id % 4 + 1] END AS variant
         FROM events""",
+    "ship_bodies": """
+        SELECT event_id AS request_id, CASE WHEN event_type = 'error' THEN substr(body, 1, 20) ELSE body END AS body
+        FROM (SELECT event_id, event_type, '{"warehouseId": '
+            || CASE WHEN event_type = 'signup' THEN '7' ELSE '"WH-TOKYO"' END || ', "itemId": "ITEM#U' || user_id
+            || '", "quantity": ' || CASE WHEN event_id % 5 = 0 THEN '"' || event_id || '"'
+              WHEN event_id % 5 = 1 THEN value::VARCHAR ELSE (event_id % 4)::VARCHAR END
+            || CASE WHEN event_type <> 'click' THEN ', "table": "good"}' ELSE '}' END AS body
+          FROM events) t""",
     "run_requests": f"""
         SELECT request_id, variant, duration_seconds, requests_per_second, iterations, tokyo, osaka,
           CASE WHEN low THEN 0.1::DOUBLE ELSE 1 - tokyo - osaka END AS fukuoka

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from depotlens.operators import ledger
-from depotlens.operators.validation import split_valid, validate_run, validate_ship
+from depotlens.operators.validation import parse_ship_bodies, split_valid, validate_run, validate_ship
 
 REQUEST = "request_id long, ts timestamp, item_id string, warehouse_id string, quantity long"
 STOCK = "item_id string, warehouse_id string, quantity long"
@@ -91,6 +91,16 @@ def test_ship_rules_in_order(spark):
     assert (good.count(), bad.count()) == (1, 8) and "code" not in good.columns
 
 
+def test_ship_bodies(spark):
+    bodies = ['{"warehouseId"', '[]', '{"warehouseId": 7, "itemId": "I", "quantity": 1, "table": "bad"}',
+              '{"warehouseId": "W", "itemId": "I", "quantity": "1", "table": "bad"}',
+              '{"warehouseId": "W", "itemId": "I", "quantity": 0.5, "table": "bad"}',
+              '{"warehouseId": "W", "itemId": "I", "quantity": 1e2, "table": 1}', None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    got = [(r["message"] or "").split(" ")[0] for r in validate_ship(parse_ship_bodies(df)).orderBy("i").collect()]
+    assert got == ["Invalid", "warehouseId", "warehouseId", "quantity", "", "table", "Invalid"]
+
+
 def test_run_rules(spark):
     schema = ("variant string, duration_seconds double, requests_per_second double, iterations double, "
               "warehouse_distribution map<string,double>")

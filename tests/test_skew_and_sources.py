@@ -175,6 +175,16 @@ def test_snapshot_schema_is_given(spark, stock, tmp_path):
     assert back.schema["quantity"].dataType.simpleString() == "bigint" and back.count() == stock.count()
 
 
+def test_typed_export(spark, tmp_path):
+    (tmp_path / "part-0.json").write_text(
+        '{"Item":{"warehouseId":{"S":"WH-TOKYO"},"itemId":{"S":"ITEM#A"},"itemName":{"S":"a"},"quantity":{"N":"12"},'
+        '"lotNumber":{"S":"L"},"location":{"S":"A-01-01"},"unitPrice":{"N":"980"},'
+        '"lastUpdated":{"S":"2026-05-20T10:00:00.000Z"}}}\n{"Item":{"itemId":{"S":"ITEM#B"}}}\n')
+    rows = {r["item_id"]: r for r in catalogue.read_typed_export(spark, str(tmp_path)).collect()}
+    assert (rows["ITEM#A"]["quantity"], rows["ITEM#A"]["unit_price"], rows["ITEM#A"]["location"]) == (12, 980, "A-01-01")
+    assert rows["ITEM#A"]["last_updated"] is not None and rows["ITEM#B"]["quantity"] is None
+
+
 def test_shared_folder_is_required_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 
