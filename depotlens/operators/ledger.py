@@ -15,7 +15,7 @@ from depotlens.operators.skew import chunked_running_sum, ordered_positions
 from depotlens.session import cut_lineage
 
 STOCK_KEY = ("item_id", "warehouse_id")
-HOT_ROWS = 1_000_000         # a key with more requests is decided in slices
+HOT_ROWS = 10_000_000        # a key with more requests is decided in slices
 BROADCAST_KEYS = 100_000     # hot-key tables up to this many rows are broadcast
 
 

@@ -21,7 +21,7 @@ def _cell(value):
     if isinstance(value, bool):
         return ("bool", value)
     if isinstance(value, float):
-        return ("null",) if math.isnan(value) else ("num", round(value, 9))
+        return ("null",) if math.isnan(value) else ("num", value)
     if isinstance(value, int):
         return ("num", float(value))
     return (type(value).__name__, str(value))
