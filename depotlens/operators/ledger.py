@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -93,34 +94,33 @@ def _fold_batches(keys: list[str]):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-            changes = None
-            for column in columns:
-                differs = pc.fill_null(pc.not_equal(column[1:], column[:-1]), True)
-                changes = differs if changes is None else pc.or_(changes, differs)
-            first = [column[0].as_py() for column in columns]
-            starts = [first != current, *changes.to_pylist()]
-            current = [column[-1].as_py() for column in columns]
-            wanted = batch.column(batch.schema.get_field_index("quantity")).to_pylist()
-            is_request = batch.column(batch.schema.get_field_index("_is_request"))
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            starts = np.ones(batch.num_rows, dtype=bool)
+            starts[0] = [column[k][0].as_py() for k in keys] != current
+            starts[1:] = False
+            for k in keys:
+                differs = pc.fill_null(pc.not_equal(column[k][1:], column[k][:-1]), True)
+                starts[1:] |= differs.to_numpy(zero_copy_only=False)
+            current = [column[k][-1].as_py() for k in keys]
+            is_request = column.pop("_is_request")
+            steps = zip(
+                starts.tolist(), is_request.to_numpy(zero_copy_only=False).tolist(),
+                pc.fill_null(column["quantity"], 0).to_numpy().tolist(),
+            )
             accepted, after = [], []
-            for new_key, request, quantity in zip(starts, is_request.to_pylist(), wanted):
+            for new_key, request, quantity in steps:
                 if new_key:
                     left = 0
-                if request:
-                    fits = quantity is not None and 0 < quantity <= left
-                    if fits:
-                        left -= quantity
-                    accepted.append(fits)
-                else:
-                    left = quantity or 0
-                    accepted.append(False)
+                fits = request and 0 < quantity <= left
+                if fits:
+                    left -= quantity
+                elif not request:
+                    left = quantity
+                accepted.append(fits)
                 after.append(left)
-            kept = [n for n in batch.schema.names if n != "_is_request"]
             decided = pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(n)) for n in kept],
-                 pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())],
-                names=[*kept, "accepted", "stock_after"],
+                [*column.values(), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())],
+                names=[*column, "accepted", "stock_after"],
             )
             yield decided.filter(is_request)
 

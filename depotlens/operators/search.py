@@ -122,11 +122,17 @@ def closed_range(column: str, low: float | None, high: float | None) -> Column |
 
 
 def match_any(column: str, text: str) -> Column:
-    """True when any token of ``text`` is a token of the column; no token, no match."""
+    """True when any token of ``text`` is a token of the column; no token, no match.
+
+    A token can only occur where its characters do, so a plain byte search
+    comes first and most rows are never cut into tokens.
+    """
     wanted = query_tokens(text)
     if not wanted:
         return F.lit(False)
-    return F.arrays_overlap(tokens(F.col(column)), F.array(*[F.lit(t) for t in wanted]))
+    whole = F.lower(F.col(column))
+    near = reduce(lambda a, b: a | b, [whole.contains(t) for t in wanted])
+    return near & F.arrays_overlap(tokens(F.col(column)), F.array(*[F.lit(t) for t in wanted]))
 
 
 def _all_of(conditions: Sequence[Column]) -> Column:
