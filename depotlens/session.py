@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -23,6 +25,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "dep
     )
 
 
+def share_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, so that tasks can import it wherever they run."""
+    context = spark.sparkContext
+    if any(path.endswith("/depotlens.zip") for path in context._jsc.sc().listFiles().mkString("\n").split("\n")):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="depotlens-package-")
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "depotlens"), "zip", root, "depotlens"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
