@@ -194,6 +194,19 @@ def scored(measured: DataFrame, model: QualityModel) -> DataFrame:
     return measured.mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more; all columns as they were, nothing shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string()).to_pylist()
+            if texts:
+                good = model.scores(np.stack([measures(t or "").astype(np.float32) for t in texts])) >= least
+                yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def in_fold(doc_id: Column) -> Column:
     """Third of the documents, by the checksum of the id, whose labels are not learned."""
     checksum = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

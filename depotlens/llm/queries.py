@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import mixing, quality_classifier, quality_rules, sharding, token_output
+from depotlens.llm import (
+    decontamination, license_scan, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding,
+    suffix_dedup, token_output,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +34,36 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources at weights 5, 2, 1 takes from every document."""
     taken, _ = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    return decontamination.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels and base places of all documents."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages of 400 bytes take from every document."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of all documents and the verdict of the rule cascade."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,7 +78,7 @@ OP7_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), win AS (
   SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k FROM d, unnest(range(1, len(w) - 6)) AS u(i)
@@ -81,6 +108,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced, and how much of each kind there was."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rewritten = pii.pseudonymize(docs, key="example key of the registered query")
+    return rewritten.select("doc_id", "text", *pii.found_counts(F.col("found")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as ORC and read back."""
     path = token_output.scratch_path(spark, "tokens")
@@ -88,6 +122,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(spark, path)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_mixing": op3_mixing, "op7_quality_rules": op7_quality_rules,
-           "op8_quality_classifier": op8_quality_classifier, "op9_token_files": op9_token_files}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_license_scan": op5_license_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_token_files": op9_token_files,
+    "op10_pseudonyms": op10_pseudonyms,
+}
 ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL}
