@@ -12,6 +12,7 @@ first; repeated ids stay as separate rows; an empty table gives no rows; other c
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,8 @@ from depotlens.session import shared_dir
 WORDS = re.compile(r"[^ \t-\r]+")
 #: Between words that are encoded together; as a word of its own it is always one id.
 MARK = "\x01"
+#: Punctuation that is cut off the end of a word of letters.
+TAILS = ".,;:!?)"
 #: Words whose ids a Python worker remembers, and words encoded in one call.
 KEPT_WORDS, TOGETHER = 400_000, 256
 SCHEMA = "doc_id long, row long, local_start long, n_tokens long, ids array<int>"
@@ -46,6 +49,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if suffix:
+            self.last_of_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.mark = self._encode([MARK])[0]
         if len(self.mark) != 1:
             raise ValueError("the vocabulary must encode the mark as one id")
@@ -54,24 +61,54 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in found]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _together(self, words: list[str], marked: bool) -> dict[str, bytes]:
+        """Ids of words, many words a call.
+
+        Words of letters end where an id says so; others are kept apart by the mark, which they don't hold.
+        """
         new: dict[str, bytes] = {}
-        plain = [w for w in words if MARK not in w]
-        groups = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for group, ids in zip(groups, self._encode([f" {MARK} ".join(g) for g in groups])):
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) != len(group) - 1:  # never seen; then each word on its own
+        groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        between = f" {MARK} " if marked else " "
+        for group, ids in zip(groups, self._encode([between.join(g) for g in groups])):
+            if marked:
+                ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+            else:
+                ends = np.flatnonzero(self.last_of_word[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):  # a letter that decomposes; each on its own
                 new.update((w, x.tobytes()) for w, x in zip(group, self._encode(group)))
                 continue
-            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            begin = 0
-            for word, end in zip(group, ends):
+            raw, begin, skip = ids.tobytes(), 0, 4 * marked
+            for word, end in zip(group, (4 * ends).tolist()):
                 new[word] = raw[begin:end]
-                begin = end + 4
-        odd = [w for w in words if MARK in w]
-        new.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd)))
+                begin = end + skip
         return new
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words.
+
+        The pre-tokeniser separates letters from the punctuation after them, and case is dropped, so a
+        word of letters shares its ids with the same word in another case or before a comma.
+        """
+        known, parts, odd, others = self.known, {}, [], []
+        for word in words:
+            letters = word.rstrip(TAILS)
+            if letters.isascii() and letters.isalpha():
+                parts[word] = letters.lower(), word[len(letters):]
+            elif unicodedata.normalize("NFC", letters.lower()).isalpha():  # no mark to join the punctuation
+                parts[word] = letters, word[len(letters):]
+            elif MARK in word:
+                odd.append(word)
+            else:
+                others.append(word)
+        wanted = {letters for letters, _ in parts.values() if letters not in known}
+        others += {tail for _, tail in parts.values() if tail and tail not in known}
+        table = self._together(list(wanted), False) | self._together(others, True)
+        table.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd)))
+        for word, (letters, tail) in parts.items():
+            ids = known[letters] if letters in known else table[letters]
+            table[word] = ids + (known[tail] if tail in known else table[tail]) if tail else ids
+        return table
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [WORDS.findall(text) for text in texts]
