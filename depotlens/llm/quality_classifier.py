@@ -154,16 +154,16 @@ def fit(measured: DataFrame, good: DataFrame, prior: float) -> QualityModel:
     prior = min(max(prior, 0.01), 0.99)
     model = QualityModel(centre, scale, np.zeros(1 + 2 * n), prior)
     rows = measured.select("x", F.lit(False).alias("good")).unionByName(good.select("x", F.lit(True).alias("good")))
-    d = len(model.weights)
+    d, ridge = len(model.weights), RIDGE + 1 / max(good.count(), 1)
 
     def at(weights: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
         of, length = _risk_terms(QualityModel(centre, scale, weights, prior))
         s = _summed(rows, of, length)
         everyone, trusted = max(s[0], 1), max(s[1], 1)
         bad = s[3] / everyone - prior * s[4] / trusted
-        risk = prior * s[2] / trusted + max(bad, 0) + RIDGE * weights @ weights / 2
-        slope = s[5 + d:5 + 2 * d] / everyone - prior * s[5:5 + d] / trusted + RIDGE * weights
-        curve = s[5 + 2 * d:].reshape(d, d) / everyone + RIDGE * np.eye(d)
+        risk = prior * s[2] / trusted + max(bad, 0) + ridge * weights @ weights / 2
+        slope = s[5 + d:5 + 2 * d] / everyone - prior * s[5:5 + d] / trusted + ridge * weights
+        curve = s[5 + 2 * d:].reshape(d, d) / everyone + ridge * np.eye(d)
         return risk, bad, slope, curve
 
     weights, (risk, _, slope, curve) = model.weights, at(model.weights)
