@@ -1,33 +1,38 @@
 """Live request metrics.  The same functions serve tables and streams.
 
 For a stream, pass ``watermark``; results are then emitted in append mode once
-their window is complete.
+their window is complete, and rows later than the watermark are dropped by
+Spark.  Where nothing may be lost, whatever the order of arrival, follow the
+stream with :func:`start_counts` and read it with :func:`read_per_second`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from depotlens.functions.percentiles import floor_index, profile
+from depotlens.functions.percentiles import count_profile, floor_index, value_counts
 
 
 def _watermarked(df: DataFrame, watermark: str | None) -> DataFrame:
     return df.withWatermark("ts", watermark) if watermark else df
 
 
-def per_second(requests: DataFrame, watermark: str | None = None, width: str = "1 second") -> DataFrame:
-    """Rate, outcomes and floor-index percentiles of each second.
-
-    ``rps`` counts successes and throttles only; the percentiles cover every
-    request.  State holds counts per (second, millisecond value) rather than
-    every latency.
-    """
-    timed = _watermarked(requests, watermark).withColumn("w", F.window("ts", width))
-    table = profile(timed, "latency_ms", ["w"], {
+def _outcomes() -> dict[str, tuple[Column, str]]:
+    return {
         "success": (F.count_if(F.col("status") == "success"), "sum"),
         "throttle": (F.count_if(F.col("status") == "throttled"), "sum"),
-    })
+    }
+
+
+def window_counts(requests: DataFrame, width: str = "1 second") -> DataFrame:
+    """Requests per (window, latency value) and outcome; partial counts of a window add up."""
+    return value_counts(requests.withColumn("w", F.window("ts", width)), "latency_ms", ["w"], _outcomes())
+
+
+def _seconds(counts: DataFrame) -> DataFrame:
+    table = counts.groupBy("w").agg(*count_profile(_outcomes()))
     return table.select(
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("second_start"),
         (F.col("success") + F.col("throttle")).alias("rps"), "success", "throttle",
@@ -35,6 +40,39 @@ def per_second(requests: DataFrame, watermark: str | None = None, width: str = "
     )
 
 
+def per_second(requests: DataFrame, watermark: str | None = None, width: str = "1 second") -> DataFrame:
+    """Rate, outcomes and floor-index percentiles of each second.
+
+    ``rps`` counts successes and throttles only; the percentiles cover every
+    request.  State holds counts per (second, latency value) rather than every
+    latency.
+    """
+    return _seconds(window_counts(_watermarked(requests, watermark), width))
+
+
+def start_counts(
+    requests: DataFrame, path: str, checkpoint: str, width: str = "1 second", available_now: bool = True
+) -> StreamingQuery:
+    """Writes the counts of every micro-batch to its own folder below ``path``.
+
+    There is no state and no watermark: a late request adds to its window in
+    the files, so none is dropped and the newest window is there as well.  A
+    repeated batch overwrites its folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        window_counts(batch, width).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_per_second(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`per_second` gives for all requests counted so far."""
+    parts = spark.read.parquet(path)
+    merged = parts.groupBy("w", "v").agg(*[F.sum(c).alias(c) for c in ("n", "success", "throttle")])
+    return _seconds(merged)
+
+
 def interval_deltas(requests: DataFrame, watermark: str | None = None, seconds: int = 5) -> DataFrame:
     """What each run added per interval; adding them up again gives its totals."""
     return _watermarked(requests, watermark).groupBy(

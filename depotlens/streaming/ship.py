@@ -1,8 +1,14 @@
-"""Continuous conditional decrement.
+"""Continuous conditional decrement in the order of event time.
 
-:func:`ship_stream` keeps one number of state per item and answers with low
-delay.  :func:`start_shipping` hands each micro-batch to the batch operator,
-which also splits hot items, and keeps the stock in files.
+A source delivers requests in any order up to some delay, so a decision holds
+only once no earlier request can arrive.  Both operators hold requests back by
+``delay`` and never drop one: what comes later still is decided on arrival and
+marked ``late``.
+
+:func:`ship_stream` keeps the state of an item in its task, answers at once and
+corrects its answers until they are final.  :func:`start_shipping` hands each
+micro-batch to the batch operator, which also splits hot items, and keeps
+stock and waiting requests in files.
 """
 
 from __future__ import annotations
@@ -19,77 +25,175 @@ from depotlens.operators.ledger import STOCK_KEY, closing_stock, ship_batch, sto
 
 _ANSWER = (
     "item_id string, warehouse_id string, request_id bigint, quantity bigint, "
-    "accepted boolean, stock_after bigint"
+    "accepted boolean, stock_after bigint, final boolean, late boolean, round bigint"
 )
+_STATE = "left bigint, horizon bigint, round bigint, at array<bigint>, ids array<bigint>, quantities array<bigint>"
+NEVER = -(1 << 62)
+COMPACT_EVERY = 20   # micro-batches between two full copies of the stock
 
 
-def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    left = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-    if left is None:
-        left = int(rows["stock_quantity"].iloc[0])
+def _fold(left: int, quantities: list[int]) -> tuple[list[bool], list[int]]:
     accepted, after = [], []
-    for quantity in rows["quantity"].tolist():
+    for quantity in quantities:
         fits = 0 < quantity <= left
         left -= quantity if fits else 0
         accepted.append(fits)
         after.append(left)
-    state.update((left,))
-    yield pd.DataFrame({
-        "item_id": key[0], "warehouse_id": key[1], "request_id": rows["request_id"].to_numpy(),
-        "quantity": rows["quantity"].to_numpy(), "accepted": accepted, "stock_after": after,
-    })
+    return accepted, after
+
+
+def _deciding(delay_us: int):
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames))
+        stock = int(rows["stock_quantity"].iloc[0])
+        left, horizon, number, *waiting = state.get if state.exists else (stock, NEVER, 0, [], [], [])
+        new = pd.DataFrame({"at": rows["at"], "id": rows["request_id"], "quantity": rows["quantity"]})
+        held = pd.DataFrame({"at": list(waiting[0]), "id": list(waiting[1]), "quantity": list(waiting[2])}, dtype="int64")
+        new["late"], held["late"] = new["at"] <= horizon, False
+        every = pd.concat([held, new]).sort_values(["late", "at", "id"], ascending=[False, True, True])
+        accepted, after = _fold(left, every["quantity"].tolist())
+        horizon = max(horizon, int(every["at"].max()) - delay_us)
+        final = (every["late"] | (every["at"] <= horizon)).tolist()
+        settled = sum(final)  # late ones first, then by time: a prefix
+        rest = every.iloc[settled:]
+        state.update((
+            after[settled - 1] if settled else left, horizon, number + 1,
+            rest["at"].tolist(), rest["id"].tolist(), rest["quantity"].tolist(),
+        ))
+        yield pd.DataFrame({
+            "item_id": key[0], "warehouse_id": key[1], "request_id": every["id"].to_numpy(),
+            "quantity": every["quantity"].to_numpy(), "accepted": accepted, "stock_after": after, "final": final,
+            "late": every["late"].to_numpy(), "round": number,
+        })
+
+    return decide
+
+
+def ship_stream(requests: DataFrame, opening: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Decisions per request in event-time order, as far as requests are no more than ``delay`` out of order.
+
+    Each micro-batch answers for its requests and for those still waiting of the
+    same item; :func:`latest_answers` keeps the newest answer, which is final
+    once the item has seen a request ``delay`` later.  A task holds the waiting
+    requests of one item, so the delay bounds its memory; items with very many
+    requests belong to :func:`start_shipping`.  The opening stock is read when
+    an item is first seen.  No delay means order of arrival between batches.
+    """
+    timed = stock_lookup(requests, opening).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return timed.groupBy(*STOCK_KEY).applyInPandasWithState(
+        _deciding(_micros(requests.sparkSession, delay)), _ANSWER, _STATE, "append", GroupStateTimeout.NoTimeout
+    )
 
 
-def ship_stream(requests: DataFrame, opening: DataFrame) -> DataFrame:
-    """Decisions per request, in time order inside a micro-batch, batches in arrival order.
+def latest_answers(answers: DataFrame) -> DataFrame:
+    """The newest answer to every request of :func:`ship_stream`."""
+    fields = ["quantity", "accepted", "stock_after", "final", "late"]
+    newest = answers.groupBy(*STOCK_KEY, "request_id").agg(F.max_by(F.struct(*fields), "round").alias("a"))
+    return newest.select(*STOCK_KEY, "request_id", "a.*")
 
-    A task holds the requests of one item in one micro-batch; bound those with
-    the rate limit of the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
-    The opening stock is read when an item is first seen.
-    """
-    return stock_lookup(requests, opening).groupBy(*STOCK_KEY).applyInPandasWithState(
-        _decide, _ANSWER, "left bigint", "append", GroupStateTimeout.NoTimeout
-    )
 
+def _micros(spark: SparkSession, delay: str) -> int:
+    span = f"TIMESTAMP'2000-01-01 00:00:00' + INTERVAL {delay}"
+    start = "TIMESTAMP'2000-01-01 00:00:00'"
+    return spark.range(1).select(F.expr(f"unix_micros({span}) - unix_micros({start})")).first()[0]
 
-def current_stock(spark: SparkSession, opening: DataFrame, path: str, before_batch: int | None = None) -> DataFrame:
-    """Opening stock overlaid with the newest figure each micro-batch left."""
-    base = opening.select(*STOCK_KEY, "quantity", F.lit(-1).cast("bigint").alias("batch_id"))
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        written = spark.read.parquet(f"{path}/stock")
-    except Exception as missing:  # nothing shipped yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+        return spark.read.parquet(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+            return None
+        raise
+
+
+def _base_before(batch_id: int) -> int:
+    """The batch whose full copy of the stock a later batch starts from; -1: the opening stock."""
+    return (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY if batch_id > COMPACT_EVERY else -1
+
+
+def current_stock(
+    spark: SparkSession, opening: DataFrame, path: str, before_batch: int | None = None, copied: int | None = None
+) -> DataFrame:
+    """Opening stock overlaid with the newest figure each micro-batch left.
+
+    Reads the last full copy and the batches after it, so the cost does not
+    grow with the history.
+    """
+    base = opening.select(*STOCK_KEY, "quantity", F.lit(-1).cast("bigint").alias("batch_id"))
+    written = _written(spark, f"{path}/stock")
+    if written is None:  # nothing shipped yet
         return base.drop("batch_id")
-    if before_batch is not None:
-        written = written.filter(F.col("batch_id") < before_batch)
-    newer = written.select(*STOCK_KEY, "quantity", F.col("batch_id").cast("bigint"))
+    if before_batch is None:
+        before_batch = written.agg(F.max("batch_id")).first()[0] + 1
+    copied = _base_before(before_batch) if copied is None else copied
+    if copied >= 0:
+        full = spark.read.parquet(f"{path}/stock_base/upto={copied}")
+        base = full.select(*STOCK_KEY, "quantity", F.lit(copied).cast("bigint").alias("batch_id"))
+    newer = written.filter((F.col("batch_id") > copied) & (F.col("batch_id") < before_batch)).select(
+        *STOCK_KEY, "quantity", F.col("batch_id").cast("bigint"))
     return base.unionByName(newer).groupBy(*STOCK_KEY).agg(
         F.max_by("quantity", "batch_id").alias("quantity")
     )
 
 
+def _settle(spark: SparkSession, opening: DataFrame, path: str, ready: DataFrame, batch_id: int, options: dict) -> None:
+    """Decides requests and writes what this batch decided and left."""
+    stock = current_stock(spark, opening, path, before_batch=batch_id)
+    decided = f"{path}/decisions/batch_id={batch_id}"
+    late_first = ["in_time", "ts", "request_id"]
+    ship_batch(stock, ready, order=late_first, **options).withColumn("late", ~F.col("in_time")).drop("in_time").write.mode(
+        "overwrite").parquet(decided)
+    answers = spark.read.parquet(decided)
+    touched = answers.select(*STOCK_KEY).distinct()
+    closing_stock(stock.join(touched, list(STOCK_KEY), "left_semi"), answers).select(
+        *STOCK_KEY, "quantity"
+    ).write.mode("overwrite").parquet(f"{path}/stock/batch_id={batch_id}")
+    if batch_id and batch_id % COMPACT_EVERY == 0:
+        current_stock(spark, opening, path, batch_id + 1, _base_before(batch_id)).write.mode("overwrite").parquet(
+            f"{path}/stock_base/upto={batch_id}")
+
+
 def start_shipping(
     requests: DataFrame, opening: DataFrame, path: str, checkpoint: str,
-    available_now: bool = True, **options,
+    available_now: bool = True, delay: str = "0 seconds", **options,
 ) -> StreamingQuery:
-    """Decides each micro-batch with :func:`ship_batch`.
+    """Decides each micro-batch with :func:`ship_batch`, in event-time order across batches.
 
-    Decisions and the stock of touched items go to folders named after the
-    batch, and a batch reads only the stock of earlier ones: repeating a batch
-    after a failure gives the same files.
+    A request waits in ``path/waiting`` until one ``delay`` later has been seen;
+    :func:`finish_shipping` decides what still waits when the source has ended.
+    Everything a batch writes goes to folders named after it, and a batch reads
+    only those of earlier ones: repeating a batch after a failure gives the
+    same files.
     """
+    delay_us = _micros(requests.sparkSession, delay)
+
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stock = current_stock(spark, opening, path, before_batch=batch_id)
-        decided = f"{path}/decisions/batch_id={batch_id}"
-        ship_batch(stock, batch, **options).write.mode("overwrite").parquet(decided)
-        answers = spark.read.parquet(decided)
-        touched = answers.select(*STOCK_KEY).distinct()
-        closing_stock(stock.join(touched, list(STOCK_KEY), "left_semi"), answers).select(
-            *STOCK_KEY, "quantity"
-        ).write.mode("overwrite").parquet(f"{path}/stock/batch_id={batch_id}")
+        waiting = _written(spark, f"{path}/waiting/batch_id={batch_id - 1}")
+        horizons = _written(spark, f"{path}/horizon")
+        before = None if horizons is None else horizons.filter(F.col("batch_id") < batch_id).agg(F.max("until")).first()[0]
+        before = NEVER if before is None else before
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        every = batch.withColumn("in_time", at > before)
+        if waiting is not None:
+            every = every.unionByName(waiting.select(*batch.columns).withColumn("in_time", F.lit(True)))
+        newest = batch.agg(F.max(at)).first()[0]
+        until = before if newest is None else max(before, newest - delay_us)
+        spark.createDataFrame([(until,)], "until bigint").write.mode("overwrite").parquet(f"{path}/horizon/batch_id={batch_id}")
+        _settle(spark, opening, path, every.filter(~F.col("in_time") | (at <= until)), batch_id, options)
+        every.filter(F.col("in_time") & (at > until)).drop("in_time").write.mode("overwrite").parquet(
+            f"{path}/waiting/batch_id={batch_id}")
 
     writer = requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def finish_shipping(spark: SparkSession, opening: DataFrame, path: str, **options) -> None:
+    """Decides the requests that still wait after the last batch; call it once the source has ended."""
+    batches = _written(spark, f"{path}/horizon")
+    if batches is None:
+        return
+    last = batches.agg(F.max("batch_id")).first()[0]
+    waiting = spark.read.parquet(f"{path}/waiting/batch_id={last}").withColumn("in_time", F.lit(True))
+    _settle(spark, opening, path, waiting, last + 1, options)

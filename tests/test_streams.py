@@ -1,11 +1,14 @@
 import random
+import time
 from datetime import datetime, timedelta
 from uuid import uuid4
 
 import pytest
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from depotlens.operators import ledger
+from depotlens.plans import ORACLES, QUERIES
 from depotlens.schemas import CHANGE
 from depotlens.sources.catalogue import read_changes
 from depotlens.streaming import cdc, live, ship
@@ -190,6 +193,63 @@ def test_continuous_decrement_equals_batch(spark, folder, how):
     assert {r["request_id"]: (r["accepted"], r["stock_after"]) for r in got.collect()} == want
 
 
+@pytest.fixture(scope="module")
+def scattered(spark, sf, tmp_path_factory):
+    """The given tables with ``events`` dealt over 130 files in no order."""
+    folder = tmp_path_factory.mktemp("scattered")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(130, F.xxhash64("event_id")).write.option(
+        "maxRecordsPerFile", 7).parquet(f"{folder}/events.parquet")
+    (folder / "customer.parquet").symlink_to(f"{sf}/customer.parquet")
+    assert len(list((folder / "events.parquet").glob("*.parquet"))) >= 130
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["str_3_stream_per_hour", "sta_2_ship_stream", "sta_2_ship_micro_batches"])
+def test_streams_of_many_shuffled_files_equal_their_sql(spark, sf, scattered, name):
+    cols, names, _, _, mine, theirs = compare(spark, connect(sf), QUERIES[name], ORACLES[name], scattered)
+    assert cols == names and mine == theirs
+
+
+@pytest.mark.parametrize("how", ["state", "batches"])
+def test_late_requests_are_decided_and_marked(spark, folder, how):
+    opening = spark.createDataFrame([("A", "W", 10)], "item_id string, warehouse_id string, quantity long")
+    rows = [(i, T0 + timedelta(seconds=s), "A", "W", 4) for i, s in enumerate([100, 90, 200, 95, 400, 10])]
+    source = folder("in")
+    for part in (rows[:2], rows[2:3], rows[3:4], rows[4:5], rows[5:]):
+        spark.createDataFrame(part, SHIP).coalesce(1).write.mode("append").json(source)
+        time.sleep(1.1)  # files are taken by age
+    stream = spark.readStream.schema(SHIP).option("maxFilesPerTrigger", 1).json(source)
+    if how == "state":
+        answers = run_append(spark, ship.ship_stream(stream, opening, "50 seconds"), folder("out"), folder("mark"))
+        assert answers.filter("final").groupBy("request_id").count().filter("count > 1").count() == 0
+        got = ship.latest_answers(answers)
+    else:
+        path = folder("ship")
+        ship.start_shipping(stream, opening, path, folder("mark"), delay="50 seconds").awaitTermination()
+        assert {r["request_id"] for r in spark.read.parquet(f"{path}/decisions").collect()} == {0, 1, 2, 3, 5}
+        ship.finish_shipping(spark, opening, path)
+        got = spark.read.parquet(f"{path}/decisions")
+        assert ship.current_stock(spark, opening, path).first()["quantity"] == 2
+    found = {r["request_id"]: (r["accepted"], r["late"]) for r in got.collect()}
+    # 1 at 90 s and 0 at 100 s are final once 2 at 200 s is seen, so 3 at 95 s comes too late.
+    assert found == {0: (True, False), 1: (True, False), 2: (False, False), 3: (False, True), 4: (False, False), 5: (False, True)}
+
+
+def test_shipping_starts_from_a_copy_of_the_stock(spark, folder, monkeypatch):
+    monkeypatch.setattr(ship, "COMPACT_EVERY", 2)
+    rows, source, path = asked(120), folder("in"), folder("ship")
+    for i in range(6):
+        spark.createDataFrame(rows[i * 20:(i + 1) * 20], SHIP).coalesce(1).write.mode("append").json(source)
+    opening = spark.createDataFrame([(f"I{k}", "W", 60) for k in range(6)], "item_id string, warehouse_id string, quantity long")
+    stream = spark.readStream.schema(SHIP).option("maxFilesPerTrigger", 1).json(source)
+    ship.start_shipping(stream, opening, path, folder("mark"), delay="1 day").awaitTermination()
+    ship.finish_shipping(spark, opening, path)
+    want = {r["request_id"]: r["accepted"] for r in ledger.ship_batch(opening, spark.createDataFrame(rows, SHIP)).collect()}
+    assert {r["request_id"]: r["accepted"] for r in spark.read.parquet(f"{path}/decisions").collect()} == want
+    files = ship.current_stock(spark, opening, path).inputFiles()
+    assert files and all("upto=6" in f for f in files)
+
+
 def test_running_totals_follow_the_replica(spark):
     rows = [("index", 1, T0, T0, "A", "W", None, 5), ("index", 2, T0, T0, "A", "W", 5, 3),
             ("index", 3, T0, T0, "B", "W", None, 4), ("delete", 4, T0, T0, "A", "W", 3, None)]
