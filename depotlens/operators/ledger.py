@@ -39,14 +39,18 @@ def ship_batch(
     rejected one leaves it as it is, so a later, smaller one may still fit.
     Returns the requests with ``accepted`` and ``stock_after``.
 
-    Quantities and stock must be whole numbers.  ``order`` must end in a unique
+    Quantities and stock must be whole numbers or decimals; decimals are decided
+    exactly, as whole numbers of the smallest unit.  ``order`` must end in a unique
     column.  Ordinary keys are streamed in order through their task in constant
     memory.  Keys with more than ``hot_rows`` requests are cut into slices that
     many tasks work on (see :func:`_ship_hot`).
     """
-    for frame in (stock, requests):
-        if not isinstance(frame.schema["quantity"].dataType, (T.LongType, T.IntegerType)):
-            raise TypeError("quantity must be a whole-number column")
+    kinds = [frame.schema["quantity"].dataType for frame in (stock, requests)]
+    if not all(isinstance(kind, (T.LongType, T.IntegerType, T.DecimalType)) for kind in kinds):
+        raise TypeError("quantity must be a whole-number or decimal column")
+    scale = max(kind.scale if isinstance(kind, T.DecimalType) else 0 for kind in kinds)
+    if any(isinstance(kind, T.DecimalType) for kind in kinds):
+        return _ship_decimals(stock, requests, scale, keys, order, hot_rows, partitions)
     keys, order = list(keys), list(order)
     requests = requests.withColumn("quantity", F.col("quantity").cast("bigint"))
     stock = stock.select(*keys, F.col("quantity").cast("bigint").alias("quantity"))
@@ -68,6 +72,22 @@ def ship_batch(
     return both.select(*requests.columns, "accepted", "stock_after")
 
 
+def _ship_decimals(
+    stock: DataFrame, requests: DataFrame, scale: int, keys: Sequence[str], order: Sequence[str], hot_rows: int,
+    partitions: int | None,
+) -> DataFrame:
+    """:func:`ship_batch` in whole units of 10 to the power of -``scale``."""
+    unit = 10**scale
+    kind = f"decimal(38,{scale})"
+
+    def units(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("quantity", (F.col("quantity").cast(kind) * F.lit(unit)).cast("bigint"))
+
+    decided = ship_batch(units(stock), units(requests), keys, order, hot_rows, partitions)
+    back = {c: (F.col(c).cast("decimal(20,0)") / F.lit(unit)).cast(f"decimal({20 + scale},{scale})") for c in ("quantity", "stock_after")}
+    return decided.withColumns(back)
+
+
 def _ship_streamed(stock: DataFrame, requests: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One shuffle: each key's stock row travels with its requests and sorts first."""
     marked = requests.withColumn("_is_request", F.lit(True))

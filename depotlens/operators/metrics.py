@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.functions.percentiles import (
-    count_profile, floor_index, nearest_rank, profile, value_counts,
+    count_profile, floor_index, nearest_rank, profile, ranked_percentiles, value_counts,
 )
 from depotlens.functions.scalar import (
     iso_instant, mean_rounded, percent, percent_fixed1, percent_whole, round_half_up,
@@ -80,11 +80,21 @@ def mean_latency(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def _whole(df: DataFrame, value: str) -> bool:
+    return df.schema[value].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
 def nearest_rank_percentiles(df: DataFrame, by: Sequence[str], value: str = "latency_ms") -> DataFrame:
+    """Fractional values keep their fraction; they are ranked in ranges instead of being counted in one place."""
+    if not _whole(df, value):
+        return ranked_percentiles(df, value, by, (50, 95, 99), "nearest")
     return profile(df, value, by).select(*by, *[nearest_rank(p).alias(f"p{p}") for p in (50, 95, 99)])
 
 
 def floor_index_percentiles(df: DataFrame, by: Sequence[str], value: str = "latency_ms") -> DataFrame:
+    """As :func:`nearest_rank_percentiles`, by the other rule."""
+    if not _whole(df, value):
+        return ranked_percentiles(df, value, by, (50, 95, 99), "floor")
     return profile(df, value, by).select(*by, *[floor_index(p).alias(f"p{p}") for p in (50, 95, 99)])
 
 
@@ -166,7 +176,8 @@ def load_report(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def hot_keys(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` busiest keys with their share of all requests."""
     counted = df.groupBy(key).agg(rows().alias("requests"))
-    everything = df.agg(rows().alias("n")).scalar()
+    # The totals add up the counted keys, whose exchange both branches share.
+    everything = counted.agg(F.sum("requests")).scalar()
     return (
         counted.orderBy(F.desc("requests"), key).limit(n)
         .withColumn("share", F.round(F.col("requests") / everything, 6))
@@ -183,7 +194,7 @@ def distribution_check(
         F.explode(F.map_keys(wanted)).alias(key), F.lit(0).cast("bigint").alias("n")
     )
     merged = counted.unionByName(unseen).groupBy(key).agg(F.sum("n").alias("requests"))
-    everything = df.agg(rows().alias("n")).scalar()
+    everything = counted.agg(F.sum("n")).scalar()
     share = F.coalesce(F.col("requests") / F.nullif(everything, F.lit(0)), F.lit(0.0))
     target = F.coalesce(F.try_element_at(wanted, F.col(key)), F.lit(0.0))
     return merged.select(

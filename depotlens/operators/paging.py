@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotlens.functions.scalar import decode_token, encode_token
 from depotlens.operators.skew import global_rank
 from depotlens.schemas import PAGE_SIZE, PRIMARY_KEY
 
-# Pages up to this depth come from a bounded top-k; deeper ones from ranks.
-TOP_K_DEPTH = 10_000
+TOP_K_DEPTH = 10_000   # offsets from here on are reached through counted key ranges
 
 
 def axis_order(axis: str) -> list[str]:
@@ -25,7 +24,7 @@ class Page:
     """Rows of one page, and the cursor that continues after its last row."""
 
     rows: DataFrame
-    peeked: DataFrame  # the page plus one more row, if any
+    peeked: DataFrame  # the page plus one more row, if any, numbered in order
     order: tuple[str, ...]
     descending: bool
     size: int
@@ -36,14 +35,21 @@ class Page:
         At most size + 1 rows arrive here; the token comes from the last row of
         a full page that has a successor.
         """
-        directed = [F.desc(c) if self.descending else F.asc(c) for c in self.order]
-        place = F.struct(*self.order)
-        last = (F.min(place) if self.descending else F.max(place)).alias("last")
-        body = self.rows.orderBy(*directed).limit(self.size)
-        ends = body.agg(last).withColumn("rows_ahead", self.peeked.agg(F.count(F.lit(1))).scalar())
-        return ends.select(
-            F.when(F.col("rows_ahead") > self.size, encode_token(F.col("last"))).alias("next_token")
+        return self.peeked.agg(self._token().alias("next_token"))
+
+    def _token(self) -> Column:
+        """Aggregate over the numbered rows: the cursor after the page."""
+        last = F.max(F.when(F.col("_at") == self.size, F.struct(*self.order)))
+        return F.when(F.max("_at") > self.size, encode_token(last))
+
+    def with_token(self) -> DataFrame:
+        """The rows with ``next_token``, from one top-k of size + 1 rows."""
+        columns = [c for c in self.peeked.columns if c != "_at"]
+        every = self.peeked.groupBy().agg(
+            self._token().alias("next_token"), F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("page")
         )
+        page = every.select(F.explode(F.slice("page", 1, self.size)).alias("row"), "next_token")
+        return page.select(*[F.col("row")[c].alias(c) for c in columns], "next_token")
 
     def next_token(self) -> str | None:
         return self.token_table().first()["next_token"]
@@ -71,21 +77,45 @@ def ordered_page(
         df = df.filter(after_cursor(columns, decode_token(token, columns), descending))
     directed = [F.desc(c) if descending else F.asc(c) for c in columns]
     ordered = df.orderBy(*directed)
-    return Page(ordered.limit(size), ordered.limit(size + 1), tuple(columns), descending, size)
+    # The limit leaves size + 1 rows in one task; they are numbered there.
+    number = F.row_number().over(Window.orderBy(*directed))
+    peeked = ordered.limit(size + 1).withColumn("_at", number)
+    return Page(ordered.limit(size), peeked, tuple(columns), descending, size)
 
 
 def offset_page(
-    df: DataFrame, order: list[str], start: int = 0, size: int = PAGE_SIZE
+    df: DataFrame, order: list[str], start: int = 0, size: int = PAGE_SIZE, top_k_depth: int | None = None
 ) -> DataFrame:
-    """Rows start .. start + size in a total order.
+    """Rows start .. start + size in a total order, in that order.
 
     A top-k keeps start + size rows in each task, which is right for the first
-    pages only.  Deep pages count chunks of the sorted rows and read the range.
+    pages only.  For deeper ones the keys alone are range-partitioned and
+    counted; the ranges that hold the page bound the keys that are read, and
+    the page is the top of what lies between.
     """
-    if start + size <= TOP_K_DEPTH:
+    if start + size <= (TOP_K_DEPTH if top_k_depth is None else top_k_depth):
         return df.orderBy(*order).offset(start).limit(size)
-    ranked = global_rank(df, order)
-    return ranked.filter(F.col("rank").between(start + 1, start + size)).drop("rank")
+    key = F.struct(*order)
+    ranges = df.select(*order).repartitionByRange(*order).groupBy(F.spark_partition_id().alias("range")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")
+    )
+    line = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, 0)  # a row for each range
+    held = ranges.withColumn("upto", F.sum("n").over(line)).filter(
+        (F.col("upto") > start) & (F.col("upto") - F.col("n") < start + size)
+    ).orderBy("upto").collect()
+    if not held:
+        return df.filter(F.lit(False))
+
+    def literal(place) -> Column:
+        types = df.select(*order).schema
+        return F.struct(*[F.lit(place[c]).cast(types[c].dataType).alias(c) for c in order])
+
+    inside = df.filter(
+        (F.col(order[0]) >= F.lit(held[0]["first"][order[0]])) & (F.col(order[0]) <= F.lit(held[-1]["last"][order[0]]))
+        & (key >= literal(held[0]["first"])) & (key <= literal(held[-1]["last"]))
+    ) if all(v is not None for v in (held[0]["first"][order[0]], held[-1]["last"][order[0]])) else df.filter(
+        (key >= literal(held[0]["first"])) & (key <= literal(held[-1]["last"])))
+    return inside.orderBy(*order).offset(start - (held[0]["upto"] - held[0]["n"])).limit(size)
 
 
 def page_info(df: DataFrame, start: int = 0, size: int = PAGE_SIZE) -> DataFrame:
@@ -104,12 +134,12 @@ def capped_walk(df: DataFrame, criteria, size: int = PAGE_SIZE) -> DataFrame:
     Only the order and a hit flag are ranked, and a warehouse is ranked in
     chunks rather than in one task.
     """
-    from depotlens.operators.search import _all_of, choose_axis
+    from depotlens.operators.search import all_of, choose_axis
 
     choice = choose_axis(criteria)
     columns = axis_order(choice.axis)
-    marked = df.filter(_all_of(choice.on_axis)).select(
-        *columns, _all_of(list(choice.residual.values())).alias("hit")
+    marked = df.filter(all_of(choice.on_axis)).select(
+        *columns, all_of(list(choice.residual.values())).alias("hit")
     )
     page = (F.floor((F.col("rank") - 1) / size) + 1).alias("page")
     return global_rank(marked, columns).groupBy(page).agg(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depotlens.functions.scalar import query_tokens, tokens
+from depotlens.operators.search import Criteria, all_of
+from depotlens.schemas import PAGE_SIZE, PRIMARY_KEY
 from depotlens.session import written_table
 
 
@@ -13,6 +17,37 @@ def _occurrences(words: str, term: str) -> Column:
     return F.size(words) - F.size(F.array_remove(words, term))
 
 
+def relevance_search(
+    df: DataFrame, criteria: Criteria, keys: Sequence[str] = PRIMARY_KEY, start: int = 0, size: int = PAGE_SIZE,
+    text: str = "item_name", k1: float = 1.2, b: float = 0.75,
+) -> DataFrame:
+    """One page of a complete search, best match of the name first: rows, ``score`` and ``total``.
+
+    Without a name every score is 0 and the keys give the order.  The statistics
+    of the collection cover the whole table, whatever the other criteria are.
+    Two passes: one reads the text column and counts, the other keeps a top-k of
+    whole rows.
+    """
+    terms = query_tokens(criteria.item_name or "")
+    met = all_of(list(criteria.conditions("complete").values()))
+    words = tokens(F.col(text))
+    tf = [F.size(words) - F.size(F.array_remove(words, term)) for term in terms]
+    counted = df.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(words)), F.lit(0)).alias("length"),
+        F.count_if(met).alias("total"), *[F.count_if(t > 0).alias(f"df{i}") for i, t in enumerate(tf)],
+    ).first()
+    score = F.lit(0.0)
+    if terms and counted["length"]:
+        norm = k1 * (F.lit(1 - b) + b * F.size(words) / (counted["length"] / counted["n"]))
+        for i, t in enumerate(tf):
+            found = counted[f"df{i}"]
+            idf = F.log(F.lit(1.0 + (counted["n"] - found + 0.5) / (found + 0.5)))
+            score = score + idf * t * (k1 + 1) / (t + norm)
+    scored = df.filter(met).withColumn("score", F.round(score, 6))
+    page = scored.orderBy(F.desc("score"), *keys).offset(start).limit(size)
+    return page.withColumn("total", F.lit(counted["total"]).cast("bigint"))
+
+
 def ranked_search(
     docs: DataFrame, key: str, text: str, query: str, k: int, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:

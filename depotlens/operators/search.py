@@ -84,7 +84,7 @@ class Criteria:
             ("unit_price", self.min_price, self.max_price),
             ("quantity", self.min_quantity, self.max_quantity),
         ):
-            bound = closed_range(column, low, high)
+            bound = whole_range(column, low, high)
             if bound is not None:
                 found[column] = bound
         return found
@@ -121,6 +121,19 @@ def closed_range(column: str, low: float | None, high: float | None) -> Column |
     return None
 
 
+def whole_range(column: str, low: float | None, high: float | None) -> Column | None:
+    """:func:`closed_range` on a whole-number column: bounds become whole numbers, so they reach the files."""
+    if low is None and high is None:
+        return None
+    if low == math.inf or high == -math.inf:
+        return F.lit(False)
+    low = None if low is None or low == -math.inf else math.ceil(low)
+    high = None if high is None or high == math.inf else math.floor(high)
+    edge = (1 << 63) - 1
+    held = [None if b is None else max(min(b, edge), -edge) for b in (low, high)]
+    return closed_range(column, *held) if any(b is not None for b in held) else F.col(column).isNotNull()
+
+
 def match_any(column: str, text: str) -> Column:
     """True when any token of ``text`` is a token of the column; no token, no match.
 
@@ -135,18 +148,18 @@ def match_any(column: str, text: str) -> Column:
     return near & F.arrays_overlap(tokens(F.col(column)), F.array(*[F.lit(t) for t in wanted]))
 
 
-def _all_of(conditions: Sequence[Column]) -> Column:
+def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 
 
 def search(df: DataFrame, criteria: Criteria) -> DataFrame:
     """Complete mode: all rows that meet every present criterion."""
-    return df.filter(_all_of(list(criteria.conditions("complete").values())))
+    return df.filter(all_of(list(criteria.conditions("complete").values())))
 
 
 def search_any(df: DataFrame, groups: Sequence[Criteria]) -> DataFrame:
     """Rows that meet at least one group: one scan, where a union would take one per group."""
-    met = [_all_of(list(c.conditions("complete").values())) for c in groups]
+    met = [all_of(list(c.conditions("complete").values())) for c in groups]
     return df.filter(reduce(lambda a, b: a | b, met))
 
 
@@ -205,10 +218,10 @@ def capped_search(
     if not criteria.warehouse_id:
         return CappedResult(df.filter(F.lit(False)), None, "none", (), NOTE_NO_WAREHOUSE)
     choice = choose_axis(criteria)
-    page = ordered_page(df.filter(_all_of(choice.on_axis)), choice.axis, token=token, size=size)
+    page = ordered_page(df.filter(all_of(choice.on_axis)), choice.axis, token=token, size=size)
     notes = [n for c, n in (("item_name", NOTE_NAME), ("quantity", NOTE_QUANTITY)) if c in choice.residual]
     return CappedResult(
-        page.rows.filter(_all_of(list(choice.residual.values()))),
+        page.rows.filter(all_of(list(choice.residual.values()))),
         page, choice.view, tuple(criteria.description(c) for c in choice.residual),
         "; ".join(notes) or None,
     )
@@ -308,4 +321,4 @@ def relational_search(
     """Substring and range conditions on any columns, any order, LIMIT and OFFSET."""
     met = [F.col(c).contains(v) for c, v in contains.items()]
     met += [F.col(c).between(*b) for c, b in ranges.items()]
-    return df.filter(_all_of(met)).orderBy(*order).offset(offset).limit(limit)
+    return df.filter(all_of(met)).orderBy(*order).offset(offset).limit(limit)

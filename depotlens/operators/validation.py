@@ -131,6 +131,20 @@ def validate_run(df: DataFrame, kind: str) -> DataFrame:
     return _verdict(df, rules)
 
 
+def exact_quantities(valid: DataFrame, scale: int = 6) -> DataFrame:
+    """Validated requests with ``quantity`` as a decimal that :func:`~depotlens.operators.ledger.ship_batch` takes.
+
+    Adds ``code`` and ``message`` to those that need more digits, for :func:`split_valid`.
+    """
+    text = F.col("quantity").cast("string")
+    exact = text.try_cast(f"decimal({12 + scale},{scale})")
+    fits = exact.isNotNull() & (exact.cast("double") == F.col("quantity").cast("double"))
+    message = F.lit(f"quantity must have at most {scale} decimals")
+    return valid.withColumns({
+        "message": F.when(~fits, message), "code": F.when(~fits, F.lit("INVALID_REQUEST")), "quantity": exact,
+    })
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows without verdict columns, and the quarantine with them."""
     return (

@@ -121,6 +121,39 @@ def _(spark, sf):
     return ledger.ship_responses(decided).drop("ts")
 
 
+@query("val_1_bodies_to_stock", """WITH RECURSIVE valid AS (
+      SELECT request_id, body->>'$.warehouseId' AS warehouse_id, body->>'$.itemId' AS item_id,
+        CAST(body->>'$.quantity' AS DECIMAL(18, 6)) AS quantity
+      FROM ship_bodies WHERE CASE WHEN json_valid(body) THEN coalesce(json_type(body, '$.warehouseId'), '') = 'VARCHAR'
+        AND coalesce(json_type(body, '$.itemId'), '') = 'VARCHAR'
+        AND coalesce(json_type(body, '$.quantity'), '') IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+        AND TRY_CAST(body->>'$.quantity' AS DOUBLE) > 0
+        AND coalesce(body->>'$.table', '') IN ('bad', 'good', 'goodGsi', 'badOnDemand') ELSE false END),
+    numbered AS (
+      SELECT v.*, row_number() OVER (PARTITION BY v.item_id, v.warehouse_id ORDER BY v.request_id) AS rn,
+        coalesce(s.quantity, 0)::DECIMAL(18, 6) AS stock_quantity
+      FROM valid v LEFT JOIN opening_stock s USING (item_id, warehouse_id)),
+    shipped AS (
+      SELECT item_id, warehouse_id, request_id, rn, quantity, quantity <= stock_quantity AS accepted,
+        (CASE WHEN quantity <= stock_quantity THEN stock_quantity - quantity ELSE stock_quantity END)::DECIMAL(18, 6)
+          AS stock_after
+      FROM numbered WHERE rn = 1
+      UNION ALL
+      SELECT n.item_id, n.warehouse_id, n.request_id, n.rn, n.quantity, n.quantity <= s.stock_after,
+        (CASE WHEN n.quantity <= s.stock_after THEN s.stock_after - n.quantity ELSE s.stock_after END)::DECIMAL(18, 6)
+      FROM shipped s JOIN numbered n ON n.item_id = s.item_id AND n.warehouse_id = s.warehouse_id AND n.rn = s.rn + 1)
+    SELECT request_id, item_id, warehouse_id, quantity::DOUBLE AS quantity, accepted,
+      stock_after::DOUBLE AS stock_after FROM shipped""", "ship_bodies opening_stock")
+def _(spark, sf):
+    """Request bodies parsed, checked, and the valid ones decided, fractions included."""
+    checked = validation.validate_ship(validation.parse_ship_bodies(tables.ship_bodies(spark, sf)))
+    valid, _ = validation.split_valid(checked)
+    exact, _ = validation.split_valid(validation.exact_quantities(valid))
+    wanted = exact.select("request_id", "item_id", "warehouse_id", "quantity")
+    decided = ledger.ship_batch(tables.opening_stock(spark, sf), wanted, order=["request_id"])
+    return decided.withColumns({c: F.col(c).cast("double") for c in ("quantity", "stock_after")})
+
+
 @query("sta_1_sliced_decrement", SHIPPED + _ANSWER, "ship_requests opening_stock")
 def _(spark, sf):
     """The path for hot keys, taken here by every item with more than 60 requests."""

@@ -72,6 +72,29 @@ def _(spark, sf):
     return metrics.floor_index_percentiles(requests(spark, sf), ["variant"])
 
 
+def fractional_sql(by: str, rule: str) -> str:
+    return f"""SELECT {by},
+      max(value) FILTER (rn = {rule.format(p=50)} + 1) AS p50, max(value) FILTER (rn = {rule.format(p=95)} + 1) AS p95,
+      max(value) FILTER (rn = {rule.format(p=99)} + 1) AS p99
+    FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY value) AS rn,
+          count(*) OVER (PARTITION BY {by}) AS n FROM events) ranked GROUP BY {by}"""
+
+
+@query("agg_4_fractional_values", fractional_sql("user_id", "least(n * {p} // 100, n - 1)"))
+def _(spark, sf):
+    return metrics.floor_index_percentiles(tables.load(spark, sf, "events"), ["user_id"], "value")
+
+
+@query("win_4_fractional_per_type", fractional_sql("event_type", "least(n * {p} // 100, n - 1)"))
+def _(spark, sf):
+    return metrics.floor_index_percentiles(tables.load(spark, sf, "events"), ["event_type"], "value")
+
+
+@query("agg_3_fractional_values", fractional_sql("event_type", "((n * {p} + 99) // 100 - 1)"))
+def _(spark, sf):
+    return metrics.nearest_rank_percentiles(tables.load(spark, sf, "events"), ["event_type"], "value")
+
+
 @query("agg_5_rates", f"""
     SELECT run_id, {rate_sql('t', 'n')} AS throttle_rate, {fixed1_sql('t', 'n')} AS throttle_rate_text,
       {fixed1_sql('s', 'n')} AS success_rate_text, floor(s::DOUBLE / n * 100 + 0.5)::BIGINT AS success_percent,

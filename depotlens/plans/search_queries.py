@@ -274,7 +274,7 @@ def _(spark, sf):
     rows = inventory(spark, sf).filter(F.col("warehouse_id") == "WH-TOKYO")
     first = paging.ordered_page(rows, "unit_price")
     second = paging.ordered_page(rows, "unit_price", token=first.next_token())
-    return second.rows.withColumn("next_token", second.token_table().scalar())
+    return second.with_token()
 
 
 @query("pag_3_offset_page", f"""{SELECT} WHERE {FIVE_SQL.split('AND starts_with(item_id')[0]}
@@ -287,8 +287,7 @@ def _(spark, sf):
 @query("pag_3_deep_offset_page", f"""{SELECT} ORDER BY quantity, item_id, warehouse_id
     LIMIT 20 OFFSET 500""", "inventory")
 def _(spark, sf):
-    ranked = paging.global_rank(inventory(spark, sf), ["quantity", "item_id", "warehouse_id"])
-    return ranked.filter(F.col("rank").between(501, 520)).drop("rank")
+    return paging.offset_page(inventory(spark, sf), ["quantity", "item_id", "warehouse_id"], 500, 20, top_k_depth=100)
 
 
 @query("pag_4_page_info", f"""
@@ -348,6 +347,29 @@ def _(spark, sf):
     return ranking.ranked_search(tables.load(spark, sf, "part"), "p_partkey", "p_name", "Red gizmo", 20)
 
 
+_RELEVANCE_SQL = """WITH words AS (SELECT *, list_filter(string_split_regex(lower(item_name), '[^\\p{L}\\p{N}]+'),
+          lambda w: w <> '') AS w FROM inventory),
+    counted AS (SELECT *, len(w)::DOUBLE AS length FROM words),
+    collection AS (SELECT count(*) AS n, avg(length) AS mean_length FROM counted),
+    hits AS (SELECT warehouse_id, item_id, length, term, len(list_filter(w, lambda x: x = term)) AS tf
+      FROM counted, (SELECT unnest(['red', 'ring']) AS term) q),
+    freq AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM hits GROUP BY term),
+    scores AS (SELECT warehouse_id, item_id,
+        round(sum(ln(1.0 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
+        / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length))), 6) AS score
+      FROM hits JOIN freq USING (term), collection WHERE tf > 0 GROUP BY ALL)"""
+
+
+@query("pag_6_relevance_page", f"""{_RELEVANCE_SQL}
+    SELECT i.*, score, count(*) OVER () AS total FROM inventory i JOIN scores USING (warehouse_id, item_id)
+    WHERE {TOKYO} AND unit_price BETWEEN 905 AND 990 ORDER BY score DESC, item_id, warehouse_id LIMIT 20 OFFSET 5""",
+    "inventory")
+def _(spark, sf):
+    """Best matches of a name under other criteria, from the sixth row on."""
+    wanted = Criteria("WH-TOKYO", item_name="red ring", min_price=905, max_price=990)
+    return ranking.relevance_search(inventory(spark, sf), wanted, start=5)
+
+
 @query("pag_7_run_history", """
     SELECT execution_id, variant, strftime(started_at, '%Y-%m-%dT%H:%M:%S.000Z') AS started_at,
       substr(execution_id, 1, 8) || '…' AS short_id FROM runs ORDER BY started_at DESC, execution_id DESC""",

@@ -30,6 +30,39 @@ def _(spark, sf):
     )
 
 
+@query("src_2_change_feed", """
+    SELECT op, count(*) AS changes, count(DISTINCT item_id) AS items, min(version) AS first_version,
+      max(version) AS last_version, coalesce(sum(new_quantity), 0)::BIGINT AS new_quantity FROM changes GROUP BY op""",
+    "changes")
+def _(spark, sf):
+    path, read = scratch(spark, "feed"), scratch(spark, "feed-read")
+    tables.changes(spark, sf).write.json(path)
+    stream = catalogue.read_changes(spark, path, max_files_per_trigger=4)
+    stream.writeStream.format("parquet").option("path", read).option(
+        "checkpointLocation", scratch(spark, "feed-checkpoint")
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(read).groupBy("op").agg(
+        F.count(F.lit(1)).alias("changes"), F.countDistinct("item_id").alias("items"),
+        F.min("version").alias("first_version"), F.max("version").alias("last_version"),
+        F.coalesce(F.sum("new_quantity"), F.lit(0)).alias("new_quantity"),
+    )
+
+
+@query("src_1_typed_export", """
+    SELECT warehouse_id, count(*) AS items, sum(quantity)::BIGINT AS quantity, min(item_id) AS first_item,
+      max(unit_price) AS highest_price FROM inventory GROUP BY warehouse_id""", "inventory")
+def _(spark, sf):
+    path = scratch(spark, "typed-export")
+    typed = {"warehouseId": ("warehouse_id", "S"), "itemId": ("item_id", "S"), "quantity": ("quantity", "N"),
+             "unitPrice": ("unit_price", "N")}
+    item = F.struct(*[F.struct(F.col(c).cast("string").alias(k)).alias(name) for name, (c, k) in typed.items()])
+    inventory(spark, sf).select(item.alias("Item")).write.json(path)
+    return catalogue.read_typed_export(spark, path).groupBy("warehouse_id").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("quantity").alias("quantity"),
+        F.min("item_id").alias("first_item"), F.max("unit_price").alias("highest_price"),
+    )
+
+
 @query("src_3_expand_catalogue", """
     SELECT w AS warehouse_id, item_id, item_name, lot_number, location, unit_price
     FROM skus, (SELECT unnest(['WH-TOKYO','WH-OSAKA','WH-FUKUOKA']) AS w) wh""", "skus")
@@ -75,6 +108,13 @@ def _(spark, sf):
     return catalogue.distinct_keys(inventory(spark, sf), 2000)
 
 
+@query("src_6a_capped_items", """
+    SELECT DISTINCT item_id FROM inventory ORDER BY item_id LIMIT 150""", "inventory")
+def _(spark, sf):
+    """A cap below the number of items."""
+    return catalogue.distinct_keys(inventory(spark, sf), 150)
+
+
 @query("src_6b_pairs_of_head", """
     SELECT DISTINCT warehouse_id, item_id FROM (SELECT warehouse_id, item_id FROM inventory
       ORDER BY item_id, warehouse_id LIMIT 1000) head WHERE warehouse_id <> '' AND item_id <> ''""", "inventory")

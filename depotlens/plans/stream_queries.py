@@ -112,15 +112,14 @@ def _(spark, sf):
     return live.per_minute(tables.requests(spark, sf))
 
 
-def _written(spark, name: str, stream, mode: str = "append"):
+def _written(spark, name: str, stream):
     """Runs a stream over all files there are and returns what it wrote."""
     out, checkpoint = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
 
     def write(batch, batch_id: int) -> None:
-        target = out if mode == "complete" else f"{out}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option(
+    stream.writeStream.outputMode("append").foreachBatch(write).option(
         "checkpointLocation", checkpoint
     ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
@@ -150,7 +149,9 @@ def _(spark, sf):
     FROM changes GROUP BY warehouse_id""", "changes")
 def _(spark, sf):
     feed = tables.changes(spark, sf, tables.load_stream(spark, sf, "events"))
-    return _written(spark, "totals", cdc.running_totals(feed), "complete")
+    path = scratch(spark, "totals")
+    cdc.start_totals(feed, path, scratch(spark, "totals-checkpoint")).awaitTermination()
+    return cdc.read_totals(spark, path)
 
 
 _DECIDED = SHIPPED + """

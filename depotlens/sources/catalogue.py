@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,15 +69,19 @@ def expand_catalogue(skus: DataFrame, warehouses: Sequence[str], position: str |
 def put_all(
     target: DataFrame, batch: DataFrame, keys: Sequence[str] = PRIMARY_KEY, seq: str | None = None
 ) -> DataFrame:
-    """Full replacement by key; inside the batch the highest ``seq`` wins.
+    """Full replacement by key; inside the batch the highest ``seq`` wins, and a row without one loses to any other.
 
-    One shuffle by key with map-side merging: batch rows outrank target rows, so
-    neither an anti-join nor a sorted group is needed.
+    Equal or missing ``seq`` of one key is settled by a hash of the values, so a
+    repeated run agrees.  Every batch row outranks the target row.  One shuffle by key with map-side merging: neither an anti-join nor a sorted group is needed.
     """
     values = [c for c in target.columns if c not in keys]
-    order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
-    old = target.select(*keys, F.struct(*values).alias("row"), F.lit(-1).cast("bigint").alias("rank"))
-    new = batch.select(*keys, F.struct(*values).alias("row"), order.alias("rank"))
+    order = F.coalesce(F.col(seq).cast("bigint"), F.lit(-(1 << 63))) if seq else F.lit(0).cast("bigint")
+
+    def ranked(rows: DataFrame, is_batch: int, seq_: Column) -> DataFrame:
+        rank = F.struct(F.lit(is_batch).alias("is_batch"), seq_.alias("seq"), F.xxhash64(*values).alias("tie"))
+        return rows.select(*keys, F.struct(*values).alias("row"), rank.alias("rank"))
+
+    old, new = ranked(target, 0, F.lit(0).cast("bigint")), ranked(batch, 1, order)
     merged = old.unionByName(new).groupBy(*keys).agg(F.max_by("row", "rank").alias("row"))
     return merged.select(*[c if c in keys else F.col("row")[c].alias(c) for c in target.columns])
 
