@@ -124,3 +124,33 @@ def test_bump_counts_without_condition(spark):
     events = spark.createDataFrame([("a",), ("a",), ("c",)], "k string")
     got = {r["k"]: r["counter"] for r in ledger.bump(base, events, ["k"]).collect()}
     assert got == {"a": 7, "b": 0, "c": 1}
+
+
+def test_fractions_are_decided_exactly(spark):
+    from decimal import Decimal
+
+    stock = spark.createDataFrame([("A", "W", 1)], "item_id string, warehouse_id string, quantity long")
+    asked = spark.createDataFrame(
+        [(i, "A", "W", Decimal(q)) for i, q in enumerate(["0.1", "0.2", "0.7", "0.05", "0.000001"])],
+        "request_id long, item_id string, warehouse_id string, quantity decimal(18,6)")
+    for hot_rows in (10, 2):
+        got = ledger.ship_batch(stock, asked, order=["request_id"], hot_rows=hot_rows).orderBy("request_id").collect()
+        assert [r["accepted"] for r in got] == [True, True, True, False, False]
+        assert [r["stock_after"] for r in got] == [Decimal("0.9"), Decimal("0.7"), 0, 0, 0]
+
+
+def test_bodies_flow_into_the_stock(spark):
+    from depotlens.operators import validation
+
+    bodies = [
+        '{"warehouseId": "W", "itemId": "A", "quantity": 0.5, "table": "good"}', '{"warehouseId": "W"}', "nonsense",
+        '{"warehouseId": "W", "itemId": "A", "quantity": 0.12345678, "table": "good"}',
+        '{"warehouseId": "W", "itemId": "A", "quantity": 2, "table": "bad"}',
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "request_id long, body string")
+    valid, bad = validation.split_valid(validation.validate_ship(validation.parse_ship_bodies(df)))
+    exact, inexact = validation.split_valid(validation.exact_quantities(valid))
+    assert {r["request_id"] for r in bad.collect()} == {1, 2} and [r["request_id"] for r in inexact.collect()] == [3]
+    stock = spark.createDataFrame([("A", "W", 2)], "item_id string, warehouse_id string, quantity long")
+    got = ledger.ship_batch(stock, exact.select("request_id", "item_id", "warehouse_id", "quantity"), order=["request_id"])
+    assert {r["request_id"]: r["accepted"] for r in got.collect()} == {0: True, 4: False}

@@ -29,9 +29,11 @@ def test_both_percentiles_for_many_sizes(spark):
 
 @pytest.mark.parametrize("values,want", [
     ([], (0, 0)), ([5], (5, 5)), (range(1, 21), (19, 20)), (range(100), (94, 95)), ([None, 3], (3, 3)),
+    ([0.5], (0.5, 0.5)), ([1.2, 1.9, 1.4], (1.9, 1.9)),
 ])
 def test_small_groups(spark, values, want):
-    df = spark.createDataFrame([(v,) for v in values], "latency_ms long")
+    kind = "double" if any(isinstance(v, float) for v in values) else "long"
+    df = spark.createDataFrame([(v,) for v in values], f"latency_ms {kind}")
     row = profile(df.withColumn("g", F.lit(1)), "latency_ms", []).select(
         nearest_rank(95).alias("n"), floor_index(95).alias("f")
     ).first()
@@ -181,3 +183,31 @@ def test_deltas_add_up_to_the_log(spark, sf):
     log_df = requests(spark, sf)
     sums = runs.progress_deltas(log_df).agg(F.sum("d_total"), F.sum("d_success"), F.sum("d_throttle")).first()
     assert sums[0] == log_df.count() == sums[1] + sums[2]
+
+
+def test_fractional_percentiles_by_ranges(spark):
+    from depotlens.operators.metrics import floor_index_percentiles, nearest_rank_percentiles
+
+    rows = [(g, ((i * 7919) % 101) / 8) for g in range(1, 40) for i in range(g)] + [(0, None)]
+    df = spark.createDataFrame(rows, "g int, value double")
+    floor = {r["g"]: r for r in floor_index_percentiles(df, ["g"], "value").collect()}
+    nearest = {r["g"]: r for r in nearest_rank_percentiles(df, ["g"], "value").collect()}
+    assert floor[0]["p50"] == nearest[0]["p99"] == 0
+    for g in range(1, 40):
+        values = sorted(v for k, v in rows if k == g)
+        for p in (50, 95, 99):
+            assert floor[g][f"p{p}"] == values[min(g * p // 100, g - 1)]
+            assert nearest[g][f"p{p}"] == values[(g * p + 99) // 100 - 1]
+    one = spark.createDataFrame([(1, 0.5)], "g int, value double")
+    assert floor_index_percentiles(one, ["g"], "value").first()["p50"] == 0.5
+
+
+def test_totals_of_keys_read_the_log_once(spark, tmp_path):
+    from depotlens.operators.metrics import distribution_check, hot_keys
+
+    spark.createDataFrame([(i, f"k{i % 3}") for i in range(30)], "id int, k string").write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    for df in (hot_keys(log, "k", 2), distribution_check(log, "k", {"k0": 0.3}, 0.1)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReusedExchange") >= 1 or plan.count("FileScan parquet") == 1

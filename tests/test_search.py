@@ -143,12 +143,64 @@ def test_listing_rules(stock):
     assert located and all(r["location"].startswith("C-") for r in located)
 
 
-def test_offset_pages_shallow_and_deep_agree(stock, monkeypatch):
-    from depotlens.operators import paging
-
-    shallow = ids(offset_page(stock, ["quantity", "item_id", "warehouse_id"], 35, 20))
-    monkeypatch.setattr(paging, "TOP_K_DEPTH", 10)
-    assert sorted(ids(offset_page(stock, ["quantity", "item_id", "warehouse_id"], 35, 20))) == sorted(shallow)
+@pytest.mark.parametrize("start,size", [(0, 20), (35, 20), (250, 300), (590, 20), (5000, 20)])
+def test_offset_pages_shallow_and_deep_agree_in_order(stock, start, size):
+    order = ["quantity", "item_id", "warehouse_id"]
+    every = sorted(tuple(r) for r in stock.select(*order).collect())
+    for depth in (10_000, 0):
+        page = offset_page(stock, order, start, size, top_k_depth=depth).select(*order)
+        assert [tuple(r) for r in page.collect()] == every[start:start + size]
+
+
+def test_deep_pages_with_null_and_repeated_keys(spark):
+    rows = [(None if i % 5 == 0 else i % 7, i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    every = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for start in (0, 30, 100, 190):
+        got = [tuple(r) for r in offset_page(df, ["a", "b"], start, 15, top_k_depth=0).collect()]
+        assert got == every[start:start + 15]
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_text_bounds_reach_the_files(spark, stock, tmp_path):
+    from depotlens.sources.catalogue import write_layouts
+
+    stored = spark.read.parquet(write_layouts(stock, str(tmp_path))["by_item"])
+    for low, high, pushed in (("905", "990", (905, 990)), ("905.5", "990.5", (906, 990))):
+        found = search(stored, Criteria.parse({"min_price": low, "max_price": high}))
+        plan = found._jdf.queryExecution().toString()
+        assert f"GreaterThanOrEqual(unit_price,{pushed[0]})" in plan and f"LessThanOrEqual(unit_price,{pushed[1]})" in plan
+        assert found.count() == stock.filter(f"unit_price BETWEEN {low} AND {high}").count()
+    assert search(stored, Criteria.parse({"min_price": "Infinity"})).count() == 0
+    assert search(stored, Criteria.parse({"max_price": "Infinity", "min_quantity": "-Infinity"})).count() == stock.count()
+
+
+def test_page_and_token_come_from_one_read(spark, stock, tmp_path):
+    stock.write.parquet(f"{tmp_path}/rows")
+    stored = spark.read.parquet(f"{tmp_path}/rows")
+    page = ordered_page(stored, "unit_price")
+    both = page.with_token()
+    assert _scans(both) == 1
+    found = both.collect()
+    assert ids(page.rows) == [(r["item_id"], r["warehouse_id"]) for r in found]
+    assert {r["next_token"] for r in found} == {page.next_token()}
+
+
+def test_relevance_page_walks_all_matches(stock):
+    from depotlens.operators.ranking import relevance_search
+
+    criteria = Criteria(item_name="red ring", min_price=905)
+    total = search(stock, criteria).count()
+    seen = []
+    for start in range(0, total + 7, 7):
+        page = relevance_search(stock, criteria, start=start, size=7).collect()
+        assert {r["total"] for r in page} <= {total}
+        seen += [(-r["score"], r["item_id"], r["warehouse_id"]) for r in page]
+    assert len(seen) == total and seen == sorted(seen)
+    assert relevance_search(stock, Criteria("WH-TOKYO"), size=3).first()["score"] == 0.0
 
 
 def test_page_info_of_nothing(stock):

@@ -202,3 +202,17 @@ def test_search_plans_stay_in_the_jvm(spark, sf):
     for name in ("flt_9_all_criteria", "pag_1_ordered_page", "agg_8_rounds_and_run", "pag_6_relevance_items"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_put_all_with_missing_and_negative_sequence(spark):
+    from depotlens.sources.catalogue import put_all
+
+    target = spark.createDataFrame([("A", "W", 1), ("B", "W", 1), ("C", "W", 1)], "item_id string, warehouse_id string, quantity long")
+    batch = spark.createDataFrame(
+        [("A", "W", 2, None), ("B", "W", 3, -7), ("B", "W", 2, None), ("D", "W", 5, None), ("C", "W", 8, -9), ("C", "W", 9, -2)],
+        "item_id string, warehouse_id string, quantity long, seq long")
+    found = {r["item_id"]: r["quantity"] for r in put_all(target, batch, seq="seq").collect()}
+    assert found == {"A": 2, "B": 3, "C": 9, "D": 5}
+    tied = batch.withColumn("seq", F.lit(1))
+    once = sorted(map(tuple, put_all(target, tied, seq="seq").collect()))
+    assert once == sorted(map(tuple, put_all(target, tied.orderBy("quantity"), seq="seq").collect()))

@@ -257,3 +257,14 @@ def test_running_totals_follow_the_replica(spark):
     assert tuple(cdc.running_totals(changes).first()) == ("W", 1, 4)
     live_now = cdc.live_rows(cdc.apply_changes(empty_target(spark), changes))
     assert live_now.agg(F.count(F.lit(1)), F.sum("new_quantity")).first()[:] == (1, 4)
+
+
+def test_redelivered_changes_count_once(spark, folder):
+    rows = [("index", 1, T0, T0, "A", "W", None, 5), ("index", 2, T0, T0, "A", "W", 5, 3), ("index", 1, T0, T0, "A", "W", None, 5)]
+    assert tuple(cdc.running_totals(spark.createDataFrame(rows, CHANGE)).first()) == ("W", 1, 3)
+    source, path = folder("in"), folder("totals")
+    write_files(spark, rows, CHANGE, source, 3)
+    for mark in ("m1", "m2"):
+        stream = read_changes(spark, source, max_files_per_trigger=1)
+        cdc.start_totals(stream, path, folder(mark)).awaitTermination()
+        assert tuple(cdc.read_totals(spark, path).first()) == ("W", 1, 3)
