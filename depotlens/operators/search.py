@@ -24,7 +24,7 @@ from depotlens.schemas import INDEXED_VARIANTS, PAGE_SIZE, VARIANTS
 if TYPE_CHECKING:
     from depotlens.sources.views import OrderedView
 
-# The notes a capped search reports.
+# The notes a capped search reports.
 NOTE_NO_WAREHOUSE = "capped search needs a warehouse: every ordered view is kept per warehouse"
 NOTE_NAME = "name substring is applied after the page was read"
 NOTE_QUANTITY = "quantity range is applied after the page was read"

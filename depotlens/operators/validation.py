@@ -52,6 +52,19 @@ def _finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 
 
+# The messages of failed checks, as users see them.
+UNREADABLE = "Invalid JSON in request body"
+NO_WAREHOUSE = "warehouseId is required and must be a string"
+NO_ITEM = "itemId is required and must be a string"
+NO_QUANTITY = "quantity is required and must be a positive number"
+IMPACT_RATE = "requestsPerSecond is required and must be between 1 and 200"
+IMPACT_DURATION = "durationSeconds is required and must be between 1 and 60"
+IMPACT_ROUNDS = "iterations must be an integer between 1 and 12"
+IMPACT_TOTAL = "iterations * durationSeconds must not exceed 240 seconds"
+LOAD_DURATION = "durationSeconds is required and must be a number between 1 and 300"
+LOAD_RATE = "requestsPerSecond is required and must be a number between 1 and 4000"
+NO_SHARES = "warehouseDistribution is required and must be an object"
+SHARES_TOTAL = "warehouseDistribution values must sum to approximately 1.0"
 _TABLE_MESSAGE = 'table is required and must be "bad", "good", "goodGsi" or "badOnDemand"'
 
 
@@ -86,12 +99,12 @@ def parse_ship_bodies(df: DataFrame, body: str = "body") -> DataFrame:
 def validate_ship(df: DataFrame) -> DataFrame:
     """Adds ``code`` and ``message``; both NULL for a valid ship request."""
     quantity = F.col("quantity").cast("double")
-    unread = [(F.col("readable"), F.lit("Invalid JSON in request body"))] if "readable" in df.columns else []
+    unread = [(F.col("readable"), F.lit(UNREADABLE))] if "readable" in df.columns else []
     return _verdict(df, [
         *unread,
-        (F.col("warehouse_id") != "", F.lit("warehouseId is required and must be a string")),
-        (F.col("item_id") != "", F.lit("itemId is required and must be a string")),
-        ((quantity > 0) & _finite(quantity), F.lit("quantity is required and must be a positive number")),
+        (F.col("warehouse_id") != "", F.lit(NO_WAREHOUSE)),
+        (F.col("item_id") != "", F.lit(NO_ITEM)),
+        ((quantity > 0) & _finite(quantity), F.lit(NO_QUANTITY)),
         (F.col("variant").isin(*VARIANTS), F.lit(_TABLE_MESSAGE)),
     ])
 
@@ -104,21 +117,21 @@ def validate_run(df: DataFrame, kind: str) -> DataFrame:
         rounds = F.coalesce(F.col("iterations"), F.lit(1.0))
         rules += [
             (_finite(rps) & rps.between(1, 200),
-             F.lit("requestsPerSecond is required and must be between 1 and 200")),
+             F.lit(IMPACT_RATE)),
             (_finite(duration) & duration.between(1, 60),
-             F.lit("durationSeconds is required and must be between 1 and 60")),
+             F.lit(IMPACT_DURATION)),
             ((rounds == F.floor(rounds)) & rounds.between(1, 12),
-             F.lit("iterations must be an integer between 1 and 12")),
-            (rounds * duration <= 240, F.lit("iterations * durationSeconds must not exceed 240 seconds")),
+             F.lit(IMPACT_ROUNDS)),
+            (rounds * duration <= 240, F.lit(IMPACT_TOTAL)),
         ]
         return _verdict(df, rules)
     shares = F.col("warehouse_distribution")
     rules += [
         (_finite(duration) & (duration > 0) & (duration <= 300),
-         F.lit("durationSeconds is required and must be a number between 1 and 300")),
+         F.lit(LOAD_DURATION)),
         (_finite(rps) & (rps > 0) & (rps <= 4000),
-         F.lit("requestsPerSecond is required and must be a number between 1 and 4000")),
-        (shares.isNotNull(), F.lit("warehouseDistribution is required and must be an object")),
+         F.lit(LOAD_RATE)),
+        (shares.isNotNull(), F.lit(NO_SHARES)),
     ]
     rules += [
         (_finite(shares[w]) & shares[w].between(0, 1),
@@ -127,7 +140,7 @@ def validate_run(df: DataFrame, kind: str) -> DataFrame:
     ]
     total = reduce(lambda a, w: a + shares[w], WAREHOUSES[1:], shares[WAREHOUSES[0]])
     rules.append((F.abs(total - 1.0) <= 0.01,
-                  F.lit("warehouseDistribution values must sum to approximately 1.0")))
+                  F.lit(SHARES_TOTAL)))
     return _verdict(df, rules)
 
 

@@ -9,7 +9,7 @@ from depotlens.operators import paging, ranking, search
 from depotlens.operators.search import Criteria
 from depotlens.plans.registry import query
 from depotlens.plans.source_queries import scratch
-from depotlens.sources import catalogue, tables, views
+from depotlens.sources import tables, views
 from depotlens.sources.tables import inventory
 
 COLUMNS = ["warehouse_id", "item_id", "item_name", "quantity", "lot_number", "location", "unit_price"]
@@ -22,11 +22,11 @@ FIVE_SQL = f"""{TOKYO} AND starts_with(item_id, 'ITEM#BRA-') AND starts_with(loc
     AND {NAME_RED_RING} AND unit_price BETWEEN 905 AND 990 AND quantity BETWEEN 50 AND 900"""
 
 
-def written_views(spark, sf):
-    """The stock written as ordered views into a new shared folder."""
-    path = scratch(spark, "views")
-    catalogue.write_layouts(inventory(spark, sf), path)
-    return views.open_views(spark, path)
+def written_view(spark, sf, axis: str) -> views.OrderedView:
+    """The stock written in the order of one axis into a new shared folder."""
+    path = scratch(spark, "view")
+    views.write_ordered_view(inventory(spark, sf), path, axis)
+    return views.OrderedView(spark, path, axis)
 
 
 @query("flt_1_warehouse", f"{SELECT} WHERE {TOKYO}", "inventory")
@@ -179,7 +179,7 @@ def _(spark, sf):
     WHERE contains(item_name, 'r')""", "inventory")
 def _(spark, sf):
     criteria = Criteria("WH-OSAKA", item_name="r", min_price=903)
-    found = search.capped_search_views(written_views(spark, sf), criteria)
+    found = search.capped_search_views({"unit_price": written_view(spark, sf, "unit_price")}, criteria)
     return found.rows.select(COLUMNS)
 
 
@@ -255,7 +255,7 @@ def _(spark, sf):
 @query("pag_1_page_from_views", f"""{SELECT} WHERE {TOKYO} AND starts_with(location, 'C-')
     ORDER BY location DESC, item_id DESC LIMIT 20""", "inventory")
 def _(spark, sf):
-    rows = written_views(spark, sf)["location"].slice("WH-TOKYO", prefix="C-", order="desc")
+    rows = written_view(spark, sf, "location").slice("WH-TOKYO", prefix="C-", order="desc")
     return search.list_inventory(
         rows, "WH-TOKYO", "good", "location", prefix="C-", order="desc"
     ).rows.select(COLUMNS)

@@ -1,7 +1,8 @@
 """Model tables derived row by row from the given star-schema tables.
 
-No rule here joins, sorts or drops rows: each view is one projection of one
-input table, so it costs no shuffle and grows with its input.
+No rule here joins or sorts: each view is one projection of one input table, so
+it costs no shuffle and grows with its input.  Only the opening stock leaves
+rows out: a customer in debt stands for an item without a stock row.
 """
 
 from __future__ import annotations
