@@ -265,6 +265,23 @@ def list_inventory(
     return ordered_page(rows, axis, order=order, token=token, size=size)
 
 
+def list_inventory_views(
+    views: Mapping[str, OrderedView], warehouse_id: str, variant: str, search_by: str | None = None,
+    prefix: str | None = None, min_price: float | None = None, max_price: float | None = None,
+    order: str | None = None, token: str | None = None, size: int = PAGE_SIZE,
+) -> Page:
+    """:func:`list_inventory` on written ordered views: reads the files of one page only."""
+    axis, start, begins = "item_id", None, None
+    if search_by == "itemPrefix" and prefix:
+        begins = prefix
+    elif search_by == "location" and prefix:
+        axis, begins = "location", prefix
+    elif search_by == "unitPrice" and min_price is not None and max_price is not None:
+        axis, start = "unit_price", max_price if order == "desc" else min_price
+    rows = views[axis].slice(warehouse_id, start, begins, order, token, size)
+    return list_inventory(rows, warehouse_id, variant, search_by, prefix, min_price, max_price, order, token, size)
+
+
 def compare_modes(df: DataFrame, criteria: Criteria) -> DataFrame:
     """Row-level presence of each match in the complete result and in the capped page."""
     keys = ["warehouse_id", "item_id"]

@@ -255,9 +255,9 @@ def _(spark, sf):
 @query("pag_1_page_from_views", f"""{SELECT} WHERE {TOKYO} AND starts_with(location, 'C-')
     ORDER BY location DESC, item_id DESC LIMIT 20""", "inventory")
 def _(spark, sf):
-    rows = written_view(spark, sf, "location").slice("WH-TOKYO", prefix="C-", order="desc")
-    return search.list_inventory(
-        rows, "WH-TOKYO", "good", "location", prefix="C-", order="desc"
+    stored = {"location": written_view(spark, sf, "location")}
+    return search.list_inventory_views(
+        stored, "WH-TOKYO", "good", "location", prefix="C-", order="desc"
     ).rows.select(COLUMNS)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from depotlens.functions.scalar import decode_token, query_tokens
 from depotlens.operators.paging import capped_walk, offset_page, ordered_page, page_info, walk_summary
 from depotlens.operators.search import (
-    Criteria, capped_search, choose_axis, compare_modes, coverage, get_item, list_inventory,
+    Criteria, capped_search, choose_axis, compare_modes, coverage, get_item, list_inventory, list_inventory_views,
     match_any, mode_summary, search, search_any,
 )
 
@@ -189,6 +189,33 @@ def test_page_and_token_come_from_one_read(spark, stock, tmp_path):
     assert {r["next_token"] for r in found} == {page.next_token()}
 
 
+@pytest.mark.parametrize("by", [
+    {}, {"search_by": "itemPrefix", "prefix": "ITEM#K"}, {"search_by": "location", "prefix": "C-"},
+    {"search_by": "unitPrice", "min_price": 904, "max_price": 950}, {"search_by": "unitPrice", "min_price": 904},
+])
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_listing_over_views_equals_listing(spark, stock, listed_views, by, order):
+    token = None
+    for _ in range(3):
+        want = list_inventory(stock, "WH-OSAKA", "good", order=order, token=token, size=7, **by)
+        got = list_inventory_views(listed_views, "WH-OSAKA", "good", order=order, token=token, size=7, **by)
+        assert ids(got.rows) == ids(want.rows)
+        token = want.next_token()
+        assert got.next_token() == token
+        if token is None:
+            break
+
+
+@pytest.fixture(scope="module")
+def listed_views(spark, stock, tmp_path_factory):
+    from depotlens.sources.catalogue import write_layouts
+    from depotlens.sources.views import open_views
+
+    path = str(tmp_path_factory.mktemp("views"))
+    write_layouts(stock, path, files=6)
+    return open_views(spark, path)
+
+
 def test_relevance_page_walks_all_matches(stock):
     from depotlens.operators.ranking import relevance_search
 
