@@ -16,6 +16,7 @@ table gives no rows.  Other columns pass through; columns named like an added on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,11 @@ ANY = "|".join(PATTERNS.values())
 DATE_BASE, DATE_SIDE = 25567, 270
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _digest(key: str, kind: Column, round_: Column, half: Column) -> Column:
     parts = F.concat_ws("|", F.lit(key), kind, round_.cast("string"), half)
     return F.concat(F.sha2(F.concat(parts, F.lit("|0")), 512), F.sha2(F.concat(parts, F.lit("|1")), 512))
@@ -51,19 +57,20 @@ def _number(digest: Column, at: Column | int, width: int) -> Column:
 def _shifted(half: Column, digest: Column, letters: int) -> Column:
     """Every digit and letter of ``half`` moved within its own class; all else stays."""
 
-    def moved(i: Column) -> Column:
-        char = F.substr(half, i, F.lit(1))
-        code, by = F.ascii(char), _number(digest, 3 * i - 2, 3)
+    def moved(code: Column, by: Column) -> Column:
         rotate = lambda first, size: F.char(first + F.pmod(code - first + by, F.lit(size)))
         return (
             F.when((code >= 48) & (code <= 57), rotate(48, 10))
             .when((code >= 97) & (code < 97 + letters), rotate(97, letters))
             .when((code >= 65) & (code < 65 + letters), rotate(65, letters))
-            .otherwise(char)
+            .otherwise(F.char(code))
         )
 
-    places = F.when(F.length(half) > 0, F.sequence(F.lit(1), F.length(half))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, moved), "")
+    def all_moved(stream: Column) -> Column:
+        codes = F.transform(F.split(half, ""), lambda c: F.ascii(c))
+        return F.array_join(F.transform(codes, lambda code, i: moved(code, _number(stream, 3 * i + 1, 3))), "")
+
+    return F.when(F.length(half) > 0, _let(digest, all_moved)).otherwise(half)
 
 
 def permuted_text(value: Column, kind: Column, key: str, letters: int = 26) -> Column:
@@ -123,38 +130,49 @@ def _refilled(value: Column, digits: Column) -> Column:
     return F.aggregate(chars, start, step, lambda acc: acc["out"])
 
 
+def _filled(value: Column, digits: Column) -> Column:
+    return _let(digits, lambda known: _refilled(value, known))
+
+
 def _card(value: Column, key: str) -> Column:
-    digits = _digits(value)
-    body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("card"), key)
-    check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(_luhn_sum(digits) % 10 == 0, _refilled(value, F.concat(body, check)))
+    def renumbered(digits: Column) -> Column:
+        body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("card"), key)
+        return _let(body, lambda b: _let(F.concat(b, F.lit("0")), lambda open_: F.concat(
+            b, F.pmod(10 - F.pmod(_luhn_sum(open_), F.lit(10)), F.lit(10)).cast("string"))))
+
+    return _let(_digits(value), lambda digits: F.when(
+        _luhn_sum(digits) % 10 == 0, _filled(value, renumbered(digits))))
 
 
 def _phone(value: Column, key: str) -> Column:
     """The country code stays."""
     prefix = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     rest = F.substr(value, F.length(prefix) + 1)
-    return F.concat(prefix, _refilled(rest, permuted_text(_digits(rest), F.lit("phone"), key)))
+    return F.concat(prefix, _let(rest, lambda r: _filled(r, permuted_text(_digits(r), F.lit("phone"), key))))
 
 
 def _ssn(value: Column, key: str) -> Column:
     issued = value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
-    return F.when(issued, _refilled(value, permuted_text(_digits(value), F.lit("ssn"), key)))
+    return F.when(issued, _filled(value, permuted_text(_digits(value), F.lit("ssn"), key)))
 
 
 def _ip(value: Column, key: str) -> Column:
     octets = F.transform(F.split(value, r"\."), lambda o: o.cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o)
     new = permuted_number(number, 65536, F.lit("ip"), key)
-    out = F.transform(F.lit([16777216, 65536, 256, 1]), lambda s: F.pmod(F.floor(new / s), F.lit(256)).cast("string"))
-    return F.when(~F.exists(octets, lambda o: o > 255), F.array_join(out, "."))
+    steps = F.lit([16777216, 65536, 256, 1])
+    text = _let(new, lambda n: F.array_join(
+        F.transform(steps, lambda s: F.pmod(F.floor(n / s), F.lit(256)).cast("string")), "."))
+    return F.when(~F.exists(octets, lambda o: o > 255), text)
 
 
 def _date(value: Column, key: str) -> Column:
     def form(pattern: str) -> Column:
-        days = F.unix_date(F.try_to_timestamp(value, F.lit(pattern)).cast("date")) + DATE_BASE
-        new = permuted_number(days, DATE_SIDE, F.lit("date"), key).cast("int") - DATE_BASE
-        return F.when((days >= 0) & (days < DATE_SIDE**2), F.date_format(F.date_from_unix_date(new), pattern))
+        def renamed(days: Column) -> Column:
+            new = permuted_number(days, DATE_SIDE, F.lit("date"), key).cast("int") - DATE_BASE
+            return F.when((days >= 0) & (days < DATE_SIDE**2), F.date_format(F.date_from_unix_date(new), pattern))
+
+        return _let(F.unix_date(F.try_to_timestamp(value, F.lit(pattern)).cast("date")) + DATE_BASE, renamed)
 
     return (
         F.when(F.contains(value, F.lit("-")), form("yyyy-MM-dd"))
@@ -172,11 +190,13 @@ def _email(value: Column, key: str) -> Column:
 
 def _token(value: Column, key: str) -> Column:
     """The name before the value stays; hexadecimal values stay hexadecimal."""
-    secret = F.regexp_extract(value, "[A-Za-z0-9_-]{16,128}$", 0)
-    plain = permuted_text(secret, F.lit("token"), key)
-    hexadecimal = permuted_text(secret, F.lit("token"), key, letters=6)
-    name = F.substr(value, F.lit(1), F.length(value) - F.length(secret))
-    return F.concat(name, F.when(secret.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal).otherwise(plain))
+    def renamed(secret: Column) -> Column:
+        plain = permuted_text(secret, F.lit("token"), key)
+        hexadecimal = permuted_text(secret, F.lit("token"), key, letters=6)
+        name = F.substr(value, F.lit(1), F.length(value) - F.length(secret))
+        return F.concat(name, F.when(secret.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal).otherwise(plain))
+
+    return _let(F.regexp_extract(value, "[A-Za-z0-9_-]{16,128}$", 0), renamed)
 
 
 MAKERS = {"email": _email, "token": _token, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -207,7 +227,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
         F.arrays_zip("values", "kinds"),
         lambda v: F.struct(
             v["kinds"].alias("kind"), v["values"].alias("value"),
-            _pseudonym(v["kinds"], v["values"], key).alias("pseudonym"),
+            _let(v["values"], lambda value: _pseudonym(v["kinds"], value, key)).alias("pseudonym"),
         ),
     )
     rows = rows.withColumn("tried", F.when(F.size("values") > 0, new))
