@@ -3,12 +3,16 @@
 The k-mers of a text are its runs of five words, told apart by occurrence.  For each of several hash
 functions the ``KMERS`` smallest k-mers are taken and kept in text order; two texts agree on such a sketch
 only if they share these k-mers in the same order, which follows edit similarity.  Texts that agree on a
-sketch are candidates, and a candidate pair is a link if a banded alignment of the two k-mer sequences
-matches at least 0.8 of all their k-mers.  Classes are the connected components of the links.
+sketch are candidates, and a candidate pair is a link if a banded alignment leaves at least 0.8 of the
+longer text unedited, counted in words.  Classes are the connected components of the links.
 
 Equal texts are collapsed first, so copies cost nothing further.  Inside a bucket every text is compared
-with the first text of similar length; those that are not alike stay and are compared with the first of
-the rest, until nothing remains.  No bucket is expanded into pairs and none is gathered in one task.
+with the first text of similar length.  Where a bucket holds texts that are not alike, because a passage
+they share filled the sketch, those left over are divided by the sketches that follow and compared with
+the first of their new buckets.  No bucket is expanded into pairs and none is gathered in one task.
+
+Texts that share a part J of their k-mers agree on a sketch with a probability of about J cubed: on 20 of
+40 at J = 0.8, on 5 at J = 0.5.  Edits spread over a tenth of the words leave J near 0.5.
 
 Defined cases: equal texts, the empty text included, are one class; texts without words are alike only if
 equal; a null text or a null ``doc_id`` is in no class with others (its class is its own ``doc_id``);
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotlens.llm.shingles import labelled, mixed, shingle_hashes, word_hashes
+from depotlens.llm.shingles import LENGTH, labelled, mixed, shingle_hashes, word_hashes
 from depotlens.session import written_table
 
-#: Sketches for each text, k-mers in a sketch, least similarity of a link.
-SKETCHES, KMERS, SIMILARITY = 24, 4, 0.8
+#: Sketches for each text, k-mers in a sketch, least similarity of a link, sketches that divide a bucket.
+SKETCHES, KMERS, SIMILARITY, FOLLOWING = 40, 3, 0.8, 6
+#: Longest gap between matched k-mers that is aligned word by word.
+GAP = 64
 _RANDOM = np.random.default_rng(20240229)
 _TIMES = _RANDOM.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -57,31 +63,78 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _distance(a: list[int], b: list[int]) -> int:
+    """Edit distance of two short word sequences."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _anchors(a: np.ndarray, b: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k-mers matched by the longest chain that keeps order and stays inside the band."""
+    _, at_a, at_b = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
+    order = np.argsort(at_a)
+    at_a, at_b = at_a[order], at_b[order]
+    near = np.abs(at_a - at_b) <= band
+    at_a, at_b = at_a[near], at_b[near]
+    if not (np.diff(at_b) > 0).all():
+        ends: list[int] = []  # smallest end of a chain of each length
+        places: list[int] = []
+        before = np.full(len(at_b), -1)
+        for i, value in enumerate(at_b.tolist()):
+            k = bisect_left(ends, value)
+            before[i] = places[k - 1] if k else -1
+            ends[k:k + 1], places[k:k + 1] = [value], [i]
+        chain, i = [], places[-1]
+        while i >= 0:
+            chain.append(i)
+            i = int(before[i])
+        at_a, at_b = at_a[chain[::-1]], at_b[chain[::-1]]
+    return at_a, at_b
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of k-mers matched by the best alignment inside the band that 0.8 allows; 0 if it is less.
+    """One less the edit distance over the longer text, both in words, by banded alignment; 0 below the threshold.
 
-    At a similarity of s the unmatched k-mers are at most (1 - s) / (1 + s) of both lengths together, so no
-    matched pair is further off the diagonal than that.
+    At most (1 - s) of the longer text may be edited, so the alignment never leaves that band.  K-mers that
+    match in order inside the band are its backbone; between them it is exact for gaps of up to ``GAP``
+    words, and a longer stretch without one common k-mer counts as edited throughout.
     """
-    both = len(a) + len(b)
-    least = both * SIMILARITY / (1 + SIMILARITY)
-    band = both * (1 - SIMILARITY) / (1 + SIMILARITY)
-    common, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(common) < least - 1e-9:
+    longer = max(len(a), len(b))
+    most = longer * (1 - SIMILARITY) + 1e-9
+    if abs(len(a) - len(b)) > most:
         return 0.0
-    order = np.argsort(at_a)
-    at_a, at_b = at_a[order], at_b[order]
-    at_b = at_b[np.abs(at_a - at_b) <= band]
-    if (np.diff(at_b) > 0).all():
-        matched = len(at_b)
-    else:
-        ends: list[int] = []  # smallest end of an increasing run of each length
-        for value in at_b.tolist():
-            at = bisect_left(ends, value)
-            ends[at:at + 1] = [value]
-        matched = len(ends)
-    found = matched / (both - matched) if both > matched else 1.0
-    return found if found >= SIMILARITY - 1e-9 else 0.0
+    at_a, at_b = _anchors(shingle_hashes(a), shingle_hashes(b), most)
+    if not len(at_a):
+        return 0.0
+    # A gap lies between the end of one matched k-mer and the start of the next on another diagonal.
+    begin_a = np.concatenate([[0], at_a + LENGTH])
+    begin_b = np.concatenate([[0], at_b + LENGTH])
+    end_a, end_b = np.append(at_a, len(a)), np.append(at_b, len(b))
+    gap_a, gap_b = end_a - begin_a, end_b - begin_b
+    overlap = np.minimum(np.minimum(gap_a, gap_b), 0)  # k-mers of one diagonal overlap
+    gap_a, gap_b, begin_a, begin_b = gap_a - overlap, gap_b - overlap, begin_a + overlap, begin_b + overlap
+    least, greatest = np.abs(gap_a - gap_b), np.maximum(gap_a, gap_b)
+    long = greatest > GAP
+    distance = int(greatest[long].sum())
+    short = np.flatnonzero(~long & (greatest > 0))
+    if distance + least[short].sum() > most:
+        return 0.0
+    for i in short.tolist():
+        x, y = begin_a[i], begin_b[i]
+        distance += _distance(a[x:x + gap_a[i]].tolist(), b[y:y + gap_b[i]].tolist())
+        if distance > most:
+            return 0.0
+    return 1 - distance / longer
 
 
 def _kmers(text: str) -> np.ndarray:
@@ -111,8 +164,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for a, b in zip(left, right):
             if b != last[0]:
-                last = (b, _kmers(b))
-            found.append(similarity(_kmers(a), last[1]))
+                last = (b, word_hashes(b))
+            found.append(similarity(word_hashes(a), last[1]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
         )
@@ -123,59 +176,81 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
 
 
-def _buckets(texts: DataFrame) -> DataFrame:
-    """``key, band, doc, n``: each sketch in two overlapping bands of length, shared by two texts or more.
+def _shared(rows: DataFrame) -> DataFrame:
+    """``number, key, doc, n`` in two overlapping bands of length each, where a band has two members or more.
 
-    Texts whose lengths differ by no more than 0.8 share one of the bands.
+    Texts whose lengths differ by no more than 0.8 share one of the bands.  ``lead`` is the band's first member.
     """
     unit = F.log("n") / F.lit(log(1 / SIMILARITY))
     bands = F.array(F.floor(unit / 2) * 2, F.floor((unit + 1) / 2) * 2 + 1)
-    rows = texts.select("doc", "n", F.explode("keys").alias("key"), bands.alias("bands"))
-    return _shared(rows.select("key", F.explode("bands").alias("band"), "doc", "n"))
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with two members or more, each with the first member, ``lead``."""
-    leads = rows.groupBy("key", "band").agg(
+    banded = rows.select("number", "key", "doc", "n", F.explode(bands).alias("band"))
+    leads = banded.groupBy("key", "band").agg(
         F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("members")
     ).filter("members > 1")
-    return rows.join(leads.drop("members"), ["key", "band"])
+    return banded.join(leads.drop("members"), ["key", "band"])
+
+
+def _divided(left_over: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts that are unlike the first of their bucket, by each of the sketches that follow."""
+    rows = left_over.select("number", "key", "doc", "n").distinct().join(texts.select("doc", "keys"), "doc")
+    following = [
+        F.xxhash64("key", F.get("keys", F.pmod(F.col("number") + d, F.lit(SKETCHES)))) for d in range(1, FOLLOWING + 1)
+    ]
+    return rows.select("number", F.explode(F.array(*following)).alias("key"), "doc", "n")
+
+
+def _pairs(open_: DataFrame) -> DataFrame:
+    """Every member with the first of its band, where their lengths allow a link; ``shared`` counts their buckets."""
+    low, high = F.least("n", "lead.n"), F.greatest("n", "lead.n")
+    pairs = open_.filter((F.col("doc") != F.col("lead.doc")) & (low >= high * SIMILARITY - 1e-9))
+    return pairs.groupBy(F.col("doc").alias("a"), F.col("lead.doc").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs that the links found so far do not connect: the others are in one class already."""
+    labels = components(links)
+    of_a = labels.select(F.col("doc").alias("a"), F.col("label").alias("class_a"))
+    of_b = labels.select(F.col("doc").alias("b"), F.col("label").alias("class_b"))
+    named = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return named.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+
+
+def _compare(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Similarity of every pair; 0 below the threshold."""
+    left = kept.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
+    right = kept.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return written_table(found.mapInArrow(_compared, "a long, b long, similarity double"), "near-compared")
 
 
 def linked_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``a, b, similarity`` between different texts; ``texts``: ``doc, digest, n, keys``."""
-    spark = docs.sparkSession
-    open_ = written_table(_buckets(texts), "near-buckets")
-    wanted = open_.select(F.col("doc").alias("doc_id")).distinct().join(
+    """Links ``a, b, similarity`` that connect all alike texts; ``texts``: ``doc, digest, n, keys``.
+
+    Every text is first compared with the smallest of its leads and with the one it shares most buckets
+    with; that settles large groups of near copies with two comparisons each.  All other pairs follow
+    unless their texts are connected by then.
+    """
+    sketched = texts.select("doc", "n", F.posexplode("keys").alias("number", "key"))
+    repeated = sketched.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    first = written_table(_shared(sketched.join(repeated, "key")), "near-buckets")
+    wanted = first.select(F.col("doc").alias("doc_id")).distinct().join(
         texts.select(F.col("doc").alias("doc_id"), "digest"), "doc_id")
     kept = _identified(docs).join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     kept = written_table(kept.select(F.col("doc_id").alias("doc"), "text"), "near-texts")
-    links, tested = [], None
-    while not open_.isEmpty():
-        low, high = F.least("n", "lead.n"), F.greatest("n", "lead.n")
-        pairs = open_.filter((F.col("doc") != F.col("lead.doc")) & (low >= high * SIMILARITY - 1e-9))
-        pairs = pairs.select(F.col("doc").alias("a"), F.col("lead.doc").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        left = kept.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-        right = kept.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-        found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        found = written_table(found.mapInArrow(_compared, "a long, b long, similarity double"), "near-compared")
-        links.append(found.filter("similarity > 0"))
-        tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
-        alike = links[0].select("a", "b")
-        for more in links[1:]:
-            alike = alike.unionByName(more.select("a", "b"))
-        rest = open_.filter(F.col("doc") != F.col("lead.doc")).select(
-            "key", "band", "doc", "n", F.col("doc").alias("a"), F.col("lead.doc").alias("b")
-        ).join(alike, ["a", "b"], "left_anti")
-        open_ = written_table(_shared(rest.select("key", "band", "doc", "n")), "near-rest")
-    if not links:
-        return spark.createDataFrame([], "a long, b long, similarity double")
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return written_table(out, "near-links")
+    pairs = written_table(_pairs(first), "near-pairs")
+    leads = pairs.groupBy("a").agg(F.array_distinct(F.array(
+        F.min("b"), F.max(F.struct("shared", (-F.col("b")).alias("b")))["b"] * -1)).alias("leads"))
+    chosen = leads.select("a", F.explode("leads").alias("b"))
+    tested = _compare(chosen, kept)
+    rest = _apart(pairs.join(tested, ["a", "b"], "left_anti"), tested.filter("similarity > 0"))
+    tested = tested.unionByName(_compare(rest, kept))
+    unlike = tested.filter("similarity = 0").select(F.col("a").alias("doc"), F.col("b").alias("lead_doc"))
+    members = first.filter(F.col("doc") != F.col("lead.doc")).withColumn("lead_doc", F.col("lead.doc"))
+    far = F.least("n", "lead.n") < F.greatest("n", "lead.n") * SIMILARITY - 1e-9
+    left_over = members.filter(far).unionByName(members.filter(~far).join(unlike, ["doc", "lead_doc"], "left_semi"))
+    second = written_table(_pairs(_shared(_divided(left_over, texts))), "near-divided")
+    rest = _apart(second.join(tested, ["a", "b"], "left_anti"), tested.filter("similarity > 0"))
+    return tested.unionByName(_compare(rest, kept)).filter("similarity > 0")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,10 +277,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links, text_digest`` for every row of ``docs`` (``doc_id``, ``text``).
+    """``doc_id, class_id, text_digest`` for every row of ``docs`` (``doc_id``, ``text``).
 
-    ``class_id`` is the smallest ``doc_id`` of the class; ``n_links`` counts the verified links of the
-    document's text to different texts.
+    ``class_id`` is the smallest ``doc_id`` of the class.
     """
     rows = _identified(docs)
     known = "text IS NOT NULL AND doc_id IS NOT NULL"
@@ -215,18 +289,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = sketched.groupBy("digest").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = written_table(texts, "near-distinct")
-    links = linked_pairs(docs, texts.filter("n > 0"))
-    labels = components(links)
-    degree = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc")))
-    degree = degree.groupBy("doc").agg(F.count("*").alias("n_links"))
-    named = texts.select("digest", "doc").join(labels, "doc", "left").join(degree, "doc", "left").select(
-        "digest", F.coalesce("label", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    labels = components(linked_pairs(docs, texts.filter("n > 0")))
+    named = texts.select("digest", "doc").join(labels, "doc", "left").select(
+        "digest", F.coalesce("label", "doc").alias("class_id"))
     found = sketched.select("doc_id", "digest").join(named, "digest")
-    alone = rows.filter(f"NOT ({known})").select(
-        "doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    found = found.select("doc_id", "digest", "class_id", "n_links").unionByName(alone)
-    return found.withColumnRenamed("digest", "text_digest")
+    alone = rows.filter(f"NOT ({known})").select("doc_id", "digest", F.col("doc_id").alias("class_id"))
+    return found.select("doc_id", "digest", "class_id").unionByName(alone).withColumnRenamed("digest", "text_digest")
 
 
 def keep_one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

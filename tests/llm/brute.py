@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -46,9 +48,21 @@ def jaccard(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
 
 
+def edit_similarity(a: list[str], b: list[str]) -> float:
+    """One less the edit distance in words over the longer text, by the full table."""
+    names = {w: i for i, w in enumerate({*a, *b})}
+    other, at = np.array([names[w] for w in b]), np.arange(len(b) + 1)
+    row = at.copy()
+    for i, word in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (other != names[word]))
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - at) + at
+    return 1 - row[-1] / max(len(a), len(b))
+
+
 def classes(texts: dict[int, str | None], least: float = 0.8) -> dict[int, int]:
     """Smallest id of each document's class by comparing all pairs."""
-    known = {i: shingles(t) for i, t in texts.items()}
+    words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in texts.items()}
+    bags = {i: Counter(w) for i, w in words.items()}
     label = {i: i for i in texts}
 
     def root(i: int) -> int:
@@ -56,10 +70,18 @@ def classes(texts: dict[int, str | None], least: float = 0.8) -> dict[int, int]:
             i = label[i]
         return i
 
+    def alike(a: int, b: int) -> bool:
+        longer = max(len(words[a]), len(words[b]))
+        if texts[a] == texts[b]:
+            return True
+        if not longer or min(len(words[a]), len(words[b])) < least * longer or sum((bags[a] & bags[b]).values()) < least * longer:
+            return False
+        return edit_similarity(words[a], words[b]) >= least - 1e-9
+
     ids = sorted(i for i, t in texts.items() if t is not None)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if texts[a] == texts[b] or jaccard(known[a], known[b]) >= least:
+            if root(a) != root(b) and alike(a, b):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
     return {i: root(i) for i in texts}
