@@ -7,9 +7,11 @@ sketch are candidates, and a candidate pair is a link if a banded alignment leav
 longer text unedited, counted in words.  Classes are the connected components of the links.
 
 Equal texts are collapsed first, so copies cost nothing further.  Inside a bucket every text is compared
-with the first text of similar length.  Where a bucket holds texts that are not alike, because a passage
-they share filled the sketch, those left over are divided by the sketches that follow and compared with
-the first of their new buckets.  No bucket is expanded into pairs and none is gathered in one task.
+with the first text of similar length.  Buckets that still hold several classes are then looked through
+whole, in blocks of at most about ``BLOCK`` members against another: a pair that is in no class together is
+taken up in the first bucket it shares and left out only if the words of the two texts, order aside, rule a
+link out, so no candidate pair is left open.  This work grows with the square of a crowd of unlike texts in one bucket,
+but pairs are formed inside the tasks, from sketches and word counts; no bucket is gathered in one task.
 
 Texts that share a part J of their k-mers agree on a sketch with a probability of about J cubed: on 20 of
 40 at J = 0.8, on 5 at J = 0.5.  Edits spread over a tenth of the words leave J near 0.5.
@@ -27,14 +29,16 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotlens.llm.shingles import LENGTH, labelled, mixed, shingle_hashes, word_hashes
 from depotlens.session import written_table
 
-#: Sketches for each text, k-mers in a sketch, least similarity of a link, sketches that divide a bucket.
-SKETCHES, KMERS, SIMILARITY, FOLLOWING = 40, 3, 0.8, 6
+#: Sketches for each text, k-mers in a sketch, least similarity of a link.
+SKETCHES, KMERS, SIMILARITY = 40, 3, 0.8
+#: Members in a block of a bucket, counters of a text's words, pairs a text that are compared first in a block.
+BLOCK, COUNTERS, NEAREST = 512, 512, 2
 #: Longest gap between matched k-mers that is aligned word by word.
 GAP = 64
 _RANDOM = np.random.default_rng(20240229)
@@ -176,36 +180,131 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
 
 
+def _words(n: str) -> Column:
+    """Words of a text of ``n`` k-mers; texts of one k-mer that share it are equal in words."""
+    return F.col(n) + (LENGTH - 1)
+
+
+def _near_in_length(a: str, b: str) -> Column:
+    return F.least(_words(a), _words(b)) >= F.greatest(_words(a), _words(b)) * SIMILARITY - 1e-9
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """``number, key, doc, n`` in two overlapping bands of length each, where a band has two members or more.
 
-    Texts whose lengths differ by no more than 0.8 share one of the bands.  ``lead`` is the band's first member.
+    Texts whose lengths differ by no more than 0.8 share one of the bands, the even or the odd one.
+    ``lead`` is the band's first member.
     """
-    unit = F.log("n") / F.lit(log(1 / SIMILARITY))
+    unit = F.log(_words("n")) / F.lit(log(1 / (SIMILARITY - 0.005)))
     bands = F.array(F.floor(unit / 2) * 2, F.floor((unit + 1) / 2) * 2 + 1)
-    banded = rows.select("number", "key", "doc", "n", F.explode(bands).alias("band"))
+    banded = rows.select("number", "key", "doc", "n", bands[0].alias("even"), F.explode(bands).alias("band"))
     leads = banded.groupBy("key", "band").agg(
         F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("members")
     ).filter("members > 1")
-    return banded.join(leads.drop("members"), ["key", "band"])
-
-
-def _divided(left_over: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts that are unlike the first of their bucket, by each of the sketches that follow."""
-    rows = left_over.select("number", "key", "doc", "n").distinct().join(texts.select("doc", "keys"), "doc")
-    following = [
-        F.xxhash64("key", F.get("keys", F.pmod(F.col("number") + d, F.lit(SKETCHES)))) for d in range(1, FOLLOWING + 1)
-    ]
-    return rows.select("number", F.explode(F.array(*following)).alias("key"), "doc", "n")
+    return banded.join(leads, ["key", "band"])
 
 
 def _pairs(open_: DataFrame) -> DataFrame:
     """Every member with the first of its band, where their lengths allow a link; ``shared`` counts their buckets."""
-    low, high = F.least("n", "lead.n"), F.greatest("n", "lead.n")
-    pairs = open_.filter((F.col("doc") != F.col("lead.doc")) & (low >= high * SIMILARITY - 1e-9))
+    pairs = open_.filter((F.col("doc") != F.col("lead.doc")) & _near_in_length("n", "lead.n"))
     return pairs.groupBy(F.col("doc").alias("a"), F.col("lead.doc").alias("b")).agg(F.count("*").alias("shared"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words of a text fall to each counter; all full where one would run over."""
+    for batch in batches:
+        bags = []
+        for text in batch.column("text").to_pylist():
+            counts = np.bincount((word_hashes(text) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            full = counts.max() > np.iinfo(np.uint16).max
+            bags.append((np.full(COUNTERS, 65535) if full else counts).astype(np.uint16).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(bags, pa.binary())], names=["doc", "bag"])
+
+
+def _block_pairs(block: pa.Table, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one block with another, or of a block with itself, that this bucket has to settle.
+
+    A pair belongs to the first sketch that its texts share, there to the even band if they share it.
+    With ``most`` only the pairs of each text that share most sketches.
+    """
+    doc, label, n, even, mine = (block[c].to_numpy() for c in ("doc", "label", "n", "even", "mine"))
+    number, band, i, j = (block[c][0].as_py() for c in ("number", "band", "i", "j"))
+    keys = block["keys"].combine_chunks().flatten().to_numpy().reshape(len(doc), SKETCHES)
+    bags = np.frombuffer(b"".join(block["bag"].to_pylist()), np.uint16).reshape(len(doc), COUNTERS)
+    words = n + (LENGTH - 1)
+    full = bags.min(axis=1) == 65535
+    left = np.flatnonzero(mine == i)
+    right = left if i == j else np.flatnonzero(mine == j)
+    for at, x in enumerate(left.tolist()):
+        others = right[at + 1:] if i == j and most is None else right
+        others = others[label[others] != label[x]]
+        longer = np.maximum(words[others], words[x])
+        fits = np.minimum(words[others], words[x]) >= longer * SIMILARITY - 1e-9
+        if band != even[x]:
+            fits &= even[others] != even[x]
+        others, longer = others[fits], longer[fits]
+        same = keys[others] == keys[x]
+        first = np.argmax(same, axis=1) == number
+        others, longer, same = others[first], longer[first], same[first]
+        common = np.minimum(bags[others], bags[x]).sum(axis=1, dtype=np.int64)
+        near = (common >= longer * SIMILARITY - 1e-9) | full[others] | full[x]
+        others, shared = others[near], same[near].sum(axis=1)
+        if most is not None:
+            others = others[np.argsort(-shared, kind="stable")[:most]]
+        if len(others):
+            yield np.maximum(doc[others], doc[x]), np.minimum(doc[others], doc[x])
+
+
+def _blocks_compared(most: int | None):
+    """Cuts a sorted stream into its blocks."""
+    names = ("key", "band", "i", "j")
+
+    def pairs(block: pa.Table) -> pa.RecordBatch:
+        found = list(_block_pairs(block, most))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, batch])
+            ids = [table[c].to_numpy() for c in names]
+            starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in ids], axis=0)) + 1
+            cuts = [0, *starts.tolist()]
+            for begin, end in zip(cuts, cuts[1:]):
+                yield pairs(table.slice(begin, end - begin))
+            rest = table.slice(cuts[-1]).to_batches()
+        if rest:
+            yield pairs(pa.Table.from_batches(rest))
+
+    return run
+
+
+def _open_pairs(buckets: DataFrame, tested: DataFrame, texts: DataFrame, bags: DataFrame, most: int | None) -> DataFrame:
+    """Candidate pairs ``a, b`` that no link found so far connects, without those tested and those ruled out.
+
+    A bucket of two is settled by its lead.
+    """
+    labels = components(tested.filter("similarity > 0"))
+    named = buckets.filter("members > 2").join(labels, "doc", "left").select(
+        "key", "band", "number", "members", "doc", "n", "even", F.coalesce("label", "doc").alias("label"))
+    mixed_ = named.groupBy("key", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    open_ = named.join(mixed_.select("key", "band"), ["key", "band"])
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    spread = open_.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                           "mine", "number", "doc", "n", "even", "label")
+    rows = spread.join(texts.select("doc", "keys"), "doc").join(bags, "doc")
+    rows = rows.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    found = rows.mapInArrow(_blocks_compared(most), "a long, b long").distinct()
+    return written_table(
+        found.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(
+            tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-open")
+
+
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """The pairs that the links found so far do not connect: the others are in one class already."""
     labels = components(links)
@@ -227,8 +326,8 @@ def linked_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``a, b, similarity`` that connect all alike texts; ``texts``: ``doc, digest, n, keys``.
 
     Every text is first compared with the smallest of its leads and with the one it shares most buckets
-    with; that settles large groups of near copies with two comparisons each.  All other pairs follow
-    unless their texts are connected by then.
+    with; that settles large groups of near copies with two comparisons each.  The other pairs with leads
+    follow unless their texts are connected by then, and last what buckets of several classes hold.
     """
     sketched = texts.select("doc", "n", F.posexplode("keys").alias("number", "key"))
     repeated = sketched.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
@@ -244,13 +343,10 @@ def linked_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
     tested = _compare(chosen, kept)
     rest = _apart(pairs.join(tested, ["a", "b"], "left_anti"), tested.filter("similarity > 0"))
     tested = tested.unionByName(_compare(rest, kept))
-    unlike = tested.filter("similarity = 0").select(F.col("a").alias("doc"), F.col("b").alias("lead_doc"))
-    members = first.filter(F.col("doc") != F.col("lead.doc")).withColumn("lead_doc", F.col("lead.doc"))
-    far = F.least("n", "lead.n") < F.greatest("n", "lead.n") * SIMILARITY - 1e-9
-    left_over = members.filter(far).unionByName(members.filter(~far).join(unlike, ["doc", "lead_doc"], "left_semi"))
-    second = written_table(_pairs(_shared(_divided(left_over, texts))), "near-divided")
-    rest = _apart(second.join(tested, ["a", "b"], "left_anti"), tested.filter("similarity > 0"))
-    return tested.unionByName(_compare(rest, kept)).filter("similarity > 0")
+    bags = written_table(kept.mapInArrow(_counted, "doc long, bag binary"), "near-words")
+    for most in (None,):
+        tested = tested.unionByName(_compare(_open_pairs(first, tested, texts, bags, most), kept))
+    return tested.filter("similarity > 0")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -96,6 +96,24 @@ def test_near_copies_in_a_crowd_that_shares_a_passage(spark):
     assert {r["doc_id"]: r["class_id"] for r in rows(found)} == brute.classes(texts)
 
 
+def _random_words(seed):
+    dice = random.Random(seed)
+    return dice, lambda n: ["".join(dice.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def test_alike_texts_behind_a_crowd_of_unlike_ones(spark):
+    _, words = _random_words(11)
+    passage = words(195)
+    data = [(i, " ".join(passage + words(63 if i < 100 else 23))) for i in range(160)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in rows(found)} == {i: min(i, 100) for i in range(160)}
+
+
+def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    test_alike_texts_behind_a_crowd_of_unlike_ones(spark)
+
+
 def test_order_matters_to_the_alignment():
     words = np.arange(1, 400, dtype=np.uint64)
     assert near_dedup.similarity(words, words) == 1.0
