@@ -10,7 +10,8 @@ Equal texts are collapsed first, so copies cost nothing further.  Inside a bucke
 with the first text of similar length.  Buckets that still hold several classes are then looked through
 whole, in blocks of at most about ``BLOCK`` members against another: a pair that is in no class together is
 taken up in the first bucket it shares and left out only if the words of the two texts, order aside, rule a
-link out, so no candidate pair is left open.  This work grows with the square of a crowd of unlike texts in one bucket,
+link out.  The nearest pairs are compared first and all others that no link connects by then after them, so
+no candidate pair is left open.  This work grows with the square of a crowd of unlike texts in one bucket,
 but pairs are formed inside the tasks, from sketches and word counts; no bucket is gathered in one task.
 
 Texts that share a part J of their k-mers agree on a sketch with a probability of about J cubed: on 20 of
@@ -344,7 +345,7 @@ def linked_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
     rest = _apart(pairs.join(tested, ["a", "b"], "left_anti"), tested.filter("similarity > 0"))
     tested = tested.unionByName(_compare(rest, kept))
     bags = written_table(kept.mapInArrow(_counted, "doc long, bag binary"), "near-words")
-    for most in (None,):
+    for most in (NEAREST, None):
         tested = tested.unionByName(_compare(_open_pairs(first, tested, texts, bags, most), kept))
     return tested.filter("similarity > 0")
 

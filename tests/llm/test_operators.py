@@ -109,6 +109,17 @@ def test_alike_texts_behind_a_crowd_of_unlike_ones(spark):
     assert {r["doc_id"]: r["class_id"] for r in rows(found)} == {i: min(i, 100) for i in range(160)}
 
 
+def test_an_original_in_the_middle_joins_its_variants(spark):
+    dice, words = _random_words(12)
+    original = words(200)
+    data = [(150, " ".join(original))]
+    for i in [*range(150), *range(151, 300)]:
+        at = dice.randrange(10, 190)
+        data.append((i, " ".join(original[:at] + words(40) + original[at:])))
+    found = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r["class_id"] for r in rows(found)} == {0}
+
+
 def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     test_alike_texts_behind_a_crowd_of_unlike_ones(spark)
