@@ -7,6 +7,10 @@ The permutation depends on kind, key and value alone, so equal values stay linke
 different values stay different; without the key nobody can undo it.  Cards keep a right check digit,
 addresses stay in range, dates stay dates, separators stay where they are.
 
+Cards are looked for in whole runs of digit groups: from the first group on, the longest stretch of groups
+of 13 to 19 digits with a right check digit is a card, and the search goes on behind it.  So an expiry date, a
+security code or another number beside a card does not hide it.
+
 Everything is a column expression; no text leaves its row.
 
 Defined cases: a null text stays null; what fails validation (a check digit, an octet above 255, the 31st of
@@ -32,8 +36,12 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}"
              r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])",
 }
+#: Groups of digits between spaces in which cards are looked for, up to where another kind begins.
+_GROUP = r"[0-9](?:-?[0-9])*+(?![0-9-])"
+PATTERNS["card"] = (
+    rf"(?<![0-9-])(?=[0-9](?:[ -]?[0-9]){{12}}){_GROUP}(?: (?!{'|'.join(PATTERNS.values())}){_GROUP})*+"
+)
 KINDS = list(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 #: Days from the first date of the permuted range to 1970-01-01, and the root of the length of the range.
@@ -144,6 +152,49 @@ def _card(value: Column, key: str) -> Column:
         _luhn_sum(digits) % 10 == 0, _filled(value, renumbered(digits))))
 
 
+def _card_places(groups: Column) -> Column:
+    """First group and group after the last of every card in a run."""
+    place = "array<struct<start:int,end:int>>"
+
+    def ends(start: Column, near: Column) -> Column:
+        """Ends of the stretches of 13 to 19 digits, the longest first."""
+        fitting = F.filter(F.sequence(F.size(near), F.lit(1), F.lit(-1)), lambda k: F.length(_digits(
+            F.array_join(F.slice(near, F.lit(1), k), ""))).between(13, 19))
+        right = F.filter(fitting, lambda k: _let(
+            _digits(F.array_join(F.slice(near, F.lit(1), k), "")), lambda digits: _luhn_sum(digits) % 10 == 0))
+        return start + F.get(right, F.lit(0))
+
+    def step(found: Column, start: Column) -> Column:
+        behind = F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0))
+        longest = _let(F.slice(groups, start + 1, F.lit(19)), lambda near: ends(start, near))
+        return F.when(start < behind, found).otherwise(_let(longest, lambda end: F.when(end.isNull(), found).otherwise(
+            F.concat(found, F.array(F.struct(start.alias("start"), end.alias("end"))).cast(place)))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.array().cast(place), step)
+
+
+def _cards_apart(run: Column) -> Column:
+    """``gap, value`` of every card in a run, and what follows the last one with a null value."""
+    def joined(groups: Column, start: Column, end: Column) -> Column:
+        return F.array_join(F.slice(groups, start + 1, end - start), " ")
+
+    def cut(groups: Column, places: Column) -> Column:
+        def before(start: Column, i: Column) -> Column:
+            last = F.coalesce(F.get(places, i - 1)["end"], F.lit(0))
+            return F.when(start > last, F.concat(F.when(last > 0, F.lit(" ")).otherwise(F.lit("")),
+                                                 joined(groups, last, start), F.lit(" "))).otherwise(
+                F.when(last > 0, F.lit(" ")).otherwise(F.lit("")))
+
+        cards = F.transform(places, lambda p, i: F.struct(
+            before(p["start"], i).alias("gap"), joined(groups, p["start"], p["end"]).alias("value")))
+        last = F.coalesce(F.get(places, F.size(places) - 1)["end"], F.lit(0))
+        rest = F.when(last < F.size(groups), F.concat(
+            F.when(last > 0, F.lit(" ")).otherwise(F.lit("")), joined(groups, last, F.size(groups)))).otherwise(F.lit(""))
+        return F.concat(cards, F.array(F.struct(rest.alias("gap"), F.lit(None).cast("string").alias("value"))))
+
+    return _let(F.split(run, " "), lambda groups: _let(_card_places(groups), lambda places: cut(groups, places)))
+
+
 def _phone(value: Column, key: str) -> Column:
     """The country code stays."""
     prefix = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
@@ -223,15 +274,24 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     likely = F.col("text").rlike("[0-9@=:]")
     rows = rows.withColumn("values", F.when(likely, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(0))))
     rows = rows.withColumn("kinds", F.transform("values", kind_of))
-    new = F.transform(
+    whole = lambda v: F.array(F.struct(F.lit("").alias("gap"), v["values"].alias("value")))
+    parts = F.transform(
         F.arrays_zip("values", "kinds"),
-        lambda v: F.struct(
-            v["kinds"].alias("kind"), v["values"].alias("value"),
-            _let(v["values"], lambda value: _pseudonym(v["kinds"], value, key)).alias("pseudonym"),
+        lambda v: F.transform(
+            F.when(v["kinds"] == "card", _cards_apart(v["values"])).otherwise(whole(v)),
+            lambda p: F.struct(p["gap"].alias("gap"), p["value"].alias("value"),
+                               F.when(p["value"].isNotNull(), v["kinds"]).alias("kind")),
         ),
     )
-    rows = rows.withColumn("tried", F.when(F.size("values") > 0, new))
-    put = F.transform("tried", lambda t: F.coalesce(t["pseudonym"], t["value"]))
+    rows = rows.withColumn("parts", F.when(F.size("values") > 0, parts))
+    new = F.transform("parts", lambda found: F.transform(found, lambda p: F.struct(
+        p["kind"].alias("kind"), p["value"].alias("value"), p["gap"].alias("gap"),
+        _let(p["value"], lambda value: _pseudonym(p["kind"], value, key)).alias("pseudonym"))))
+    rows = rows.withColumn("runs", new)
+    put = F.transform("runs", lambda run: F.array_join(F.transform(run, lambda t: F.concat(
+        t["gap"], F.coalesce(t["pseudonym"], t["value"], F.lit("")))), ""))
+    rows = rows.withColumn("tried", F.transform(F.flatten("runs"), lambda t: F.struct(
+        t["kind"].alias("kind"), t["value"].alias("value"), t["pseudonym"].alias("pseudonym"))))
     gaps = F.split("text", ANY, -1)
     pieces = F.transform(
         F.arrays_zip(gaps.alias("gap"), put.alias("put")),

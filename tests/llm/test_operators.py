@@ -493,6 +493,25 @@ def _luhn(digits):
     return total % 10
 
 
+def test_cards_beside_other_numbers_are_found(spark):
+    card = "4111 1111 1111 1111"
+    samples = {
+        f"{card} 12/27": [card], "4111111111111111 123": ["4111111111111111"], f"7 {card}": [card],
+        f"1234 {card} 12/27/2030 and {card} 123-45-6789": [card, "12/27/2030", card, "123-45-6789"],
+        f"{card} {card}, 9 {card} 5": [card] * 3, "378282246310005 1 2 3": ["378282246310005"],
+        "1 2 3 4 5 6 7 8 9 0 1 2 3 " * 20 + "end": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in rows(pii.pseudonymize(docs, KEY))}
+    for i, (text, values) in enumerate(samples.items()):
+        if values is None:
+            continue
+        assert [f["value"] for f in found[i]["found"]] == values
+        for f in found[i]["found"]:
+            text = text.replace(f["value"], f["pseudonym"])
+        assert found[i]["text"] == text
+
+
 def test_pseudonyms_keep_their_format(spark):
     samples = [
         "card 4111 1111 1111 1111 and 4111-1111-1111-1111, not 4111 1111 1111 1112",
