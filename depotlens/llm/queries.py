@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotlens.llm import (
-    decontamination, license_scan, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding,
-    suffix_dedup, token_output,
+    conversation_trie, decontamination, license_scan, mixing, near_dedup, pii, quality_classifier, quality_rules,
+    sharding, simhash_dedup, suffix_dedup, token_alignment, token_output,
 )
 
 
@@ -15,11 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def public_vocabulary() -> str:
-    """Place of the vocabulary file that the token queries use."""
+def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Place of a vocabulary file that the token queries use."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,24 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(spark, path)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations, with its subtree totals."""
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash_dedup.simhash_classes(table(spark, sf_dir, "documents"))
+    shown = F.lower(F.lpad(F.hex("print"), 16, "0"))
+    return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of two tokenizers over all documents."""
+    return token_alignment.alignment_digest(
+        table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"), public_vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_near_dedup": op2_near_dedup,
@@ -133,5 +151,8 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_simhash": op12_simhash,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL}
