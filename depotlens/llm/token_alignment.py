@@ -6,10 +6,10 @@ galloping intersection: every end of the shorter list looks for its place in the
 double until they pass it, and then by halving the last step.  The ranks of the common ends in the two lists
 slice the groups; their differences are the ranges of tokens that overlap.
 
-Neither tokenizer joins a character that is no white space with a space or line feed after it (checked for
-the sentence pieces when the vocabulary is read; otherwise texts stay whole), so a text is cut there and every
-distinct piece is encoded and intersected once in a worker.  Cuts are common ends, so the groups of a text
-are those of its pieces one after the other.
+Neither tokenizer joins a character that is no white space with a space or line feed after it, or a Latin letter
+with white space or common punctuation after it (checked for the sentence pieces when the vocabulary is read;
+otherwise texts stay whole), so a text is cut there and every distinct piece is encoded and intersected once in
+a worker.  Cuts are common ends, so the groups of a text are those of its pieces one after the other.
 
 Corpus-wide counts: a task writes its link lists in chunks of at most ``CHUNK`` links as indexes into the
 distinct id pairs of the chunk.  Only those pairs are counted and looked up over the network, so a pair that
@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from depotlens.llm.token_output import groups_of
 from depotlens.session import written_table
 
-#: Pieces that a worker remembers, pieces encoded in one call, links of a chunk.
-KEPT, TOGETHER, CHUNK = 400_000, 512, 1 << 20
-#: From a space or line feed after another character to the next one.
-PIECE = re.compile(r"\s+\S*(?:[^\S \n]\s*\S*)*")
-LEAD = " a"  # one token for both; stands before pieces that are encoded together
+#: Pieces and id pairs that a worker remembers, pieces encoded in one call, links of a chunk.
+KEPT, PAIRS, TOGETHER, CHUNK = 200_000, 1_000_000, 512, 1 << 20
+_L, _P = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
+#: Up to a letter before punctuation or white space, or another character before a space or line feed.
+PIECE = re.compile(rf"\s*[^\s{_L}]*(?:[{_L}]+(?![{_P}])[^\s{_L}]+|[^\S \n]\s*[^\s{_L}]*)*[{_L}]*")
+JOINED = re.compile(rf"\n|[^▁]▁|[{_L}][\s{_P}]")  # no sentence piece may hold what a cut would part
+LEAD = " a"  # one token for both; stands before a piece where its left neighbour matters
 SPACE = "▁"
 _SCHEMA = (
     "chunk long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -128,8 +130,9 @@ class Aligner:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode())
-            cuts &= "\n" not in piece and SPACE not in piece.lstrip(SPACE)
+            cuts &= not JOINED.search(piece)
         self.cuts = cuts
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.size_a, self.size_b = (np.array(list(map(len, t))) for t in (self.bytes_a, self.bytes_b))
         self.forget()
 
@@ -139,30 +142,46 @@ class Aligner:
         self.pair_number: dict[int, int] = {}
         self.valid, *self.counts = np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(3))
         self.ids_a = self.ids_b = self.at_a = self.at_b = self.links = np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.int64)
         self.new: list[tuple] = []
 
+    def _thin(self) -> None:
+        """Forgets the pieces seen least, half of what is kept; numbers of pairs stay."""
+        kept = np.sort(np.argsort(-self.seen, kind="stable")[:KEPT // 2])
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.texts = [self.texts[k] for k in kept.tolist()]
+        self.ids_a, self.ids_b = (self.gather(kept, i, v) for i, v in enumerate((self.ids_a, self.ids_b)))
+        self.at_a, self.at_b, self.links = (self.gather(kept, 2, v) for v in (self.at_a, self.at_b, self.links))
+        self.valid, self.seen = self.valid[kept], self.seen[kept] // 2
+        self._placed([c[kept] for c in self.counts])
+
+    def _placed(self, counts: list[np.ndarray]) -> None:
+        self.counts, self.begins = counts, [np.concatenate([[0], np.cumsum(c)[:-1]]) for c in counts]
+
     def pieces(self, text: str) -> list[str]:
-        return PIECE.findall(" " + text) if self.cuts else [" " + text]
-
-    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of ``LEAD`` and the text, without those of ``LEAD``'s own bytes."""
-        a = np.array(self.a.encode(LEAD + text, add_special_tokens=False).ids, np.int32)
-        b = np.array(self.b.encode(LEAD[1:] + text), np.int32)
-        return a, b
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces together and intersects the ends; pieces that can't be told apart again one by one."""
-        a, b = self._encoded("".join(pieces))
-        raws = [p.encode() for p in pieces]
-        whole = LEAD.encode() + b"".join(raws)
-        right = all(b"".join(map(table.__getitem__, ids.tolist())) == whole
+        return PIECE.findall(" " + text)[:-1] if self.cuts else [" " + text]  # the last match is empty
+
+    def _learn(self, pieces: list[str], apart: bool = False) -> None:
+        """Encodes pieces together and intersects the ends; pieces that can't be told apart again one by one.
+
+        ``LEAD`` stands before the first piece, or with ``apart`` before each.
+        """
+        text = LEAD + (LEAD if apart else "").join(pieces)
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        b = np.array(self.b.encode(text[1:]), np.int32)
+        right = all(b"".join(map(table.__getitem__, ids.tolist())) == text.encode()
                     for ids, table in ((a, self.bytes_a), (b, self.bytes_b)))
         if right:
+            sizes = np.array([len(p.encode()) for p in pieces])
+            guards = np.full(len(pieces), len(LEAD) if apart else 0)
+            guards[0] = len(LEAD)
+            ends = np.cumsum(sizes + guards)
             ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
             at_a, at_b = common_ends(ends_a, ends_b)
-            bounds = len(LEAD) + np.concatenate([[0], np.cumsum(list(map(len, raws)))])
-            cut = np.searchsorted(ends_a[at_a], bounds)
-            right = bool((cut < len(at_a)).all() and (ends_a[at_a[cut]] == bounds).all())
+            common = ends_a[at_a]
+            begin, end = np.searchsorted(common, ends - sizes), np.searchsorted(common, ends)
+            right = bool(end[-1] < len(common) and (common[begin] == ends - sizes).all() and (common[end] == ends).all())
         if not right and len(pieces) > 1:
             for piece in pieces:
                 self._learn([piece])
@@ -171,28 +190,23 @@ class Aligner:
             none = np.zeros(0, np.int32)
             self._keep(pieces, [""], False, [0], [0], [0], none, none, none, none, none)
             return
-        n_a, n_b = np.diff(at_a[cut]), np.diff(at_b[cut])
-        groups = np.diff(cut)
-        first, last = cut[0] + 1, cut[-1] + 1
-        pairs = (a[at_a[first:last]].astype(np.int64) << 32) | b[at_b[first:last]]
-        texts_a, texts_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        sliced = [
-            f"{texts_a[x0]}|{texts_b[y0]}" if x1 - x0 == 1 == y1 - y0 else f"{','.join(texts_a[x0:x1])}|{','.join(texts_b[y0:y1])}"
-            for x0, x1, y0, y1 in zip((at_a[cut[0]:last - 1] + 1).tolist(), (at_a[first:last] + 1).tolist(),
-                                      (at_b[cut[0]:last - 1] + 1).tolist(), (at_b[first:last] + 1).tolist())
-        ]
-        begin, texts = 0, []
-        for n in groups.tolist():
-            texts.append(";".join(sliced[begin:begin + n]))
-            begin += n
-        distinct, inverse = np.unique(pairs, return_inverse=True)
+        groups, n_a, n_b = end - begin, at_a[end] - at_a[begin], at_b[end] - at_b[begin]
+        link = _ragged(begin + 1, groups)
+        link_a, link_b = at_a[link], at_b[link]
+        id_a, id_b, names = a[link_a], b[link_b], self.names
+        before_a, before_b = at_a[link - 1], at_b[link - 1]
+        sliced = [f"{names[x]}|{names[y]}" for x, y in zip(id_a.tolist(), id_b.tolist())]
+        for i in np.flatnonzero((link_a - before_a > 1) | (link_b - before_b > 1)).tolist():
+            of_a, of_b = a[before_a[i] + 1:link_a[i] + 1], b[before_b[i] + 1:link_b[i] + 1]
+            sliced[i] = f"{','.join(map(names.__getitem__, of_a.tolist()))}|{','.join(map(names.__getitem__, of_b.tolist()))}"
+        stops = np.cumsum(groups)
+        texts = [sliced[x] if y - x == 1 else ";".join(sliced[x:y]) for x, y in zip((stops - groups).tolist(), stops.tolist())]
+        distinct, inverse = np.unique((id_a.astype(np.int64) << 32) | id_b, return_inverse=True)
         number = self.pair_number
         numbers = np.array([number.setdefault(p, len(number)) for p in distinct.tolist()], np.int32)
-        piece_of = np.repeat(np.arange(len(pieces)), groups)
-        rank_a = at_a[first:last] - at_a[cut[:-1]][piece_of]  # tokens of the piece up to the end
-        rank_b = at_b[first:last] - at_b[cut[:-1]][piece_of]
-        self._keep(pieces, texts, True, n_a, n_b, groups, a[at_a[cut[0]] + 1:at_a[cut[-1]] + 1],
-                   b[at_b[cut[0]] + 1:at_b[cut[-1]] + 1], rank_a, rank_b, numbers[inverse])
+        first = np.repeat(begin, groups)
+        self._keep(pieces, texts, True, n_a, n_b, groups, a[_ragged(at_a[begin] + 1, n_a)], b[_ragged(at_b[begin] + 1, n_b)],
+                   link_a - at_a[first], link_b - at_b[first], numbers[inverse])
 
     def _keep(self, pieces, texts, valid, n_a, n_b, groups, ids_a, ids_b, at_a, at_b, links) -> None:
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
@@ -201,31 +215,33 @@ class Aligner:
 
     def learn(self, pieces: list[str]) -> None:
         """Makes all of ``pieces`` known."""
-        odd = [p for p in pieces if p[-1].isspace() or SPACE in p or not self.cuts]
-        apart = set(odd)
-        plain = [p for p in pieces if p not in apart]
-        for begin in range(0, len(plain), TOGETHER):
-            self._learn(plain[begin:begin + TOGETHER])
-        for piece in odd:
-            self._learn([piece])
+        kinds: tuple[list[str], ...] = [], [], []
+        for p in pieces:
+            alone = p[-1].isspace() or SPACE in p or not self.cuts
+            kinds[2 if alone else p[0] not in " \n"].append(p)
+        for kind, together in zip(kinds, (TOGETHER, TOGETHER, 1)):
+            for begin in range(0, len(kind), together):
+                self._learn(kind[begin:begin + together], apart=kind is kinds[1])
         if self.new:
             parts = list(zip(*self.new))
             self.valid = np.concatenate([self.valid, *parts[0]])
-            self.counts = [np.concatenate([c, *p]).astype(np.int64) for c, p in zip(self.counts, parts[1:4])]
+            self._placed([np.concatenate([c, *p]).astype(np.int64) for c, p in zip(self.counts, parts[1:4])])
+            self.seen = np.concatenate([self.seen, np.zeros(len(self.valid) - len(self.seen), np.int64)])
             self.ids_a, self.ids_b, self.at_a, self.at_b, self.links = (
                 np.concatenate([c, *p]).astype(np.int32) for c, p in
                 zip((self.ids_a, self.ids_b, self.at_a, self.at_b, self.links), parts[4:]))
-            self.begins = [np.concatenate([[0], np.cumsum(c)[:-1]]) for c in self.counts]
             self.new = []
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         """The pieces of every text as numbers of known pieces; no pieces where a text can't be aligned."""
         if len(self.known) > KEPT:
-            self.forget()
+            self._thin()
         cut = [self.pieces(t) if t else [] for t in texts]
         known = self.known
         self.learn(list({p for pieces in cut for p in pieces if p not in known}))
         found = [np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)) for pieces in cut]
+        if found:
+            self.seen += np.bincount(np.concatenate(found), minlength=len(self.seen))
         return [n if len(n) and self.valid[n].all() else n[:0] for n in found]
 
     def sums(self, found: list[np.ndarray]) -> np.ndarray:
@@ -270,6 +286,8 @@ def _grouped(path_a: str, path_b: str):
         for batch in batches:
             at = 0
             for group in groups_of([t or "" for t in batch.column("text").to_pylist()]):
+                if len(both.pair_number) > PAIRS:
+                    both.forget()
                 found = both.numbers(group)
                 lists = [[both.gather(n, 0, both.ids_a) for n in found], [both.gather(n, 1, both.ids_b) for n in found],
                          [both.ends(n, 0) for n in found], [both.ends(n, 1) for n in found]]
@@ -329,10 +347,12 @@ def _linked(path_a: str, path_b: str):
         for batch in batches:
             ids, at = batch.column("doc_id").to_pylist(), 0
             for group in groups_of([t or "" for t in batch.column("text").to_pylist()]):
-                if len(both.known) > KEPT and chunk.rows:  # its links are numbered in this memory
-                    yield chunk.batch()
-                    chunks += 1
-                    chunk = _Chunk(both, chunks)
+                if len(both.pair_number) > PAIRS:
+                    if chunk.rows:  # its links are numbered in this memory
+                        yield chunk.batch()
+                        chunks += 1
+                        chunk = _Chunk(both, chunks)
+                    both.forget()
                 found = both.numbers(group)
                 for n, (n_a, n_b, groups) in zip(found, both.sums(found).tolist()):
                     digest = hashlib.sha256(both.text(n).encode()).hexdigest() if len(n) else ""

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -209,7 +210,7 @@ def decoded(tokenizers):
 
 def plain_alignment(text, tokenizers):
     """Ids of both and their groups; the ends are compared as sets."""
-    bytes_a, bytes_b = decoded(tokenizers)
+    bytes_a, bytes_b = map(lru_cache(None), decoded(tokenizers))
     a = tokenizers[0].encode(" " + (text or ""), add_special_tokens=False).ids if text else []
     b = tokenizers[1].encode(text) if text else []
     raw = (" " + (text or "")).encode()
@@ -217,8 +218,9 @@ def plain_alignment(text, tokenizers):
         return [], [], []
     ends = [np.cumsum([len(f(i)) for i in ids]).tolist() for f, ids in ((bytes_a, a), (bytes_b, b))]
     groups, x, y = [], 0, 0
+    ranks = [{end: i + 1 for i, end in enumerate(e)} for e in ends]
     for end in sorted(set(ends[0]) & set(ends[1])):
-        x1, y1 = ends[0].index(end) + 1, ends[1].index(end) + 1
+        x1, y1 = ranks[0][end], ranks[1][end]
         groups.append((a[x:x1], b[y:y1]))
         x, y = x1, y1
     return a, b, groups
@@ -272,7 +274,9 @@ def test_alignment_of_odd_texts_in_small_chunks(spark, paths, tokenizers, monkey
 
     monkeypatch.setattr(token_alignment, "TaskContext", Context)
     monkeypatch.setattr(token_alignment, "CHUNK", 7)
-    monkeypatch.setattr(token_alignment, "KEPT", 5)
+    monkeypatch.setattr(token_alignment, "KEPT", 6)
+    monkeypatch.setattr(token_alignment, "PAIRS", 90)
+    monkeypatch.setattr(token_alignment, "groups_of", lambda texts: ([t] for t in texts))
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(ODD_TEXTS))), "text": pa.array(ODD_TEXTS)})
     links, entries = defaultdict(Counter), {}
     parts = [r for b in run(iter([batch])) for r in b.to_pylist()]
