@@ -112,9 +112,8 @@ def _(spark, sf):
     return live.per_minute(tables.requests(spark, sf))
 
 
-def _written(spark, name: str, stream):
-    """Runs a stream over all files there are and returns what it wrote."""
-    out, checkpoint = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
+def _stream_into(out: str, checkpoint: str, stream) -> None:
+    """Runs a stream over all files there are."""
 
     def write(batch, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -122,14 +121,26 @@ def _written(spark, name: str, stream):
     stream.writeStream.outputMode("append").foreachBatch(write).option(
         "checkpointLocation", checkpoint
     ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+
+
+@query("str_6_stream_retention", """
+    SELECT version, item_id, warehouse_id, date_diff('hour', event_ts, arrival_ts) > 24 AS late FROM changes""", "changes")
+def _(spark, sf):
+    """Both sides of the retention bound, from two streams over the feed."""
+    feed = tables.changes(spark, sf, tables.load_stream(spark, sf, "events"))
+    path = scratch(spark, "retention")
+    for running in cdc.start_retention(feed, path, scratch(spark, "retention-checkpoint")):
+        running.awaitTermination()
+    sides = [spark.read.schema(feed.schema).parquet(f"{path}/{side}").select(
+        "version", "item_id", "warehouse_id", F.lit(late).alias("late")) for side, late in (("in_time", False), ("quarantine", True))]
+    return sides[0].unionByName(sides[1])
 
 
 @query("str_1_stream_replica", _REPLICA, "changes")
 def _(spark, sf):
     feed = tables.changes(spark, sf, tables.load_stream(spark, sf, "events"))
     path = scratch(spark, "replica")
-    cdc.start_replication(feed, path, scratch(spark, "replica-checkpoint")).awaitTermination()
+    cdc.start_replication(feed, path, scratch(spark, "replica-checkpoint"), horizon="24 hours").awaitTermination()
     return cdc.live_rows(cdc.read_replica(spark, path))
 
 
@@ -150,7 +161,7 @@ def _(spark, sf):
 def _(spark, sf):
     feed = tables.changes(spark, sf, tables.load_stream(spark, sf, "events"))
     path = scratch(spark, "totals")
-    cdc.start_totals(feed, path, scratch(spark, "totals-checkpoint")).awaitTermination()
+    cdc.start_totals(feed, path, scratch(spark, "totals-checkpoint"), horizon="24 hours").awaitTermination()
     return cdc.read_totals(spark, path)
 
 
@@ -158,18 +169,19 @@ _DECIDED = SHIPPED + """
     SELECT item_id, warehouse_id, request_id, quantity, accepted, stock_after FROM shipped"""
 
 
-def _span(spark, sf) -> str:
-    """How far apart two events of the log can be: a delay that allows its files in any order."""
-    log = tables.load(spark, sf, "events")
-    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return f"{log.agg(F.coalesce(F.max(ts) - F.min(ts), F.lit(0))).first()[0] + 1} seconds"
+#: Requests wait this long for earlier ones; the given log is in order, a feed in files may be this far out of it.
+DELAY = "6 hours"
 
 
 @query("sta_2_ship_stream", _DECIDED, "ship_requests opening_stock")
 def _(spark, sf):
+    """Decisions by timers while the log is read; the last ``DELAY`` of it is decided when it has ended."""
     asked = tables.ship_requests(spark, sf, tables.load_stream(spark, sf, "events"))
-    answers = _written(spark, "ship", ship.ship_stream(asked, tables.opening_stock(spark, sf), _span(spark, sf)))
-    return ship.latest_answers(answers).drop("final", "late")
+    out, checkpoint = scratch(spark, "ship"), scratch(spark, "ship-checkpoint")
+    with ship.timer_state(spark):
+        _stream_into(out, checkpoint, ship.ship_stream(asked, tables.opening_stock(spark, sf), DELAY))
+    last = ship.waiting_decisions(spark, checkpoint)
+    return spark.read.schema(last.schema).parquet(out).drop("batch_id").unionByName(last).drop("late")
 
 
 @query("sta_2_ship_micro_batches", _DECIDED, "ship_requests opening_stock")
@@ -177,7 +189,7 @@ def _(spark, sf):
     asked = tables.ship_requests(spark, sf, tables.load_stream(spark, sf, "events"))
     path, opening = scratch(spark, "shipping"), tables.opening_stock(spark, sf)
     ship.start_shipping(
-        asked, opening, path, scratch(spark, "shipping-checkpoint"), delay=_span(spark, sf)
+        asked, opening, path, scratch(spark, "shipping-checkpoint"), delay=DELAY
     ).awaitTermination()
     ship.finish_shipping(spark, opening, path)
     return spark.read.parquet(f"{path}/decisions").drop("batch_id", "ts", "late")

@@ -5,91 +5,143 @@ only once no earlier request can arrive.  Both operators hold requests back by
 ``delay`` and never drop one: what comes later still is decided on arrival and
 marked ``late``.
 
-:func:`ship_stream` keeps the state of an item in its task, answers at once and
-corrects its answers until they are final.  :func:`start_shipping` hands each
-micro-batch to the batch operator, which also splits hot items, and keeps
-stock and waiting requests in files.
+:func:`ship_stream` keeps stock and waiting requests of an item in its state;
+event-time timers decide a request, once and finally, as the watermark passes it
+by ``delay``.  :func:`start_shipping` hands each micro-batch to the batch
+operator, which also splits hot items, and keeps stock and waiting requests in
+files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from depotlens.operators.ledger import STOCK_KEY, closing_stock, ship_batch, stock_lookup
 
-_ANSWER = (
+_DECISION = (
     "item_id string, warehouse_id string, request_id bigint, quantity bigint, "
-    "accepted boolean, stock_after bigint, final boolean, late boolean, round bigint"
+    "accepted boolean, stock_after bigint, late boolean"
 )
-_STATE = "left bigint, horizon bigint, round bigint, at array<bigint>, ids array<bigint>, quantities array<bigint>"
 NEVER = -(1 << 62)
 COMPACT_EVERY = 20   # micro-batches between two full copies of the stock
+#: How far the engine's watermark stays behind the newest event.  It holds no state, it only says which
+#: requests still reach the operator to be marked late.
+REACH = "3650 days"
 
 
-def _fold(left: int, quantities: list[int]) -> tuple[list[bool], list[int]]:
-    accepted, after = [], []
-    for quantity in quantities:
-        fits = 0 < quantity <= left
-        left -= quantity if fits else 0
-        accepted.append(fits)
-        after.append(left)
-    return accepted, after
-
-
-def _deciding(delay_us: int):
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames))
-        stock = int(rows["stock_quantity"].iloc[0])
-        left, horizon, number, *waiting = state.get if state.exists else (stock, NEVER, 0, [], [], [])
-        new = pd.DataFrame({"at": rows["at"], "id": rows["request_id"], "quantity": rows["quantity"]})
-        held = pd.DataFrame({"at": list(waiting[0]), "id": list(waiting[1]), "quantity": list(waiting[2])}, dtype="int64")
-        new["late"], held["late"] = new["at"] <= horizon, False
-        every = pd.concat([held, new]).sort_values(["late", "at", "id"], ascending=[False, True, True])
-        accepted, after = _fold(left, every["quantity"].tolist())
-        horizon = max(horizon, int(every["at"].max()) - delay_us)
-        final = (every["late"] | (every["at"] <= horizon)).tolist()
-        settled = sum(final)  # late ones first, then by time: a prefix
-        rest = every.iloc[settled:]
-        state.update((
-            after[settled - 1] if settled else left, horizon, number + 1,
-            rest["at"].tolist(), rest["id"].tolist(), rest["quantity"].tolist(),
-        ))
-        yield pd.DataFrame({
-            "item_id": key[0], "warehouse_id": key[1], "request_id": every["id"].to_numpy(),
-            "quantity": every["quantity"].to_numpy(), "accepted": accepted, "stock_after": after, "final": final,
-            "late": every["late"].to_numpy(), "round": number,
-        })
-
-    return decide
+@contextmanager
+def timer_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which timers need; the session's choice comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class _Shipping(StatefulProcessor):
+    """State of one item: the stock left, and the requests that wait, each at most ``delay`` of event time.
+
+    One timer an item stands at its earliest waiting request.  When it fires, all requests up to the
+    horizon are decided in order of time and the timer moves on.
+    """
+
+    def __init__(self, delay_us: int, reach_us: int) -> None:
+        self.ahead_us = reach_us - delay_us  # from the engine's watermark to the horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.left = handle.getValueState("left", "quantity bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, request_id bigint, quantity bigint")
+
+    def _horizon(self, timers) -> int:
+        watermark = timers.getCurrentWatermarkInMs()
+        return watermark * 1000 + self.ahead_us if watermark > 0 else NEVER
+
+    def _decided(self, key: tuple, requests: list[tuple], late: bool) -> pd.DataFrame:
+        left = self.left.get()[0]
+        rows = []
+        for _, request_id, quantity in sorted(requests):
+            accepted = 0 < quantity <= left
+            left -= quantity if accepted else 0
+            rows.append((*key, request_id, quantity, accepted, left, late))
+        self.left.update((left,))
+        return pd.DataFrame(rows, columns=["item_id", "warehouse_id", "request_id", "quantity", "accepted", "stock_after", "late"])
+
+    def _settled(self, key: tuple, waiting: list[tuple], horizon: int) -> Iterator[pd.DataFrame]:
+        """Decides what the horizon has passed, keeps the rest and sets the timer to its first."""
+        ready = [r for r in waiting if r[0] <= horizon]
+        rest = [r for r in waiting if r[0] > horizon]
+        if rest:
+            self.waiting.put(rest)
+            expiry = (min(rest)[0] - self.ahead_us) // 1000 + 1
+            set_already = list(self.handle.listTimers())
+            if expiry not in set_already:
+                for other in set_already:
+                    self.handle.deleteTimer(other)
+                self.handle.registerTimer(expiry)
+        else:
+            self.waiting.clear()
+        if ready:
+            yield self._decided(key, ready, False)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        horizon = self._horizon(timerValues)
+        known = [tuple(map(int, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        late: list[tuple] = []
+        for frame in rows:
+            if not self.left.exists():
+                self.left.update((int(frame["stock_quantity"].iloc[0]),))
+            new = list(zip(frame["at"].astype(int), frame["request_id"].astype(int), frame["quantity"].astype(int)))
+            late += [r for r in new if r[0] <= horizon]
+            known += [r for r in new if r[0] > horizon]
+        yield from self._settled(key, known, horizon)
+        if late:
+            yield self._decided(key, late, True)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = [tuple(map(int, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        yield from self._settled(key, waiting, self._horizon(timerValues))
+
+    def close(self) -> None:
+        pass
 
 
 def ship_stream(requests: DataFrame, opening: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Decisions per request in event-time order, as far as requests are no more than ``delay`` out of order.
 
-    Each micro-batch answers for its requests and for those still waiting of the
-    same item; :func:`latest_answers` keeps the newest answer, which is final
-    once the item has seen a request ``delay`` later.  A task holds the waiting
-    requests of one item, so the delay bounds its memory; items with very many
-    requests belong to :func:`start_shipping`.  The opening stock is read when
-    an item is first seen.  No delay means order of arrival between batches.
+    Every request is decided once and for good: when an event ``delay`` later than it has been seen anywhere
+    in the stream, or on arrival, marked ``late``, if that has happened before.  The state of an item is its
+    stock and its requests of the last ``delay``; an item with very many of those belongs to
+    :func:`start_shipping`.  The opening stock is read when an item is first seen.  Start the stream inside
+    :func:`timer_state`; what waits when the source has ended is in the checkpoint, see :func:`waiting_decisions`.
     """
-    timed = stock_lookup(requests, opening).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    return timed.groupBy(*STOCK_KEY).applyInPandasWithState(
-        _deciding(_micros(requests.sparkSession, delay)), _ANSWER, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    spark = requests.sparkSession
+    timed = stock_lookup(requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", REACH), opening)
+    return timed.withColumn("at", F.unix_micros("ts")).groupBy(*STOCK_KEY).transformWithStateInPandas(
+        _Shipping(_micros(spark, delay), _micros(spark, REACH)), _DECISION, "append", "EventTime")
+
+
+def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
 
 
-def latest_answers(answers: DataFrame) -> DataFrame:
-    """The newest answer to every request of :func:`ship_stream`."""
-    fields = ["quantity", "accepted", "stock_after", "final", "late"]
-    newest = answers.groupBy(*STOCK_KEY, "request_id").agg(F.max_by(F.struct(*fields), "round").alias("a"))
-    return newest.select(*STOCK_KEY, "request_id", "a.*")
+def waiting_decisions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Decisions on the requests that still wait in the checkpoint of a :func:`ship_stream` whose source has ended."""
+    key = [F.col(f"key.{c}").alias(c) for c in STOCK_KEY]
+    waiting = _state(spark, checkpoint, "waiting").select(*key, F.col("list_element.*")).withColumn("ts", F.timestamp_micros("at"))
+    stock = _state(spark, checkpoint, "left").select(*key, F.col("value.quantity"))
+    decided = ship_batch(stock, waiting.drop("at"), order=["ts", "request_id"])
+    return decided.select(*STOCK_KEY, "request_id", "quantity", "accepted", "stock_after", F.lit(False).alias("late"))
 
 
 def _micros(spark: SparkSession, delay: str) -> int:

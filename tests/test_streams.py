@@ -1,9 +1,12 @@
+import os
 import random
 import re
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 from uuid import uuid4
 
+import pandas as pd
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from depotlens.operators import ledger
 from depotlens.plans import ORACLES, QUERIES
 from depotlens.schemas import CHANGE
 from depotlens.sources.catalogue import read_changes
-from depotlens.streaming import cdc, live, ship
+from depotlens.streaming import cdc, live, manifest, ship
 
 T0 = datetime(2026, 1, 1)
 
@@ -98,10 +101,140 @@ def test_stream_replica_equals_batch_and_survives_a_repeated_batch(spark, folder
     cdc.start_replication(
         read_changes(spark, source, max_files_per_trigger=1), replica, folder("mark2")).awaitTermination()
     assert state(cdc.live_rows(cdc.read_replica(spark, replica))) == newest(rows)
-    compact = folder("compact")
-    cdc.compact_replica(spark, replica, compact, forget_below_version=10**6)
-    merged = cdc.read_replica(spark, compact)
-    assert state(merged) == newest(rows) and merged.filter("deleted").count() == 0
+    cdc.compact_replica(spark, replica, horizon="0 seconds")
+    merged = cdc.read_replica(spark, replica)
+    gone = merged.filter("deleted")
+    assert state(cdc.live_rows(merged)) == newest(rows) and gone.count() == 0
+    assert cdc.replica_report(spark, replica)["levels"] == [0, 0, 1]
+
+
+def in_order(spark, rows, schema, path, files):
+    """Files taken one after the other, whatever their names."""
+    for i in range(files):
+        spark.createDataFrame(rows[i * len(rows) // files:(i + 1) * len(rows) // files], schema).coalesce(1).write.mode(
+            "append").json(path)
+        known = getattr(in_order, "known", set())
+        for file in set(Path(path).glob("*.json")) - known:
+            os.utime(file, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+        in_order.known = known | set(Path(path).glob("*.json"))
+
+
+def one_by_one(spark, source, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+
+
+def test_replica_reads_few_runs_after_many_batches_and_goes_on_from_them(spark, folder, monkeypatch):
+    monkeypatch.setattr(cdc, "FANOUT", 2)
+    rows, source, replica, mark = sorted(feed(n=240), key=lambda r: r[1]), folder("in"), folder("replica"), folder("mark")
+    for begin, files in ((0, 6), (120, 8)):  # the second start goes on from merged runs
+        in_order(spark, rows[begin:begin + 120], CHANGE, source, files)
+        cdc.start_replication(one_by_one(spark, source, CHANGE), replica, mark).awaitTermination()
+        report = cdc.replica_report(spark, replica)
+        assert sum(report["levels"]) <= 5 and report["levels"][2] <= 1
+        assert state(cdc.live_rows(cdc.read_replica(spark, replica))) == newest(rows[:begin + 120])
+    assert report["version"] == 13
+    plan = cdc.read_replica(spark, replica)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+    listed = {p.name for p in Path(f"{replica}/data").iterdir()}
+    assert len(listed) <= 5 * (manifest.KEPT + 1)  # what no kept version names is gone
+
+
+@pytest.mark.parametrize("operator", ["replica", "totals"])
+def test_a_crash_before_the_swap_changes_nothing_for_readers(spark, folder, monkeypatch, operator):
+    rows, source, path, mark = sorted(feed(n=60), key=lambda r: r[1]), folder("in"), folder(operator), folder("mark")
+    rows = [(*r[:6], None if r[1] % 2 else 3, r[7] if r[0] == "index" else None) for r in rows]
+    in_order(spark, rows[:30], CHANGE, source, 2)
+
+    def run():
+        start = cdc.start_replication if operator == "replica" else cdc.start_totals
+        start(one_by_one(spark, source, CHANGE), path, mark).awaitTermination()
+
+    def seen():
+        found = cdc.read_replica(spark, path) if operator == "replica" else cdc.read_totals(spark, path)
+        return sorted(map(str, found.collect()))
+
+    run()
+    before = seen()
+    in_order(spark, rows[30:], CHANGE, source, 1)
+    publish = manifest.Manifest.publish
+    monkeypatch.setattr(manifest.Manifest, "publish", lambda self, content: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivisionError|division by zero"):
+        run()
+    assert seen() == before
+    monkeypatch.setattr(manifest.Manifest, "publish", publish)
+    run()
+    table = spark.createDataFrame(rows, CHANGE)
+    if operator == "replica":
+        assert state(cdc.live_rows(cdc.read_replica(spark, path))) == state(cdc.live_rows(cdc.apply_changes(empty_target(spark), table)))
+    else:
+        assert seen() == sorted(map(str, cdc.running_totals(table).collect()))
+        assert cdc.totals_report(spark, path) == {"rows": 60, "counted": 60, "repeated": 0, "late": 0}
+
+
+def test_a_batch_that_was_published_is_not_applied_again(spark, folder, monkeypatch):
+    source, path = folder("in"), folder("totals")
+    in_order(spark, feed(n=20), CHANGE, source, 1)
+    publish = manifest.Manifest.publish
+
+    def then_fail(self, content):
+        publish(self, content)
+        raise RuntimeError("lost after the swap")
+
+    mark = folder("mark")
+    monkeypatch.setattr(manifest.Manifest, "publish", then_fail)
+    with pytest.raises(Exception, match="lost after the swap"):
+        cdc.start_totals(one_by_one(spark, source, CHANGE), path, mark).awaitTermination()
+    monkeypatch.setattr(manifest.Manifest, "publish", publish)
+    cdc.start_totals(one_by_one(spark, source, CHANGE), path, mark).awaitTermination()
+    assert cdc.totals_report(spark, path) == {"rows": 20, "counted": 20, "repeated": 0, "late": 0}
+
+
+def hour(op, version, at, value, old=None):
+    return (op, version, T0 + timedelta(hours=at), T0 + timedelta(hours=at), "A" if version < 9 else "B", "W", old, value)
+
+
+def test_tombstones_and_identities_leave_with_the_horizon(spark, folder, monkeypatch):
+    monkeypatch.setattr(cdc, "FANOUT", 1)
+    source, replica, totals = folder("in"), folder("replica"), folder("totals")
+    rows = [hour("index", 1, 0, 5), hour("delete", 2, 1, None, 5), hour("index", 10, 30, 4), hour("index", 11, 31, 6, 4),
+            hour("index", 12, 32, 7, 6), hour("index", 1, 0, 5), hour("index", 12, 32, 7, 6)]
+    in_order(spark, rows, CHANGE, source, len(rows))
+    cdc.start_replication(one_by_one(spark, source, CHANGE), replica, folder("m1"), horizon="24 hours").awaitTermination()
+    found = cdc.read_replica(spark, replica)
+    assert state(cdc.live_rows(found)) == {("B", "W"): (12, 7)} and found.filter("deleted").isEmpty()
+    assert cdc.replica_report(spark, replica)["late"] == 1  # version 1 again: it can't bring the row back
+    cdc.start_totals(one_by_one(spark, source, CHANGE), totals, folder("m2"), horizon="24 hours").awaitTermination()
+    assert tuple(cdc.read_totals(spark, totals).first()) == ("W", 1, 7)
+    assert cdc.totals_report(spark, totals) == {"rows": 7, "counted": 5, "repeated": 1, "late": 1}
+    content = manifest.Manifest(spark, totals).read()
+    held = cdc._run(spark, totals, content["runs"], content["schema"])
+    assert {r["version"] for r in held.collect()} == {10, 11, 12}
+
+
+def test_retention_counts_add_up_and_state_stays_small(spark, folder):
+    rng = random.Random(8)
+    rows = [("index", v, T0 + timedelta(hours=v), T0 + timedelta(hours=v + rng.randrange(30)), f"I{v}", "W", None, v) for v in range(200)]
+    rows += rng.sample(rows[150:], 20)  # delivered twice
+    rows.sort(key=lambda r: r[3])
+    source, path = folder("in"), folder("out")
+    in_order(spark, rows, CHANGE, source, 8)
+    counts = cdc.RetentionCounts()
+    spark.streams.addListener(counts)
+    try:
+        for running in cdc.start_retention(one_by_one(spark, source, CHANGE), path, folder("mark")):
+            running.awaitTermination()
+        for _ in range(100):
+            if counts.rows == len(rows):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counts)
+    late = sum(r[3] - r[2] > timedelta(hours=24) for r in rows)
+    in_time, apart = (spark.read.parquet(f"{path}/{side}") for side in ("in_time", "quarantine"))
+    assert (counts.rows, counts.late, counts.behind, apart.count()) == (len(rows), late, 0, late)
+    once = {r[1] for r in rows if r[3] - r[2] <= timedelta(hours=24)}
+    assert in_time.count() == len(once) and {r["version"] for r in in_time.collect()} == once
+    assert max(counts.state_rows) <= 2 * (24 + 30 + 30) and counts.state_rows[-1] < len(once) / 2
 
 
 def test_latest_skips_files_written_before(spark, folder):
@@ -180,7 +313,7 @@ def test_continuous_decrement_equals_batch(spark, folder, how):
             for r in ledger.ship_batch(opening, spark.createDataFrame(rows, SHIP)).collect()}
     stream = spark.readStream.schema(SHIP).option("maxFilesPerTrigger", 1).json(source)
     if how == "state":
-        got = run_append(spark, ship.ship_stream(stream, opening), folder("out"), folder("mark"))
+        got = run_timed(spark, stream, opening, "0 seconds", folder("out"), folder("mark"))
     else:
         path = folder("ship")
         options = {"hot_rows": 30} if how.endswith("sliced") else {}
@@ -194,6 +327,45 @@ def test_continuous_decrement_equals_batch(spark, folder, how):
     assert {r["request_id"]: (r["accepted"], r["stock_after"]) for r in got.collect()} == want
 
 
+def run_timed(spark, stream, opening, delay, out, mark):
+    with ship.timer_state(spark):
+        done = run_append(spark, ship.ship_stream(stream, opening, delay), out, mark)
+    return done.unionByName(ship.waiting_decisions(spark, mark))
+
+
+@pytest.fixture(scope="module")
+def delayed(spark, sf, tmp_path_factory):
+    """The given tables with ``events`` in 130 files, out of order by up to five hours."""
+    folder = tmp_path_factory.mktemp("delayed")
+    log = spark.read.parquet(f"{sf}/events.parquet").toPandas().sort_values("ts")
+    shift = pd.to_timedelta(log["event_id"] * 7919 % 18_000, unit="s")
+    log = log.assign(file=(log["ts"] + shift).rank(method="first").astype(int) * 130 // (len(log) + 1))
+    (folder / "events.parquet").mkdir()
+    for file, rows in log.groupby("file"):
+        name = folder / "events.parquet" / f"{9_999 - file}.parquet"
+        rows.drop(columns="file").to_parquet(name, index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(name, (1_700_000_000 + file, 1_700_000_000 + file))
+    (folder / "customer.parquet").symlink_to(f"{sf}/customer.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["sta_2_ship_stream", "sta_2_ship_micro_batches"])
+def test_decisions_with_a_bounded_delay_equal_their_sql(spark, sf, delayed, name, monkeypatch):
+    early = []
+    waiting, finish = ship.waiting_decisions, ship.finish_shipping
+    monkeypatch.setattr(ship, "waiting_decisions", lambda s, mark: early.append(held(waiting(s, mark))) or waiting(s, mark))
+    monkeypatch.setattr(ship, "finish_shipping", lambda s, opening, path: early.append(
+        spark.read.parquet(f"{path}/waiting").groupBy("batch_id").count().agg(F.max("count")).first()[0]) or finish(s, opening, path))
+    cols, names, _, _, mine, theirs = compare(spark, connect(sf), QUERIES[name], ORACLES[name], delayed)
+    assert cols == names and mine == theirs
+    total = spark.read.parquet(f"{delayed}/events.parquet").count()
+    assert 0 < early[0] < total / 3  # all others were decided while the log was read
+
+
+def held(waiting):
+    return waiting.count()
+
+
 @pytest.fixture(scope="module")
 def scattered(spark, sf, tmp_path_factory):
     """The given tables with ``events`` dealt over 130 files in no order."""
@@ -205,7 +377,7 @@ def scattered(spark, sf, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["str_3_stream_per_hour", "sta_2_ship_stream", "sta_2_ship_micro_batches"])
+@pytest.mark.parametrize("name", ["str_3_stream_per_hour"])
 def test_streams_of_many_shuffled_files_equal_their_sql(spark, sf, scattered, name):
     cols, names, _, _, mine, theirs = compare(spark, connect(sf), QUERIES[name], ORACLES[name], scattered)
     assert cols == names and mine == theirs
@@ -221,9 +393,11 @@ def test_late_requests_are_decided_and_marked(spark, folder, how):
         time.sleep(1.1)  # files are taken by age
     stream = spark.readStream.schema(SHIP).option("maxFilesPerTrigger", 1).json(source)
     if how == "state":
-        answers = run_append(spark, ship.ship_stream(stream, opening, "50 seconds"), folder("out"), folder("mark"))
-        assert answers.filter("final").groupBy("request_id").count().filter("count > 1").count() == 0
-        got = ship.latest_answers(answers)
+        out = folder("out")
+        got = run_timed(spark, stream, opening, "50 seconds", out, folder("mark"))
+        emitted = {r["request_id"] for r in spark.read.parquet(out).collect()}
+        assert emitted == {0, 1, 2, 3, 5}  # 4 waits for an event after 450 s; every other one was decided once
+        assert got.count() == 6
     else:
         path = folder("ship")
         ship.start_shipping(stream, opening, path, folder("mark"), delay="50 seconds").awaitTermination()
