@@ -33,7 +33,7 @@ MEASURES = [
     "exclaims", "stops", "lines_per_word", "word_length", "distinct_words", "top_word", "same_as_last",
     "distinct_lines", "top_line", "marked_words", "ended_words",
 ]
-RIDGE, STEPS, HALVINGS, FAR = 1e-4, 12, 8, 6.0
+RIDGE, STEPS, HALVINGS, FAR, BINS = 1e-4, 12, 8, 6.0, 4_096
 _BYTES = np.zeros((8, 256))
 for _row, _chars in enumerate(
     (bytes(range(97, 123)) + bytes(range(65, 91)), bytes(range(128, 256)), bytes(range(65, 91)), b"0123456789",
@@ -154,16 +154,18 @@ def fit(measured: DataFrame, good: DataFrame, prior: float) -> QualityModel:
     prior = min(max(prior, 0.01), 0.99)
     model = QualityModel(centre, scale, np.zeros(1 + 2 * n), prior)
     rows = measured.select("x", F.lit(False).alias("good")).unionByName(good.select("x", F.lit(True).alias("good")))
-    d, ridge = len(model.weights), RIDGE + 1 / max(good.count(), 1)
+    d = len(model.weights)
+    ridge = np.full(d, RIDGE + 1 / max(good.count(), 1))
+    ridge[0] = 0  # the level of the score follows the prior, however few positives hold the slopes down
 
     def at(weights: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
         of, length = _risk_terms(QualityModel(centre, scale, weights, prior))
         s = _summed(rows, of, length)
         everyone, trusted = max(s[0], 1), max(s[1], 1)
         bad = s[3] / everyone - prior * s[4] / trusted
-        risk = prior * s[2] / trusted + max(bad, 0) + ridge * weights @ weights / 2
+        risk = prior * s[2] / trusted + max(bad, 0) + ridge @ weights**2 / 2
         slope = s[5 + d:5 + 2 * d] / everyone - prior * s[5:5 + d] / trusted + ridge * weights
-        curve = s[5 + 2 * d:].reshape(d, d) / everyone + ridge * np.eye(d)
+        curve = s[5 + 2 * d:].reshape(d, d) / everyone + np.diag(ridge) + 1e-9 * np.eye(d)
         return risk, bad, slope, curve
 
     weights, (risk, _, slope, curve) = model.weights, at(model.weights)
@@ -180,7 +182,34 @@ def fit(measured: DataFrame, good: DataFrame, prior: float) -> QualityModel:
         weights, (risk, _, slope, curve) = weights + size * step, new
         if done:
             break
-    return QualityModel(centre, scale, weights, prior)
+    return levelled(measured, QualityModel(centre, scale, weights, prior))
+
+
+def levelled(measured: DataFrame, model: QualityModel) -> QualityModel:
+    """``model`` with the constant at which the mean score of all documents is the prior.
+
+    With few positives the estimate of the risk on bad documents reaches zero early and the fit stops there:
+    the order is found, the level is not.  One job counts the scores in ``BINS`` bins; the constant is solved
+    for on those.
+    """
+    edge = 30.0
+
+    def counted(batch: pa.RecordBatch) -> np.ndarray:
+        g = np.clip(model.inputs(_matrix(batch)) @ model.weights, -edge, edge)
+        return np.bincount(np.minimum((g + edge) * (BINS / (2 * edge)), BINS - 1).astype(int), minlength=BINS).astype(float)
+
+    counts = _summed(measured, counted, BINS)
+    if not counts.sum():
+        return model
+    centres = (np.arange(BINS) + 0.5) * (2 * edge / BINS) - edge
+    low, high = -2 * edge, 2 * edge
+    for _ in range(60):
+        middle = (low + high) / 2
+        mean = (counts / (1 + np.exp(-np.clip(centres + middle, -edge, edge)))).sum() / counts.sum()
+        low, high = (middle, high) if mean < model.prior else (low, middle)
+    weights = model.weights.copy()
+    weights[0] += low
+    return QualityModel(model.centre, model.scale, weights, model.prior)
 
 
 def scored(measured: DataFrame, model: QualityModel) -> DataFrame:
