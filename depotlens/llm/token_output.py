@@ -11,11 +11,11 @@ first; repeated ids stay as separate rows; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 
 from depotlens.session import shared_dir
 
-WORDS = re.compile(r"[^ \t-\r]+")
 #: Between words that are encoded together; as a word of its own it is always one id.
 MARK = "\x01"
 #: Punctuation that is cut off the end of a word of letters.
-TAILS = ".,;:!?)"
+TAILS = b".,;:!?)"
 #: Words whose ids a Python worker remembers, and words encoded in one call.
 KEPT_WORDS, TOGETHER = 400_000, 256
 SCHEMA = "doc_id long, row long, local_start long, n_tokens long, ids array<int>"
@@ -48,7 +47,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         suffix = self.tokenizer.model.end_of_word_suffix
         if suffix:
@@ -61,21 +60,21 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in found]
 
-    def _together(self, words: list[str], marked: bool) -> dict[str, bytes]:
+    def _together(self, words: list[bytes], marked: bool) -> dict[bytes, bytes]:
         """Ids of words, many words a call.
 
         Words of letters end where an id says so; others are kept apart by the mark, which they don't hold.
         """
-        new: dict[str, bytes] = {}
+        new: dict[bytes, bytes] = {}
         groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        between = f" {MARK} " if marked else " "
-        for group, ids in zip(groups, self._encode([between.join(g) for g in groups])):
+        between = f" {MARK} ".encode() if marked else b" "
+        for group, ids in zip(groups, self._encode([between.join(g).decode() for g in groups])):
             if marked:
                 ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
             else:
                 ends = np.flatnonzero(self.last_of_word[ids]) + 1
             if len(ends) != len(group) or ends[-1] != len(ids):  # a letter that decomposes; each on its own
-                new.update((w, x.tobytes()) for w, x in zip(group, self._encode(group)))
+                new.update((w, x.tobytes()) for w, x in zip(group, self._encode([w.decode() for w in group])))
                 continue
             raw, begin, skip = ids.tobytes(), 0, 4 * marked
             for word, end in zip(group, (4 * ends).tolist()):
@@ -83,7 +82,7 @@ class WordEncoder:
                 begin = end + skip
         return new
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new words.
 
         The pre-tokeniser separates letters from the punctuation after them, and case is dropped, so a
@@ -92,28 +91,28 @@ class WordEncoder:
         known, parts, odd, others = self.known, {}, [], []
         for word in words:
             letters = word.rstrip(TAILS)
-            if letters.isascii() and letters.isalpha():
+            if letters.isalpha():  # of bytes: ASCII letters only
                 parts[word] = letters.lower(), word[len(letters):]
-            elif unicodedata.normalize("NFC", letters.lower()).isalpha():  # no mark to join the punctuation
+            elif letters.isascii():
+                (odd if MARK.encode() in word else others).append(word)
+            elif unicodedata.normalize("NFC", letters.decode().lower()).isalpha():  # no mark to join the punctuation
                 parts[word] = letters, word[len(letters):]
-            elif MARK in word:
-                odd.append(word)
             else:
-                others.append(word)
-        wanted = {letters for letters, _ in parts.values() if letters not in known}
-        others += {tail for _, tail in parts.values() if tail and tail not in known}
+                (odd if MARK.encode() in word else others).append(word)
+        wanted = {letters for letters, _ in parts.values()} - known.keys()
+        others += {tail for _, tail in parts.values() if tail} - known.keys()
         table = self._together(list(wanted), False) | self._together(others, True)
-        table.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd)))
+        table.update((w, x.tobytes()) for w, x in zip(odd, self._encode([w.decode() for w in odd])))
         for word, (letters, tail) in parts.items():
             ids = known[letters] if letters in known else table[letters]
             table[word] = ids + (known[tail] if tail in known else table[tail]) if tail else ids
         return table
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [WORDS.findall(text) for text in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers; ``split`` cuts at ASCII white space only."""
+        split = [text.split() for text in texts]
         known = self.known
-        table = self._learn(list({w for words in split for w in words if w not in known}))
+        table = self._learn(set(chain.from_iterable(split)) - known.keys())
         if len(known) + len(table) <= KEPT_WORDS:
             known.update(table)
             return [b"".join(map(known.__getitem__, words)) for words in split]
@@ -129,8 +128,8 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def groups_of(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    """Consecutive texts of at most ``most`` characters together, or a single longer one."""
+def groups_of(texts: list, most: int = 4_000_000) -> Iterator[list]:
+    """Consecutive texts of at most ``most`` characters (or bytes) together, or a single longer one."""
     group, size = [], 0
     for text in texts:
         if group and size + len(text) > most:
@@ -148,7 +147,7 @@ def _encoder(path: str, end_id: int):
         row = start = 0
         for batch in batches:
             at = 0
-            for group in groups_of([t or "" for t in batch.column("text").to_pylist()]):
+            for group in groups_of([t or b"" for t in batch.column("text").to_pylist()]):
                 ids = [x + end for x in encoder.encode(group)]
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
@@ -173,7 +172,7 @@ def write_token_files(
     index_stride: int = 10_000,
 ) -> str:
     """Writes the ids of ``docs`` (``doc_id``, ``text``) in ascending ``doc_id`` order; returns ``path``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     (
         rows.repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id")

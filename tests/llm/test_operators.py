@@ -427,7 +427,7 @@ def test_words_encode_like_whole_texts():
     texts = ["".join(dice.choice(alphabet) for _ in range(dice.randint(0, 40))) for _ in range(3000)]
     texts += ["İ. H̱ ẖ ﬁ ŉ ẞ ª 𝐀𝐁. it's x's. ... ?! don't (a) b) \x85 x"]
     encoder = token_output.WordEncoder(queries.public_vocabulary())
-    for text, raw, ids in zip(texts, encoder.encode(texts), _whole_ids(texts)):
+    for text, raw, ids in zip(texts, encoder.encode([t.encode() for t in texts]), _whole_ids(texts)):
         assert np.frombuffer(raw, "<u4").tolist() == ids, text
 
 
