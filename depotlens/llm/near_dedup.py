@@ -60,7 +60,13 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
         part = slice(begin, begin + rows)
         values = kmers[None, :] * _TIMES[part, None] + _PLUS[part, None]
         values ^= values >> np.uint64(29)
-        at = np.argpartition(values, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(values), 1))
+        if keep < n:
+            at, each = np.empty((len(values), keep), np.int64), np.arange(len(values))
+            for i in range(keep):  # k-mers differ, and so do their values
+                at[:, i] = values.argmin(axis=1)
+                values[each, at[:, i]] = np.iinfo(np.uint64).max
+        else:
+            at = np.tile(np.arange(n), (len(values), 1))
         chosen = kmers[np.sort(at, axis=1)]  # text order
         key = _PLUS[part].copy()
         for i in range(keep):
