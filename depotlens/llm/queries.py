@@ -60,7 +60,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated passages of 400 bytes take from every document."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"
     )
 
 

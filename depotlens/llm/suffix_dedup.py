@@ -11,11 +11,16 @@ Spark deals the strings by anchor, sorted, so that a task reads them in sequence
 batch of columns.  Anchors that are too frequent for a batch are settled by counting the checksums of
 their windows instead, with the counts combined before they move; both ways give the same places.
 
+A stretch of short period would have an anchor in each period.  There a window equals the one a period before,
+which settles both, and only the windows of the first period go to the columns: a text of one repeated letter
+has one anchor, however long it is.
+
 Equal texts are collapsed first: everything in a text of ``WINDOW`` bytes or more that occurs twice is
 repeated.
 
 Defined cases: a null text counts as empty; texts shorter than the window keep all their bytes; repeated
-rows are copies like any other; an empty table gives no rows; other columns are ignored.
+rows are copies like any other; texts of any length are read whole; of equal hashes in a window the first
+place is its anchor; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotlens.llm.shingles import mixed
@@ -35,6 +40,8 @@ from depotlens.session import written_table
 #: Bytes of a repeated passage, bytes of an anchor, strings in a batch, strings of an anchor in columns.
 WINDOW, GRAM = 400, 32
 BATCH, HOT = 8_192, 20_000
+#: Rows of an Arrow batch of strings or checksums.
+ROWS = 10_000
 REACH = WINDOW - GRAM
 _TABLE = np.random.default_rng(1979).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -73,6 +80,37 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return at, hashes[at], first, last
 
 
+def periodic_starts(raw: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts that periodic stretches settle: those with a copy one period earlier, and those of either copy.
+
+    A stretch of short period has an anchor in every period.  Neighbouring anchors with equal hashes give the
+    periods that occur; a window that equals the one a period before is repeated, and so is the earlier one.
+    Only the first period of a stretch is left to the columns, where other texts meet it.
+    """
+    starts = len(raw) - WINDOW + 1
+    again, either = np.zeros(max(starts, 0), bool), np.zeros(max(starts, 0), bool)
+    for period in np.unique(np.diff(at)[key[1:] == key[:-1]]).tolist():
+        differing = np.concatenate([[0], np.cumsum(raw[period:] != raw[:-period])])
+        equal = differing[WINDOW:] == differing[:-WINDOW]
+        again[period:] |= equal
+        either[period:] |= equal
+        either[:-period] |= equal
+    return again, either
+
+
+def anchors_and_runs(raw: np.ndarray) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int]]]:
+    """:func:`anchors` of the windows that periodic stretches leave open, and the byte ranges those settle."""
+    at, key, first, last = anchors(raw)
+    if not (key[1:] == key[:-1]).any():
+        return (at, key, first, last), []
+    again, either = periodic_starts(raw, at, key)
+    open_before = np.concatenate([[0], np.cumsum(~again)])
+    kept = open_before[last + 1] > open_before[first]
+    opened = np.flatnonzero(~again)
+    low, high = open_before[first[kept]], open_before[last[kept] + 1] - 1
+    return (at[kept], key[kept], opened[low], opened[high]), _intervals(either)
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -81,14 +119,17 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, rows = batch.column("digest"), []
         for i, text in enumerate(batch.column("text").to_pylist()):
-            at, key, first, last = anchors(np.frombuffer(_bytes(text), np.uint8))
-            rows.append((np.full(len(at), i), at, key.view(np.int64), first, last))
+            (at, key, first, last), runs = anchors_and_runs(np.frombuffer(_bytes(text), np.uint8))
+            rows.append((np.full(len(at), i), np.zeros(len(at), bool), at, key.view(np.int64), first, last))
+            if runs:
+                begin, end = np.array(runs, np.int64).T
+                rows.append((np.full(len(begin), i), np.ones(len(begin), bool), begin, begin, begin, end))
         if not rows:
             continue
-        owner, at, key, first, last = (np.concatenate(x) for x in zip(*rows))
+        owner, settled, *places = (np.concatenate(x) for x in zip(*rows))
         yield pa.RecordBatch.from_arrays(
-            [digests.take(pa.array(owner)), *(pa.array(x.astype(np.int64)) for x in (at, key, first, last))],
-            names=["digest", "at", "key", "first", "last"],
+            [digests.take(pa.array(owner)), pa.array(settled), *(pa.array(x.astype(np.int64)) for x in places)],
+            names=["digest", "settled", "at", "key", "first", "last"],
         )
 
 
@@ -99,10 +140,12 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for digest, text, places in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "places"))):
             raw = _bytes(text)
-            rows = [
-                (digest, p["key"], p["at"], p["first"], raw[p["first"]:p["last"] + WINDOW]) for p in places
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            for some in range(0, len(places), ROWS):
+                rows = [
+                    (digest, p["key"], p["at"], p["first"], raw[p["first"]:p["last"] + WINDOW])
+                    for p in places[some:some + ROWS]
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 STRINGS = "digest binary, key long, at long, first long, string binary"
@@ -195,15 +238,18 @@ def _in_columns(batch_size: int):
 
 def _window_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Checksum of every window of a string."""
+    names = ["digest", "begin", "sum"]
+    kinds = [pa.binary(), pa.int64(), pa.binary()]
     for batch in batches:
+        rows: list[tuple[bytes, int, bytes]] = []
         for digest, first, string in zip(*(batch.column(c).to_pylist() for c in ("digest", "first", "string"))):
-            n = len(string) - WINDOW + 1
-            sums = [xxhash.xxh3_128_digest(string[i:i + WINDOW]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([digest] * n, pa.binary()), pa.array(range(first, first + n), pa.int64()),
-                 pa.array(sums, pa.binary())],
-                names=["digest", "begin", "sum"],
-            )
+            rows += [(digest, first + i, xxhash.xxh3_128_digest(string[i:i + WINDOW]))
+                     for i in range(len(string) - WINDOW + 1)]
+            if len(rows) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -215,17 +261,14 @@ def _identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def _merged(ranges: Column) -> Column:
-    """Byte ranges joined where they touch or overlap, in order."""
-    step = lambda done, r: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= r["begin"]),
-        F.concat(
-            F.slice(done, F.lit(1), F.size(done) - 1),
-            F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"),
-                             F.greatest(F.element_at(done, -1)["end"], r["end"]).alias("end"))),
-        ),
-    ).otherwise(F.concat(done, F.array(r)))
-    return F.aggregate(F.sort_array(ranges), F.array().cast("array<struct<begin:long,end:long>>"), step)
+def _merged(ranges: DataFrame) -> DataFrame:
+    """Byte ranges of every text joined where they touch or overlap, as one ordered array each."""
+    of_text = Window.partitionBy("digest").orderBy("begin", "end")
+    reached = F.max("end").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.withColumn("starts", (reached.isNull() | (reached < F.col("begin"))).cast("int"))
+    spans = starts.withColumn("span", F.sum("starts").over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("digest", "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +292,13 @@ def repeated_ranges(rows: DataFrame, texts: DataFrame, hot: int = HOT, batch: in
     ``rows``: identified documents; ``texts``: ``digest, doc_id`` of one document for each distinct text.
     """
     found = rows.filter(F.col("n_bytes") >= WINDOW).select("digest", "text").mapInArrow(
-        _anchored, "digest binary, at long, key long, first long, last long")
-    found = written_table(found.groupBy("digest", "at").agg(
+        _anchored, "digest binary, settled boolean, at long, key long, first long, last long")
+    found = written_table(found.groupBy("digest", "settled", "at").agg(
         F.first("key").alias("key"), F.first("first").alias("first"), F.first("last").alias("last")), "suffix-anchors")
+    runs, found = found.filter("settled"), found.filter("NOT settled").drop("settled")
     counts = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = found.join(counts, "key").withColumn("hot", F.col("n") > hot)
+    shared = shared.unionByName(runs.drop("settled").withColumn("hot", F.lit(None).cast("boolean")), allowMissingColumns=True)
     places = shared.groupBy("digest").agg(F.collect_list(F.struct("at", "key", "first", "last", "hot")).alias("places"))
     wanted = places.join(texts, "digest")
     mine = rows.select("doc_id", "digest", "text").alias("r").join(
@@ -274,8 +319,8 @@ def repeated_ranges(rows: DataFrame, texts: DataFrame, hot: int = HOT, batch: in
         _window_sums, "digest binary, begin long, sum binary")
     twice = sums.groupBy("sum").agg(F.count("*").alias("n")).filter("n > 1").select("sum")
     counted = sums.join(twice, "sum").select("digest", "begin", (F.col("begin") + WINDOW).alias("end"))
-    every = ranges.unionByName(counted)
-    return every.groupBy("digest").agg(_merged(F.collect_list(F.struct("begin", "end"))).alias("spans")), likely
+    settled = runs.select("digest", F.col("first").alias("begin"), F.col("last").alias("end"))
+    return _merged(ranges.unionByName(counted).unionByName(settled)), likely
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT, batch: int = BATCH) -> DataFrame:

@@ -341,6 +341,48 @@ def test_planted_repeats_in_columns_and_by_counts(spark, hot):
     assert _repeats(rows(suffix_dedup.remove_repeats(docs, hot=hot, batch=4))) == wanted
 
 
+def test_periodic_texts_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    random_text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    unit, other = random_text(7), random_text(150)
+    data = ["z" * 400, "z" * 401 + random_text(60), unit * 90, "q" + unit * 57 + "q", unit * 58, other * 9,
+            random_text(30) + other * 3 + random_text(30), "y" * 399 + "!" + "y" * 399, "y" * 400, "v" * 401,
+            (unit * 60 + "-" + other * 4) * 2]
+    wanted = [(i, *r) for i, r in enumerate(brute.repeats(data))]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    for hot in (2, 20_000):
+        assert _repeats(rows(suffix_dedup.remove_repeats(docs, hot=hot, batch=4))) == wanted
+
+
+def test_long_periodic_texts_have_few_anchors(spark):
+    for text in ("x" * 1_000_000, "0123456789" * 100_000):
+        (at, *_), runs = suffix_dedup.anchors_and_runs(np.frombuffer(text.encode(), np.uint8))
+        assert len(at) <= 10 and runs == [(0, len(text))]
+    docs = spark.createDataFrame([(1, "x" * 1_000_000), (2, "x" * 400 + "y"), (3, "a b" * 9)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in rows(suffix_dedup.remove_repeats(docs))}
+    assert [found[i]["n_removed"] for i in (1, 2, 3)] == [1_000_000, 400, 0]
+    assert [(s["begin"], s["end"]) for s in found[2]["spans"]] == [(0, 400)]
+
+
+def test_planted_passages_across_documents_show_as_spans(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 1 << 40, n))
+    passages, shorter = [words(60) for _ in range(6)], [words(60)[:399] for _ in range(6)]
+    data, planted = [], []
+    for k in range(36):
+        passage = passages[k % 6] if k < 18 else shorter[k % 6] if k < 30 else ""
+        before = f"<{words(30)}>" if k % 3 else ""
+        data.append((k, f"{before}{passage}[{k}]{words(40)}"))
+        planted.append([(len(before), len(before) + len(passage))] if k < 18 else [])
+    found = {r["doc_id"]: [(s["begin"], s["end"]) for s in r["spans"]]
+             for r in rows(suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert all(len(p) >= 400 for p in passages)
+    for k, want in enumerate(planted):
+        assert len(found[k]) == len(want)
+        for (a, b), (c, d) in zip(found[k], want):
+            assert c - 1 <= a <= c and d <= b <= d + 1
+
+
 def test_suffix_dedup_odd_and_empty(odd, empty):
     found = rows(suffix_dedup.remove_repeats(odd))
     assert len(found) == odd.count()
