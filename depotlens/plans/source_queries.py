@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from depotlens.plans.registry import query
 from depotlens.schemas import WAREHOUSES
 from depotlens.session import shared_dir
-from depotlens.sources import catalogue, tables
+from depotlens.sources import catalogue, feed, tables
 from depotlens.sources.tables import inventory
 
 
@@ -48,6 +48,26 @@ def _(spark, sf):
     )
 
 
+@query("src_2_numbered_feed", """
+    SELECT op, count(*) AS changes, count(DISTINCT version) AS versions, strftime(min(arrival_ts), '%Y-%m-%d %H:%M:%S') AS first_arrival,
+      coalesce(sum(new_quantity), 0)::BIGINT AS new_quantity, count(*) AS replayed FROM changes GROUP BY op""", "changes")
+def _(spark, sf):
+    """The feed arrives in two parts, the stream is restarted between them, and the whole of it is read again."""
+    path, read, checkpoint = (scratch(spark, name) for name in ("feed", "feed-read", "feed-checkpoint"))
+    ledger = f"{checkpoint}/ledger"
+    changes = tables.changes(spark, sf)
+    for part in (changes.filter("op = 'delete'"), changes.filter("op <> 'delete'")):
+        part.write.mode("append").json(path)
+        feed.read_feed(spark, path, ledger, "earliest").writeStream.format("parquet").option("path", read).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    replayed = feed.replay_feed(spark, path, ledger, 0, feed.feed_length(path, ledger))
+    return spark.read.parquet(read).groupBy("op").agg(
+        F.count(F.lit(1)).alias("changes"), F.countDistinct("version").alias("versions"),
+        F.date_format(F.min("arrival_ts"), "yyyy-MM-dd HH:mm:ss").alias("first_arrival"),
+        F.coalesce(F.sum("new_quantity"), F.lit(0)).alias("new_quantity"),
+    ).join(replayed.groupBy("op").agg(F.count(F.lit(1)).alias("replayed")), "op")
+
+
 @query("src_1_typed_export", """
     SELECT warehouse_id, count(*) AS items, sum(quantity)::BIGINT AS quantity, min(item_id) AS first_item,
       max(unit_price) AS highest_price FROM inventory GROUP BY warehouse_id""", "inventory")
