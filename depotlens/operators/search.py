@@ -164,7 +164,11 @@ def search_any(df: DataFrame, groups: Sequence[Criteria]) -> DataFrame:
 
 
 def get_item(df: DataFrame, warehouse_id: str, item_id: str) -> DataFrame:
-    """Point read; an empty result means NOT_FOUND."""
+    """Point read; an empty result means NOT_FOUND.
+
+    The id reaches the scan, where the Bloom filters of :func:`~depotlens.sources.catalogue.write_layouts`
+    exclude the row groups without it.
+    """
     return df.filter((F.col("warehouse_id") == warehouse_id) & (F.col("item_id") == item_id))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from depotlens.operators import skew
 from depotlens.operators.paging import ordered_page
-from depotlens.operators.search import Criteria, capped_search, capped_search_views, search
+from depotlens.operators.search import Criteria, capped_search, capped_search_views, get_item, search
 from depotlens.schemas import WAREHOUSES
 from depotlens.sources import catalogue, tables
 from depotlens.sources.views import open_views
@@ -66,6 +66,30 @@ def test_three_keys_leave_most_segments_empty(spark, stock):
     assert sum(r["n_rows"] > 0 for r in report) <= 3
 
 
+def _rows_scanned(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_point_reads_skip_row_groups_without_the_id(spark, stock, tmp_path):
+    folders = catalogue.write_layouts(stock, str(tmp_path / "layouts"), files=6)
+    order = ["warehouse_id", "unit_price", "item_id"]
+    stock.repartitionByRange(6, *order).sortWithinPartitions(*order).write.partitionBy("warehouse_id").parquet(
+        str(tmp_path / "plain"))
+    ids = sorted(r["item_id"] for r in stock.filter("warehouse_id = 'WH-TOKYO'").select("item_id").collect())
+    some = ids[len(ids) // 4:3 * len(ids) // 4]
+    picked = some[::max(len(some) // 12, 1)][:12]
+    absent = [i + "0" for i in picked]  # right behind an id that exists, so inside the range of every row group
+    assert not set(absent) & set(ids)
+    plain = spark.read.parquet(str(tmp_path / "plain"))
+    assert all(_rows_scanned(get_item(plain, "WH-TOKYO", i)) > 0 for i in absent[:3])
+    for name in ("by_unit_price", "by_item"):
+        table = spark.read.parquet(folders[name])
+        assert sum(_rows_scanned(get_item(table, "WH-TOKYO", i)) == 0 for i in absent) >= 10  # the filter errs at 1 %
+        assert all(get_item(table, "WH-TOKYO", i).count() == 1 for i in picked[:4])
+
+
 def test_layouts_prune_partitions_and_push_filters(spark, stock, tmp_path, capsys):
     folders = catalogue.write_layouts(stock, str(tmp_path), files=6)
     assert set(folders) == {"by_warehouse", "by_location", "by_unit_price", "by_item"}
