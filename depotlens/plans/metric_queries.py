@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from depotlens.functions import sketches
 from depotlens.operators import metrics, runs, skew
 from depotlens.operators.validation import classify
 from depotlens.plans.registry import query
@@ -90,6 +91,12 @@ def _(spark, sf):
     return metrics.floor_index_percentiles(tables.load(spark, sf, "events"), ["event_type"], "value")
 
 
+@query("agg_4_sketched_percentiles", fractional_sql("event_type", "least(n * {p} // 100, n - 1)"))
+def _(spark, sf):
+    """The same values, ranked only between the bounds that a sketch a group gives."""
+    return sketches.narrowed_percentiles(tables.load(spark, sf, "events"), "value", ["event_type"], [50, 95, 99])
+
+
 @query("agg_3_fractional_values", fractional_sql("event_type", "((n * {p} + 99) // 100 - 1)"))
 def _(spark, sf):
     return metrics.nearest_rank_percentiles(tables.load(spark, sf, "events"), ["event_type"], "value")
@@ -221,6 +228,20 @@ def _(spark, sf):
     )
 
 
+@query("agg_14_sketched_key_check", """
+    SELECT 'inventory' AS checked, sum(n)::BIGINT AS row_count, count(*) AS distinct_keys,
+      count(*) FILTER (n > 1) AS repeated_keys, count(*) FILTER (n > 1) = 0 AS ok
+    FROM (SELECT item_id, warehouse_id, count(*) AS n FROM inventory GROUP BY ALL) k
+    UNION ALL
+    SELECT 'events', sum(n)::BIGINT, count(*), count(*) FILTER (n > 1), count(*) FILTER (n > 1) = 0
+    FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) k""", "inventory")
+def _(spark, sf):
+    """Segments without a repeated key are settled by their sketches."""
+    good = sketches.sketched_key_check(inventory(spark, sf), ["item_id", "warehouse_id"])
+    bad = sketches.sketched_key_check(tables.load(spark, sf, "events"), ["user_id", "event_type"])
+    return good.withColumn("checked", F.lit("inventory")).unionByName(bad.withColumn("checked", F.lit("events")))
+
+
 @query("agg_14_repeated_keys", """
     SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def _(spark, sf):
@@ -418,3 +439,16 @@ def _(spark, sf):
 def _(spark, sf):
     city = inventory(spark, sf).withColumn("city", F.substring("warehouse_id", 4, 20))
     return skew.segment_skew(city, "city", 27, "first_char")
+
+
+@query("skw_4_load_overlap", """
+    SELECT count(*) AS n_now, count(*) FILTER (l) AS n_last, count(*) FILTER (l) AS n_common, sum(n)::BIGINT AS n_rows
+    FROM (SELECT user_id, count(*) AS n, bool_or(event_type <> 'view') AS l FROM events GROUP BY ALL) k""")
+def _(spark, sf):
+    """Users of all events against users of events other than views, from stored sketches of either; exact as long as
+    no segment has more keys than a sketch holds."""
+    log = tables.load(spark, sf, "events")
+    now = sketches.segment_sketches(log, ["user_id"], 1024)
+    last = sketches.segment_sketches(log.filter(F.col("event_type") != "view"), ["user_id"], 1024)
+    totals = sketches.common_keys(now, last).agg(*[F.sum(c).alias(c) for c in ("n_now", "n_last", "n_common")])
+    return totals.withColumn("n_rows", now.agg(F.sum("n_rows")).scalar())

@@ -9,7 +9,7 @@ from depotlens.operators import paging, ranking, search
 from depotlens.operators.search import Criteria
 from depotlens.plans.registry import query
 from depotlens.plans.source_queries import scratch
-from depotlens.sources import tables, views
+from depotlens.sources import curve, tables, views
 from depotlens.sources.tables import inventory
 
 COLUMNS = ["warehouse_id", "item_id", "item_name", "quantity", "lot_number", "location", "unit_price"]
@@ -107,6 +107,16 @@ def _(spark, sf):
     return search.search(inventory(spark, sf), Criteria.parse(raw))
 
 
+@query("flt_9_curve_ranges", f"""
+    {SELECT} WHERE unit_price BETWEEN 905 AND 990 AND quantity BETWEEN 50 AND 900 AND location LIKE 'A-%'""", "inventory")
+def _(spark, sf):
+    """Several ranges at once, over the files of the Z-order layout that they meet."""
+    path = scratch(spark, "curve")
+    curve.write_curve_view(inventory(spark, sf), path)
+    wanted = Criteria(location_prefix="A-", min_price=905, max_price=990, min_quantity=50, max_quantity=900)
+    return curve.CurveView(spark, path).search(wanted)
+
+
 @query("flt_9_no_criteria", SELECT, "inventory")
 def _(spark, sf):
     raw = {"warehouse_id": "  ", "min_price": "cheap", "max_quantity": ""}

@@ -8,7 +8,7 @@ from depotlens.plans.ledger_queries import SHIPPED
 from depotlens.plans.registry import query
 from depotlens.plans.source_queries import scratch
 from depotlens.sources import tables
-from depotlens.streaming import cdc, live, ship
+from depotlens.streaming import cdc, hot, live, ship
 
 _LATEST = """SELECT *, row_number() OVER (PARTITION BY item_id, warehouse_id ORDER BY version DESC) AS rn FROM changes"""
 _REPLICA = f"""SELECT item_id, warehouse_id, version, new_quantity FROM ({_LATEST}) r
@@ -153,6 +153,30 @@ def _(spark, sf):
     return live.read_per_second(spark, path)
 
 
+@query("str_3_stream_fractional", """
+    SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start,
+      max(value) FILTER (rn = least(n * 50 // 100, n - 1) + 1) AS p50,
+      max(value) FILTER (rn = least(n * 95 // 100, n - 1) + 1) AS p95
+    FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY value) AS rn, count(*) OVER (PARTITION BY h) AS n
+      FROM (SELECT date_trunc('day', ts) AS h, value FROM events) t) ranked GROUP BY h""")
+def _(spark, sf):
+    """Values are fractional: sketches of every micro-batch are merged and say which of them to rank."""
+    path = scratch(spark, "fractional")
+    live.start_sketches(
+        tables.load_stream(spark, sf, "events"), "value", path, scratch(spark, "fractional-checkpoint"), "1 day"
+    ).awaitTermination()
+    return live.read_window_percentiles(spark, path, [50, 95])
+
+
+@query("agg_17_stream_hot_keys", """
+    SELECT item_id, count(*) AS requests, round(count(*)::DOUBLE / (SELECT count(*) FROM requests), 6) AS share
+    FROM requests GROUP BY item_id ORDER BY requests DESC, item_id LIMIT 10""", "requests")
+def _(spark, sf):
+    log, path = tables.requests(spark, sf, tables.load_stream(spark, sf, "events")), scratch(spark, "hot-keys")
+    hot.start_key_counts(log, "item_id", path, scratch(spark, "hot-keys-checkpoint")).awaitTermination()
+    return hot.read_hot_keys(spark, path, "item_id", 10)
+
+
 @query("str_8_stream_running_totals", """
     SELECT warehouse_id,
       sum((new_quantity IS NOT NULL)::BIGINT - (old_quantity IS NOT NULL)::BIGINT)::BIGINT AS items,

@@ -8,11 +8,14 @@ stream with :func:`start_counts` and read it with :func:`read_per_second`.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from depotlens.functions.percentiles import count_profile, floor_index, value_counts
+from depotlens.functions.sketches import merged_sketch, narrowed_percentiles, value_sketch
 
 
 def _watermarked(df: DataFrame, watermark: str | None) -> DataFrame:
@@ -73,6 +76,31 @@ def read_per_second(spark: SparkSession, path: str) -> DataFrame:
     return _seconds(merged)
 
 
+def start_sketches(
+    requests: DataFrame, value: str, path: str, checkpoint: str, width: str = "1 second", available_now: bool = True
+) -> StreamingQuery:
+    """For values too fine to count one by one, such as fractional latencies.
+
+    A micro-batch writes one bounded sketch a window, and its values as they are, in the order of the windows, for
+    the second pass.  A repeated batch overwrites both folders; a late value adds to its window.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.select(F.window("ts", width).alias("w"), F.col(value).alias("v"))
+        seen.write.mode("overwrite").parquet(f"{path}/values/batch_id={batch_id}")
+        seen.groupBy("w").agg(*value_sketch("v")).write.mode("overwrite").parquet(f"{path}/sketches/batch_id={batch_id}")
+
+    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_window_percentiles(spark: SparkSession, path: str, ps: Sequence[int], rule: str = "floor") -> DataFrame:
+    """Exact percentiles of each window of :func:`start_sketches`; the merged sketches say which values to rank."""
+    merged = spark.read.parquet(f"{path}/sketches").groupBy("w").agg(*merged_sketch())
+    exact = narrowed_percentiles(spark.read.parquet(f"{path}/values"), "v", ["w"], ps, rule, merged)
+    return exact.select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *[f"p{p}" for p in ps])
+
+
 def interval_deltas(requests: DataFrame, watermark: str | None = None, seconds: int = 5) -> DataFrame:
     """What each run added per interval; adding them up again gives its totals."""
     return _watermarked(requests, watermark).groupBy(
