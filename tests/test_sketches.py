@@ -130,14 +130,17 @@ def spread(spark, n=20_000):
         F.when(F.col("id") % 100 > 0, F.col("id") * 104729 % 997).alias("quantity"))
 
 
-@pytest.mark.parametrize("files,axes,most", [(512, ("unit_price", "quantity"), 0.05), (2048, curve.CURVE_AXES, 0.10)])
+@pytest.mark.parametrize("files,axes,most", [(64, curve.CURVE_AXES, 0.30), (512, curve.CURVE_AXES, 0.10),
+                                             (512, ("unit_price", "quantity"), 0.05)])
 def test_two_ranges_read_a_fraction_of_the_files(spark, files, axes, most):
-    """A range of 12 % and one of 18 %: a view ordered by the first of them reads 0.13 of its files, others all."""
+    """A range of 12 % and one of 18 %: a view ordered by the first of them reads 0.13 of its files, whatever their
+    number; one ordered by a third column all of 64 files, and of 512 small ones nearly half."""
     df, file = spread(spark), F.spark_partition_id()
     share = lambda rows: file_boxes_met(rows, axes, file)
-    assert share(curve.along_curve(df, files, axes)) < most
+    read = share(curve.along_curve(df, files, axes))
+    assert read < most
     assert share(df.repartitionByRange(files, "unit_price", "item_id")) > 0.11
-    assert share(df.repartitionByRange(files, "location", "item_id")) > 0.9
+    assert share(df.repartitionByRange(files, "location", "item_id")) > 2 * read
 
 
 def file_boxes_met(rows, axes, file):
@@ -160,6 +163,20 @@ def test_curve_search_finds_what_a_scan_finds(spark, tmp_path, wanted):
         r["item_id"] for r in search(df, wanted).collect())
 
 
+def test_a_hot_place_is_dealt_over_files(spark, tmp_path):
+    """A third of the rows share one place; some have no warehouse or no quantity."""
+    df = spread(spark, 3000).withColumns({
+        **{c: F.when(F.col("item_id") < "ITEM#01000", F.lit(v)).otherwise(F.col(c))
+           for c, v in (("unit_price", 7), ("quantity", 7), ("location", "A-7"))},
+        "warehouse_id": F.when(F.col("item_id") < "ITEM#02900", F.col("warehouse_id"))})
+    sizes = curve.along_curve(df, 20).groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 2 * 1.5 * 3000 / 20 and sizes[1] == 3000
+    curve.write_curve_view(df, str(tmp_path / "c"), 20)
+    assert curve.CurveView(spark, str(tmp_path / "c")).search(Criteria(max_price=7, min_price=7)).count() >= 1000
+    curve.write_curve_view(df.limit(0), str(tmp_path / "empty"), 4)
+    assert curve.CurveView(spark, str(tmp_path / "empty")).search(Criteria(min_price=1)).count() == 0
+
+
 def test_curve_place_interleaves(spark):
     row = spark.range(1).select(curve.curve_place([F.lit(0b11), F.lit(0b00), F.lit(0b01)]).alias("z")).first()
     assert row["z"] == 0b100101
