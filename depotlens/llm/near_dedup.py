@@ -8,11 +8,13 @@ longer text unedited, counted in words.  Classes are the connected components of
 
 Equal texts are collapsed first, so copies cost nothing further.  Inside a bucket every text is compared
 with the first text of similar length.  Buckets that still hold several classes are then looked through
-whole, in blocks of at most about ``BLOCK`` members against another: a pair that is in no class together is
-taken up in the first bucket it shares and left out only if the words of the two texts, order aside, rule a
-link out.  The nearest pairs are compared first and all others that no link connects by then after them, so
-no candidate pair is left open.  This work grows with the square of a crowd of unlike texts in one bucket,
-but pairs are formed inside the tasks, from sketches and word counts; no bucket is gathered in one task.
+whole.  Texts that meet in one bucket mostly meet in others too, so buckets of one first text and band are
+put together as a crowd, which holds every text once, and are looked through in blocks of at most about
+``BLOCK`` texts against another: a pair that is in no class together is taken up in the first bucket it
+shares and left out only if the words of the two texts, order aside, rule a link out.  The nearest pairs are
+compared first and all others that no link connects by then after them, so no candidate pair is left open.
+This work grows with the square of a crowd of unlike texts, but pairs are formed inside the tasks, from
+sketches and word counts; no crowd is gathered in one task.
 
 Texts that share a part J of their k-mers agree on a sketch of two with a probability of about J squared: on 31
 of 48 at J = 0.8, on 12 at J = 0.5.  Edits spread over a tenth of the words leave J near 0.4, over 0.18 of them
@@ -39,8 +41,8 @@ from depotlens.session import written_table
 
 #: Sketches for each text, k-mers in a sketch, least similarity of a link.
 SKETCHES, KMERS, SIMILARITY = 48, 2, 0.8
-#: Members in a block of a bucket, counters of a text's words, pairs a text that are compared first in a block.
-BLOCK, COUNTERS, NEAREST = 512, 512, 2
+#: Texts in a block of a crowd, counters of a text's words, pairs a text that are compared first in a block.
+BLOCK, COUNTERS, NEAREST = 2048, 512, 2
 #: Longest gap between matched k-mers that is aligned word by word in Python; longer ones by bit vectors.
 GAP = 64
 _RANDOM = np.random.default_rng(20240229)
@@ -282,13 +284,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_pairs(block: pa.Table, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one block with another, or of a block with itself, that this bucket has to settle.
+    """Pairs of one block with another, or of a block with itself, that this crowd has to settle.
 
-    A pair belongs to the first sketch that its texts share, there to the even band if they share it.
+    A pair belongs to the first sketch that its texts share, there to the even band if they share it;
+    ``numbers`` has a bit for each sketch whose bucket of the text is in the crowd.
     With ``most`` only the pairs of each text that share most sketches.
     """
-    doc, label, n, even, mine = (block[c].to_numpy() for c in ("doc", "label", "n", "even", "mine"))
-    number, band, i, j = (block[c][0].as_py() for c in ("number", "band", "i", "j"))
+    doc, label, n, even, mine, numbers = (block[c].to_numpy() for c in ("doc", "label", "n", "even", "mine", "numbers"))
+    band, i, j = (block[c][0].as_py() for c in ("band", "i", "j"))
     keys = block["keys"].combine_chunks().flatten().to_numpy().reshape(len(doc), SKETCHES)
     bags = np.frombuffer(b"".join(block["bag"].to_pylist()), np.uint16).reshape(len(doc), COUNTERS)
     words = n + (LENGTH - 1)
@@ -304,7 +307,7 @@ def _block_pairs(block: pa.Table, most: int | None) -> Iterator[tuple[np.ndarray
             fits &= even[others] != even[x]
         others, longer = others[fits], longer[fits]
         same = keys[others] == keys[x]
-        first = np.argmax(same, axis=1) == number
+        first = same.any(axis=1) & (numbers[x] >> np.argmax(same, axis=1) & 1 > 0)
         others, longer, same = others[first], longer[first], same[first]
         common = np.minimum(bags[others], bags[x]).sum(axis=1, dtype=np.int64)
         near = (common >= longer * SIMILARITY - 1e-9) | full[others] | full[x]
@@ -317,7 +320,7 @@ def _block_pairs(block: pa.Table, most: int | None) -> Iterator[tuple[np.ndarray
 
 def _blocks_compared(most: int | None):
     """Cuts a sorted stream into its blocks."""
-    names = ("key", "band", "i", "j")
+    names = ("lead", "band", "i", "j")
 
     def pairs(block: pa.Table) -> pa.RecordBatch:
         found = list(_block_pairs(block, most))
@@ -342,23 +345,32 @@ def _blocks_compared(most: int | None):
     return run
 
 
-def _open_pairs(buckets: DataFrame, tested: DataFrame, texts: DataFrame, bags: DataFrame, most: int | None) -> DataFrame:
-    """Candidate pairs ``a, b`` that no link found so far connects, without those tested and those ruled out.
+def _crowds(buckets: DataFrame, tested: DataFrame) -> DataFrame:
+    """``lead, band, doc, n, even, label, numbers, members``: every text once in all open buckets of a lead and band.
 
-    A bucket of two is settled by its lead.
+    A bucket is open if it holds several classes; a bucket of two is settled by its lead.  A pair that shares
+    a bucket is in the crowd of that bucket together.
     """
     labels = components(tested.filter("similarity > 0"))
     named = buckets.filter("members > 2").join(labels, "doc", "left").select(
-        "key", "band", "number", "members", "doc", "n", "even", F.coalesce("label", "doc").alias("label"))
+        "key", "band", "number", F.col("lead.doc").alias("lead"), "doc", "n", "even", F.coalesce("label", "doc").alias("label"))
     mixed_ = named.groupBy("key", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     open_ = named.join(mixed_.select("key", "band"), ["key", "band"])
+    crowds = written_table(open_.groupBy("lead", "band", "doc").agg(
+        *(F.first(c).alias(c) for c in ("n", "even", "label")), F.expr("bit_or(shiftleft(1L, number))").alias("numbers")),
+        "near-crowds")
+    return crowds.join(crowds.groupBy("lead", "band").agg(F.count("*").alias("members")), ["lead", "band"])
+
+
+def _open_pairs(buckets: DataFrame, tested: DataFrame, bags: DataFrame, most: int | None) -> DataFrame:
+    """Candidate pairs ``a, b`` that no link found so far connects, without those tested and those ruled out."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    spread = open_.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                           "mine", "number", "doc", "n", "even", "label")
-    rows = spread.join(texts.select("doc", "keys"), "doc").join(bags, "doc")
-    rows = rows.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    crowds = _crowds(buckets, tested)
+    spread = crowds.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.select("lead", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                           "mine", "numbers", "doc", "n", "even", "label")
+    rows = spread.join(bags, "doc").repartition("lead", "band", "i", "j").sortWithinPartitions("lead", "band", "i", "j")
     found = rows.mapInArrow(_blocks_compared(most), "a long, b long").distinct()
     return written_table(
         found.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(
@@ -393,7 +405,7 @@ def linked_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
     Every text is first compared with the smallest of its leads and with the one it shares most buckets
     with; that settles large groups of near copies with two comparisons each.  The other pairs with leads
-    follow unless their texts are connected by then, and last what buckets of several classes hold.
+    follow unless their texts are connected by then, and last what crowds of several classes hold.
     """
     sketched = texts.select("doc", "n", F.posexplode("keys").alias("number", "key"))
     repeated = sketched.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
@@ -408,9 +420,10 @@ def linked_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
     chosen = leads.select("a", F.explode("leads").alias("b"))
     tested = _compare(chosen, kept)
     tested = tested.unionByName(_compare(_apart(first, tested), kept))
-    bags = written_table(kept.mapInArrow(_counted, "doc long, bag binary"), "near-words")
+    bags = kept.mapInArrow(_counted, "doc long, bag binary").join(texts.select("doc", "keys"), "doc")
+    bags = written_table(bags, "near-words")
     for most in (NEAREST, None):
-        tested = tested.unionByName(_compare(_open_pairs(first, tested, texts, bags, most), kept))
+        tested = tested.unionByName(_compare(_open_pairs(first, tested, bags, most), kept))
     return tested.filter("similarity > 0")
 
 

@@ -125,6 +125,32 @@ def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
     test_alike_texts_behind_a_crowd_of_unlike_ones(spark)
 
 
+def test_a_crowd_holds_every_text_once(spark, monkeypatch):
+    """Unlike texts around one passage share many sketches; they met in every bucket of theirs before."""
+    _, words = _random_words(13)
+    passage = words(150)
+    data = [(i, " ".join(passage + words(50))) for i in range(120)]
+    rows_seen, blocks = spark.sparkContext.accumulator(0), near_dedup._blocks_compared
+
+    def counting(most):
+        real = blocks(most)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    rows_seen.add(batch.num_rows)
+                    yield batch
+
+            yield from real(seen())
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_blocks_compared", counting)
+    found = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in rows(found)} == brute.classes(dict(data))
+    assert 120 <= rows_seen.value <= 30 * 120
+
+
 def test_order_matters_to_the_alignment():
     words = np.arange(1, 400, dtype=np.uint64)
     assert near_dedup.similarity(words, words) == 1.0
