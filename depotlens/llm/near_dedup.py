@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depotlens.llm import kept as worker
 from depotlens.llm.shingles import LENGTH, labelled, mixed, shingle_hashes, word_hashes
 from depotlens.session import written_table
 
@@ -208,6 +209,7 @@ def _kmers(text: str) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.only("shingles")
     for batch in batches:
         kmers = [_kmers(t) for t in batch.column("text").to_pylist()]
         keys = [sketches(k) for k in kmers]

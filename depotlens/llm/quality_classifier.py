@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.llm import kept
 from depotlens.session import written_table
 
 MEASURES = [
@@ -65,6 +66,7 @@ def measures(text: str) -> np.ndarray:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept.only(None)
     for batch in batches:
         rows = [measures(t or "").astype(np.float32) for t in batch.column("text").to_pylist()]
         flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.float32))
@@ -200,6 +202,7 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataF
     """The rows of ``docs`` whose text scores ``least`` or more; all columns as they were, nothing shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.only(None)
         for batch in batches:
             texts = batch.column("text").cast(pa.string()).to_pylist()
             if texts:

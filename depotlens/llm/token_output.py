@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depotlens.llm import kept
 from depotlens.session import shared_dir
 
 #: Between words that are encoded together; as a word of its own it is always one id.
@@ -128,6 +129,15 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _forget() -> bool:
+    held = word_encoder.cache_info().currsize > 0
+    word_encoder.cache_clear()
+    return held
+
+
+kept.remembered("word encoder", _forget)
+
+
 def groups_of(texts: list, most: int = 4_000_000) -> Iterator[list]:
     """Consecutive texts of at most ``most`` characters (or bytes) together, or a single longer one."""
     group, size = [], 0
@@ -143,6 +153,7 @@ def groups_of(texts: list, most: int = 4_000_000) -> Iterator[list]:
 
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.only("word encoder")
         encoder, end = word_encoder(path), np.uint32(end_id).tobytes()
         row = start = 0
         for batch in batches:

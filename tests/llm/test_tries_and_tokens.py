@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from depotlens.llm import conversation_trie, hot_keys, queries, simhash_dedup, token_alignment
+from depotlens.llm import conversation_trie, hot_keys, queries, simhash_dedup, token_alignment, token_output
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TURNS = "conv_id long, turn long, role string, text string"
@@ -310,3 +310,14 @@ def test_galloping_finds_what_sets_find():
         assert a[at_a].tolist() == b[at_b].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
     skewed = np.concatenate([np.arange(10), np.arange(10_000, 20_000)])
     assert token_alignment.gallop(np.array([3, 9_999, 15_000, 30_000]), skewed).tolist() == [3, -1, 5_010, -1]
+
+
+def test_another_operator_frees_what_a_worker_remembers():
+    from depotlens.llm import near_dedup, quality_classifier, shingles
+
+    for task, words_stay in ((near_dedup._sketched, True), (quality_classifier._measured, False)):
+        shingles.word_hashes("some words of a text")
+        token_output.word_encoder(queries.public_vocabulary())
+        list(task(iter([])))
+        assert token_output.word_encoder.cache_info().currsize == 0
+        assert bool(shingles._hashes()) == words_stay
