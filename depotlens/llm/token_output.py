@@ -100,8 +100,8 @@ class WordEncoder:
                 parts[word] = letters, word[len(letters):]
             else:
                 (odd if MARK.encode() in word else others).append(word)
-        wanted = {letters for letters, _ in parts.values()} - known.keys()
-        others += {tail for _, tail in parts.values() if tail} - known.keys()
+        wanted = {letters for letters, _ in parts.values()}.difference(known)
+        others += {tail for _, tail in parts.values() if tail}.difference(known)
         table = self._together(list(wanted), False) | self._together(others, True)
         table.update((w, x.tobytes()) for w, x in zip(odd, self._encode([w.decode() for w in odd])))
         for word, (letters, tail) in parts.items():
@@ -113,14 +113,13 @@ class WordEncoder:
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers; ``split`` cuts at ASCII white space only."""
         split = [text.split() for text in texts]
         known = self.known
-        table = self._learn(set(chain.from_iterable(split)) - known.keys())
-        if len(known) + len(table) <= KEPT_WORDS:
-            known.update(table)
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        both = known | table if len(table) > len(known) // 8 else None
-        if both is not None:
-            return [b"".join(map(both.__getitem__, words)) for words in split]
-        return [b"".join([known[w] if w in known else table[w] for w in words]) for words in split]
+        table = self._learn(set(chain.from_iterable(split)).difference(known))
+        known.update(table)
+        ids = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > KEPT_WORDS:
+            for word in table:
+                del known[word]
+        return ids
 
 
 @lru_cache(maxsize=2)
