@@ -173,8 +173,12 @@ def get_item(df: DataFrame, warehouse_id: str, item_id: str) -> DataFrame:
 
 
 def get_items(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Many point reads: one row per requested key with a ``found`` flag."""
-    stored = df.withColumn("found", F.lit(True))
+    """Many point reads: one row per requested key with a ``found`` flag.
+
+    Stored rows are sorted, never broadcast: a catalogue that is expanded on reading is far larger than Spark
+    takes it for, and each executor would hold it whole.
+    """
+    stored = df.withColumn("found", F.lit(True)).hint("merge")
     return keys.join(stored, ["warehouse_id", "item_id"], "left").withColumn(
         "found", F.coalesce("found", F.lit(False))
     )

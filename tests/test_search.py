@@ -259,3 +259,10 @@ def test_point_read_and_coverage(spark, stock):
         "probe_keys": 2, "covered_keys": 1, "covered_share": 0.5}
     none = coverage(probe.filter(F.lit(False)), stock, ["item_id"]).first()
     assert (none["probe_keys"], none["covered_share"]) == (0, 0.0)
+
+
+def test_point_lookups_do_not_broadcast_the_stock(spark, sf):
+    from depotlens.plans import QUERIES
+
+    plan = QUERIES["flt_2_point_lookups"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
