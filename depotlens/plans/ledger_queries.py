@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from depotlens.operators import ledger, validation
 from depotlens.plans.registry import query
+from depotlens.session import written_table
 from depotlens.sources import tables
 from depotlens.sources.tables import inventory, movements
 
@@ -145,8 +146,12 @@ def _(spark, sf):
     SELECT request_id, item_id, warehouse_id, quantity::DOUBLE AS quantity, accepted,
       stock_after::DOUBLE AS stock_after FROM shipped""", "ship_bodies opening_stock")
 def _(spark, sf):
-    """Request bodies parsed, checked, and the valid ones decided, fractions included."""
-    checked = validation.validate_ship(validation.parse_ship_bodies(tables.ship_bodies(spark, sf)))
+    """Request bodies parsed, checked, and the valid ones decided, fractions included.
+
+    Parsed bodies are stored: filters on their fields would parse each body again for every rule and pass.
+    """
+    parsed = written_table(validation.parse_ship_bodies(tables.ship_bodies(spark, sf)), "ship-bodies")
+    checked = validation.validate_ship(parsed)
     valid, _ = validation.split_valid(checked)
     exact, _ = validation.split_valid(validation.exact_quantities(valid))
     wanted = exact.select("request_id", "item_id", "warehouse_id", "quantity")

@@ -154,3 +154,10 @@ def test_bodies_flow_into_the_stock(spark):
     stock = spark.createDataFrame([("A", "W", 2)], "item_id string, warehouse_id string, quantity long")
     got = ledger.ship_batch(stock, exact.select("request_id", "item_id", "warehouse_id", "quantity"), order=["request_id"])
     assert {r["request_id"]: r["accepted"] for r in got.collect()} == {0: True, 4: False}
+
+
+def test_bodies_are_parsed_once(spark, sf):
+    from depotlens.plans import QUERIES
+
+    plan = QUERIES["val_1_bodies_to_stock"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_get" not in plan and "parse_json" not in plan
