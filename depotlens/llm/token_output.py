@@ -11,15 +11,17 @@ first; repeated ids stay as separate rows; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from depotlens.session import shared_dir
 #: Between words that are encoded together; as a word of its own it is always one id.
 MARK = "\x01"
 #: Punctuation that is cut off the end of a word of letters.
-TAILS = b".,;:!?)"
+TAILS = ".,;:!?)"
 #: Words whose ids a Python worker remembers, and words encoded in one call.
 KEPT_WORDS, TOGETHER = 400_000, 256
 SCHEMA = "doc_id long, row long, local_start long, n_tokens long, ids array<int>"
@@ -40,15 +42,23 @@ class WordEncoder:
     """Encodes texts word by word.
 
     The vocabulary's pre-tokeniser never joins characters across ASCII white space and drops it, so the
-    ids of a text are the ids of its words one after the other.  Frequent words are looked up; new ones
+    ids of a text are the ids of its words one after the other.  It also separates letters from the
+    punctuation after them, and case is dropped, so a word of letters is looked up in lower case and apart
+    from its punctuation.  Only distinct words pass through Python; frequent ones are remembered, new ones
     are encoded together, separated by a mark.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # Lower-case ASCII letters pass normaliser and pre-tokeniser as they are; their regexes cost a third of the time.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[str, bytes] = {}
         self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         suffix = self.tokenizer.model.end_of_word_suffix
         if suffix:
@@ -57,25 +67,25 @@ class WordEncoder:
         if len(self.mark) != 1:
             raise ValueError("the vocabulary must encode the mark as one id")
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        found = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in found]
 
-    def _together(self, words: list[bytes], marked: bool) -> dict[bytes, bytes]:
+    def _together(self, words: list[str], marked: bool, plain: bool = False) -> dict[str, bytes]:
         """Ids of words, many words a call.
 
         Words of letters end where an id says so; others are kept apart by the mark, which they don't hold.
         """
-        new: dict[bytes, bytes] = {}
+        new: dict[str, bytes] = {}
         groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        between = f" {MARK} ".encode() if marked else b" "
-        for group, ids in zip(groups, self._encode([between.join(g).decode() for g in groups])):
+        between = f" {MARK} " if marked else " "
+        for group, ids in zip(groups, self._encode([between.join(g) for g in groups], plain)):
             if marked:
                 ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
             else:
                 ends = np.flatnonzero(self.last_of_word[ids]) + 1
             if len(ends) != len(group) or ends[-1] != len(ids):  # a letter that decomposes; each on its own
-                new.update((w, x.tobytes()) for w, x in zip(group, self._encode([w.decode() for w in group])))
+                new.update((w, x.tobytes()) for w, x in zip(group, self._encode(group)))
                 continue
             raw, begin, skip = ids.tobytes(), 0, 4 * marked
             for word, end in zip(group, (4 * ends).tolist()):
@@ -83,43 +93,83 @@ class WordEncoder:
                 begin = end + skip
         return new
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words.
-
-        The pre-tokeniser separates letters from the punctuation after them, and case is dropped, so a
-        word of letters shares its ids with the same word in another case or before a comma.
-        """
-        known, parts, odd, others = self.known, {}, [], []
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words."""
+        plain, letters, others, odd = [], [], [], []
         for word in words:
-            letters = word.rstrip(TAILS)
-            if letters.isalpha():  # of bytes: ASCII letters only
-                parts[word] = letters.lower(), word[len(letters):]
-            elif letters.isascii():
-                (odd if MARK.encode() in word else others).append(word)
-            elif unicodedata.normalize("NFC", letters.decode().lower()).isalpha():  # no mark to join the punctuation
-                parts[word] = letters, word[len(letters):]
-            else:
-                (odd if MARK.encode() in word else others).append(word)
-        wanted = {letters for letters, _ in parts.values()}.difference(known)
-        others += {tail for _, tail in parts.values() if tail}.difference(known)
-        table = self._together(list(wanted), False) | self._together(others, True)
-        table.update((w, x.tobytes()) for w, x in zip(odd, self._encode([w.decode() for w in odd])))
-        for word, (letters, tail) in parts.items():
-            ids = known[letters] if letters in known else table[letters]
-            table[word] = ids + (known[tail] if tail in known else table[tail]) if tail else ids
+            if MARK in word:
+                odd.append(word)
+            elif word.isascii() and word.isalpha():  # lower case by now
+                plain.append(word)
+            elif word.isalpha() and _of_letters(word):
+                letters.append(word)
+            elif word:
+                others.append(word)
+        table = {"": b""} | self._together(plain, False, True) | self._together(letters, False) | self._together(others, True)
+        table.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd)))
         return table
 
+    def _found(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; new ones are remembered while there is room."""
+        found = list(map(self.known.get, words))
+        table = self._learn([word for word, ids in zip(words, found) if ids is None])
+        self.known.update(islice(table.items(), max(0, KEPT_WORDS - len(self.known))))
+        return [table[word] if ids is None else ids for word, ids in zip(words, found)]
+
+    def _word_ids(self, words: pa.Array, end: np.ndarray) -> pa.ListArray:
+        """Ids of each of some distinct words, and ``end`` as a last one."""
+        letters = pc.utf8_rtrim(words, characters=TAILS)
+        size, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (letters, words))
+        ascii_ = pc.string_is_ascii(letters).to_numpy(zero_copy_only=False)
+        plain = ascii_ & pc.ascii_is_alpha(letters).to_numpy(zero_copy_only=False)
+        cut = plain & (size < whole)
+        foreign = np.flatnonzero(~ascii_ & (size < whole))
+        cut[foreign] = [_of_letters(w) for w in _strings(letters.take(pa.array(foreign)))]
+        heads = pc.if_else(pa.array(plain), pc.ascii_lower(letters), pc.if_else(pa.array(cut), letters, words)).dictionary_encode()
+        at = np.flatnonzero(cut)
+        tailed = zip(_strings(words.take(pa.array(at))), (whole - size)[at].tolist())
+        tails = pa.array([word[-n:] for word, n in tailed], pa.string()).dictionary_encode()
+        found = [b"", *self._found(_strings(heads.dictionary)), *self._found(_strings(tails.dictionary)), end.tobytes()]
+        pairs = np.zeros((len(words) + 1, 2), np.int64)  # of places in ``found``: letters and what follows them
+        pairs[:-1, 0] = heads.indices.to_numpy() + 1
+        pairs[at, 1] = tails.indices.to_numpy() + 1 + len(heads.dictionary)
+        pairs[-1, 0] = len(found) - 1
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        parts = pa.ListArray.from_arrays(_offsets(sizes), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        return pa.ListArray.from_arrays(_offsets(sizes[pairs].sum(axis=1)), parts.take(pa.array(pairs.ravel())).flatten())
+
+    def encoded(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, ``end`` behind each, and how many each text has.
+
+        Texts are cut at ASCII white space only.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        distinct = split.flatten().dictionary_encode()
+        ids = self._word_ids(distinct.dictionary, end)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        places = np.insert(distinct.indices.to_numpy(), ends, len(ids) - 1)
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(sizes[places])[ends + np.arange(len(ends))]
+        return ids.take(pa.array(places)).flatten().to_numpy(), np.diff(upto, prepend=0)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers; ``split`` cuts at ASCII white space only."""
-        split = [text.split() for text in texts]
-        known = self.known
-        table = self._learn(set(chain.from_iterable(split)).difference(known))
-        known.update(table)
-        ids = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > KEPT_WORDS:
-            for word in table:
-                del known[word]
-        return ids
+        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
+        values, counts = self.encoded(pa.array(texts, pa.binary()).cast(pa.string()), np.zeros(0, "<u4"))
+        return [part.tobytes() for part in np.split(values, np.cumsum(counts)[:-1])][:len(texts)]
+
+
+def _of_letters(word: str) -> bool:
+    """Whether a word stays letters when it is folded, so no mark joins the punctuation after it."""
+    return unicodedata.normalize("NFC", word.lower()).isalpha()
+
+
+def _strings(array: pa.Array) -> list[str]:
+    """The values, without a scalar object for each."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
 @lru_cache(maxsize=2)
@@ -150,29 +200,38 @@ def groups_of(texts: list, most: int = 4_000_000) -> Iterator[list]:
         yield group
 
 
+def _slices(sizes: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """First and number of consecutive texts of at most ``most`` bytes together, or a single longer one."""
+    begin = total = 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > begin and total + size > most:
+            yield begin, at - begin
+            begin, total = at, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes) - begin
+
+
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept.only("word encoder")
-        encoder, end = word_encoder(path), np.uint32(end_id).tobytes()
+        encoder, end = word_encoder(path), np.array([end_id], "<u4")
         row = start = 0
         for batch in batches:
-            at = 0
-            for group in groups_of([t or b"" for t in batch.column("text").to_pylist()]):
-                ids = [x + end for x in encoder.encode(group)]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                values = np.frombuffer(b"".join(ids), dtype="<i4")
+            texts = pc.fill_null(batch.column("text"), b"").cast(pa.string())
+            for at, many in _slices(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                values, counts = encoder.encoded(texts.slice(at, many), end)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, len(group)),
-                        pa.array(np.arange(row, row + len(group))),
-                        pa.array(start + offsets[:-1]),
+                        batch.column("doc_id").slice(at, many),
+                        pa.array(np.arange(row, row + many)),
+                        pa.array(start + np.cumsum(counts) - counts),
                         pa.array(counts),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
+                        pa.ListArray.from_arrays(_offsets(counts), pa.array(values)),
                     ],
                     names=["doc_id", "row", "local_start", "n_tokens", "ids"],
                 )
-                at, row, start = at + len(group), row + len(group), start + int(offsets[-1])
+                row, start = row + many, start + len(values)
 
     return run
 

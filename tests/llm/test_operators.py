@@ -497,6 +497,14 @@ def test_words_encode_like_whole_texts():
         assert np.frombuffer(raw, "<u4").tolist() == ids, text
 
 
+def test_a_word_is_encoded_once_whatever_its_case_and_punctuation():
+    encoder = token_output.WordEncoder(queries.public_vocabulary())
+    text = "Stock stock, STOCK. (stock!) stock?! für für, 3.5"
+    raw, = encoder.encode([text.encode()])
+    assert np.frombuffer(raw, "<u4").tolist() == _whole_ids([text])[0]
+    assert set(encoder.known) <= {"", "stock", "(stock!)", "für", "3.5", ",", ".", "?!"}
+
+
 def test_files_are_sorted_and_looked_up(spark, docs, tmp_path):
     path = token_output.write_token_files(docs, f"{tmp_path}/t", queries.public_vocabulary())
     stored = token_output.token_files(spark, path)
