@@ -210,7 +210,7 @@ def _kmers(text: str) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker.only("shingles")
-    for batch in batches:
+    for batch in worker.pieces(batches):
         kmers = [_kmers(t) for t in batch.column("text").to_pylist()]
         keys = [sketches(k) for k in kmers]
         flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
@@ -226,7 +226,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in worker.pieces(batches):
         left, right = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         found = []
@@ -237,6 +237,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
         )
+    worker.only(None)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -276,7 +277,7 @@ def _pairs(open_: DataFrame) -> DataFrame:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many words of a text fall to each counter; all full where one would run over."""
-    for batch in batches:
+    for batch in worker.pieces(batches):
         bags = []
         for text in batch.column("text").to_pylist():
             counts = np.bincount((word_hashes(text) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
@@ -347,13 +348,12 @@ def _blocks_compared(most: int | None):
     return run
 
 
-def _crowds(buckets: DataFrame, tested: DataFrame) -> DataFrame:
+def _crowds(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """``lead, band, doc, n, even, label, numbers, members``: every text once in all open buckets of a lead and band.
 
     A bucket is open if it holds several classes; a bucket of two is settled by its lead.  A pair that shares
     a bucket is in the crowd of that bucket together.
     """
-    labels = components(tested.filter("similarity > 0"))
     named = buckets.filter("members > 2").join(labels, "doc", "left").select(
         "key", "band", "number", F.col("lead.doc").alias("lead"), "doc", "n", "even", F.coalesce("label", "doc").alias("label"))
     mixed_ = named.groupBy("key", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
@@ -364,11 +364,13 @@ def _crowds(buckets: DataFrame, tested: DataFrame) -> DataFrame:
     return crowds.join(crowds.groupBy("lead", "band").agg(F.count("*").alias("members")), ["lead", "band"])
 
 
-def _open_pairs(buckets: DataFrame, tested: DataFrame, bags: DataFrame, most: int | None) -> DataFrame:
+def _open_pairs(
+    buckets: DataFrame, tested: DataFrame, labels: DataFrame, bags: DataFrame, most: int | None
+) -> DataFrame:
     """Candidate pairs ``a, b`` that no link found so far connects, without those tested and those ruled out."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    crowds = _crowds(buckets, tested)
+    crowds = _crowds(buckets, labels)
     spread = crowds.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     spread = spread.select("lead", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                            "mine", "numbers", "doc", "n", "even", "label")
@@ -379,12 +381,11 @@ def _open_pairs(buckets: DataFrame, tested: DataFrame, bags: DataFrame, most: in
             tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-open")
 
 
-def _apart(buckets: DataFrame, tested: DataFrame) -> DataFrame:
+def _apart(buckets: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of a member with a lead of another class than its own, without those tested.
 
     Classes are put to the members before pairs are formed, so pairs inside a class never become rows.
     """
-    labels = components(tested.filter("similarity > 0"))
     of_a = labels.select(F.col("doc").alias("a"), F.col("label").alias("class_a"))
     of_b = labels.select(F.col("doc").alias("b"), F.col("label").alias("class_b"))
     open_ = buckets.filter((F.col("doc") != F.col("lead.doc")) & _near_in_length("n", "lead.n")).select(
@@ -402,8 +403,8 @@ def _compare(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     return written_table(found.mapInArrow(_compared, "a long, b long, similarity double"), "near-compared")
 
 
-def linked_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``a, b, similarity`` that connect all alike texts; ``texts``: ``doc, digest, n, keys``.
+def linked_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc, label`` of all texts with a link, by the links that connect them; ``texts``: ``doc, digest, n, keys``.
 
     Every text is first compared with the smallest of its leads and with the one it shares most buckets
     with; that settles large groups of near copies with two comparisons each.  The other pairs with leads
@@ -421,12 +422,15 @@ def linked_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
         F.min("b"), F.max(F.struct("shared", (-F.col("b")).alias("b")))["b"] * -1)).alias("leads"))
     chosen = leads.select("a", F.explode("leads").alias("b"))
     tested = _compare(chosen, kept)
-    tested = tested.unionByName(_compare(_apart(first, tested), kept))
+    labels = components(tested.filter("similarity > 0"))
+    more = _compare(_apart(first, tested, labels), kept)
+    tested, labels = tested.unionByName(more), merged(labels, more.filter("similarity > 0"))
     bags = kept.mapInArrow(_counted, "doc long, bag binary").join(texts.select("doc", "keys"), "doc")
     bags = written_table(bags, "near-words")
     for most in (NEAREST, None):
-        tested = tested.unionByName(_compare(_open_pairs(first, tested, bags, most), kept))
-    return tested.filter("similarity > 0")
+        more = _compare(_open_pairs(first, tested, labels, bags, most), kept)
+        tested, labels = tested.unionByName(more), merged(labels, more.filter("similarity > 0"))
+    return labels
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -452,6 +456,21 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more ``links``; only what the links join is worked on, not the classes known before."""
+    if links.isEmpty():
+        return labels
+    of_a = labels.select(F.col("doc").alias("a"), F.col("label").alias("class_a"))
+    of_b = labels.select(F.col("doc").alias("b"), F.col("label").alias("class_b"))
+    named = links.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left")
+    between = written_table(named.select(
+        F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).distinct(), "near-between")
+    joined = components(between.filter("a <> b"))
+    known = labels.unionByName(joined.select("doc", F.col("doc").alias("label")).join(labels, "doc", "left_anti"))
+    new = known.join(joined.select(F.col("doc").alias("label"), F.col("label").alias("into")), "label", "left")
+    return written_table(new.select("doc", F.coalesce("into", "label").alias("label")), "near-labels")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, text_digest`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -465,7 +484,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = sketched.groupBy("digest").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = written_table(texts, "near-distinct")
-    labels = components(linked_pairs(docs, texts.filter("n > 0")))
+    labels = linked_texts(docs, texts.filter("n > 0"))
     named = texts.select("digest", "doc").join(labels, "doc", "left").select(
         "digest", F.coalesce("label", "doc").alias("class_id"))
     found = sketched.select("doc_id", "digest").join(named, "digest")

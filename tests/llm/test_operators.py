@@ -497,6 +497,17 @@ def test_words_encode_like_whole_texts():
         assert np.frombuffer(raw, "<u4").tolist() == ids, text
 
 
+def test_more_links_join_only_the_classes_they_touch(spark, monkeypatch):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 9), (10, 9)], "doc long, label long")
+    links = spark.createDataFrame([(6, 2), (11, 12), (2, 1), (12, 3)], "a long, b long")
+    sizes, components = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges: sizes.append(edges.count()) or components(edges))
+    found = {r["doc"]: r["label"] for r in rows(near_dedup.merged(labels, links))}
+    assert found == {1: 1, 2: 1, 5: 1, 6: 1, 9: 9, 10: 9, 3: 3, 11: 3, 12: 3}
+    assert sizes == [3]  # the link inside a class and the untouched class are left out
+    assert near_dedup.merged(labels, links.limit(0)) is labels
+
+
 def test_a_word_is_encoded_once_whatever_its_case_and_punctuation():
     encoder = token_output.WordEncoder(queries.public_vocabulary())
     text = "Stock stock, STOCK. (stock!) stock?! für für, 3.5"
