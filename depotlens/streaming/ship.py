@@ -52,7 +52,8 @@ class _Shipping(StatefulProcessor):
     """State of one item: the stock left, and the requests that wait, each at most ``delay`` of event time.
 
     One timer an item stands at its earliest waiting request.  When it fires, all requests up to the
-    horizon are decided in order of time and the timer moves on.
+    horizon are decided in order of time and the timer moves on.  Every call on a state or a timer is a
+    round trip to the JVM, so the timer is remembered with the stock and only what changed is written.
     """
 
     def __init__(self, delay_us: int, reach_us: int) -> None:
@@ -60,57 +61,55 @@ class _Shipping(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.left = handle.getValueState("left", "quantity bigint")
+        self.left = handle.getValueState("left", "quantity bigint, timer bigint")
         self.waiting = handle.getListState("waiting", "at bigint, request_id bigint, quantity bigint")
 
     def _horizon(self, timers) -> int:
         watermark = timers.getCurrentWatermarkInMs()
         return watermark * 1000 + self.ahead_us if watermark > 0 else NEVER
 
-    def _decided(self, key: tuple, requests: list[tuple], late: bool) -> pd.DataFrame:
-        left = self.left.get()[0]
+    def _settled(
+        self, key: tuple, state: tuple | None, opening: int, fired: bool, new: list[tuple], late: list[tuple], horizon: int
+    ) -> Iterator[pd.DataFrame]:
+        """Decides what the horizon has passed, then the late ones; keeps the rest and sets the timer to its first."""
+        left, timer = (opening, 0) if state is None else map(int, state)
+        known = [] if state is None else [tuple(map(int, r)) for r in self.waiting.get()]
+        ready = [r for r in known + new if r[0] <= horizon]
+        rest = [r for r in known + new if r[0] > horizon]
         rows = []
-        for _, request_id, quantity in sorted(requests):
-            accepted = 0 < quantity <= left
-            left -= quantity if accepted else 0
-            rows.append((*key, request_id, quantity, accepted, left, late))
-        self.left.update((left,))
-        return pd.DataFrame(rows, columns=["item_id", "warehouse_id", "request_id", "quantity", "accepted", "stock_after", "late"])
-
-    def _settled(self, key: tuple, waiting: list[tuple], horizon: int) -> Iterator[pd.DataFrame]:
-        """Decides what the horizon has passed, keeps the rest and sets the timer to its first."""
-        ready = [r for r in waiting if r[0] <= horizon]
-        rest = [r for r in waiting if r[0] > horizon]
-        if rest:
+        for requests, is_late in ((ready, False), (late, True)):
+            for _, request_id, quantity in sorted(requests):
+                accepted = 0 < quantity <= left
+                left -= quantity if accepted else 0
+                rows.append((*key, request_id, quantity, accepted, left, is_late))
+        expiry = (min(rest)[0] - self.ahead_us) // 1000 + 1 if rest else 0
+        if rest and (new or ready):
             self.waiting.put(rest)
-            expiry = (min(rest)[0] - self.ahead_us) // 1000 + 1
-            set_already = list(self.handle.listTimers())
-            if expiry not in set_already:
-                for other in set_already:
-                    self.handle.deleteTimer(other)
-                self.handle.registerTimer(expiry)
-        else:
+        elif known and not rest:
             self.waiting.clear()
-        if ready:
-            yield self._decided(key, ready, False)
+        if expiry != timer:
+            if timer and not fired:
+                self.handle.deleteTimer(timer)
+            if expiry:
+                self.handle.registerTimer(expiry)
+        if state is None or (left, expiry) != tuple(map(int, state)):
+            self.left.update((left, expiry))
+        if rows:
+            yield pd.DataFrame(
+                rows, columns=["item_id", "warehouse_id", "request_id", "quantity", "accepted", "stock_after", "late"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        horizon = self._horizon(timerValues)
-        known = [tuple(map(int, r)) for r in self.waiting.get()] if self.waiting.exists() else []
-        late: list[tuple] = []
+        horizon, opening = self._horizon(timerValues), 0
+        new: list[tuple] = []
         for frame in rows:
-            if not self.left.exists():
-                self.left.update((int(frame["stock_quantity"].iloc[0]),))
-            new = list(zip(frame["at"].astype(int), frame["request_id"].astype(int), frame["quantity"].astype(int)))
-            late += [r for r in new if r[0] <= horizon]
-            known += [r for r in new if r[0] > horizon]
-        yield from self._settled(key, known, horizon)
-        if late:
-            yield self._decided(key, late, True)
+            if not new:
+                opening = int(frame["stock_quantity"].iloc[0])
+            new += zip(*(frame[c].astype(int).tolist() for c in ("at", "request_id", "quantity")))
+        late = [r for r in new if r[0] <= horizon]
+        yield from self._settled(key, self.left.get(), opening, False, [r for r in new if r[0] > horizon], late, horizon)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(map(int, r)) for r in self.waiting.get()] if self.waiting.exists() else []
-        yield from self._settled(key, waiting, self._horizon(timerValues))
+        yield from self._settled(key, self.left.get(), 0, True, [], [], self._horizon(timerValues))
 
     def close(self) -> None:
         pass

@@ -443,3 +443,34 @@ def test_redelivered_changes_count_once(spark, folder):
         stream = read_changes(spark, source, max_files_per_trigger=1)
         cdc.start_totals(stream, path, folder(mark)).awaitTermination()
         assert tuple(cdc.read_totals(spark, path).first()) == ("W", 1, 3)
+
+
+def test_an_item_takes_few_round_trips_a_batch():
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def __getattr__(self, call):
+            return lambda *a: calls.append((self.name, call)) or (
+                self.value if call == "get" and self.value else iter(()) if self.name == "waiting" and call == "get"
+                else [] if call == "listTimers" else False if call == "exists" else None)
+
+    class Handle(State):
+        def getValueState(self, name, _):
+            return State(name)
+
+        getListState = getValueState
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    item = ship._Shipping(0, 10)
+    item.init(Handle("handle"))
+    rows = pd.DataFrame({"at": [10_000, 20_000], "request_id": [1, 2], "quantity": [3, 4], "stock_quantity": [5, 5]})
+    assert list(item.handleInputRows(("A", "W"), iter([rows]), Clock())) == []
+    assert [c for c in calls if c[1] in ("update", "put", "registerTimer")] == [
+        ("waiting", "put"), ("handle", "registerTimer"), ("left", "update")]
+    assert len(calls) == 4  # and one look at the state
