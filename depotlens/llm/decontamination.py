@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.llm import kept
 from depotlens.llm.shingles import LENGTH, shingle_hashes, word_hashes
 
 SIMILARITY = 0.8
@@ -254,7 +255,7 @@ Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def _reporting(items: list[tuple[int, str]]) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(items)
-        for batch in batches:
+        for batch in kept.pieces(batches):
             ids, at = batch.column("doc_id").to_pylist(), 0
             for part in _parts(batch.column("text").to_pylist()):
                 rows = [
@@ -265,6 +266,7 @@ def _reporting(items: list[tuple[int, str]]) -> Task:
                 at += len(part)
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        kept.only(None)
 
     return run
 
@@ -289,11 +291,12 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _filtering(items: list[tuple[int, str]]) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(items)
-        for batch in batches:
+        for batch in kept.pieces(batches):
             clean: list[bool] = []
             for part in _parts(batch.column("text").cast(pa.string()).to_pylist()):
                 clean += [not leaks for leaks in searcher.leaks(part)]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        kept.only(None)
 
     return run
 

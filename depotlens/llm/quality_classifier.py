@@ -67,7 +67,7 @@ def measures(text: str) -> np.ndarray:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept.only(None)
-    for batch in batches:
+    for batch in kept.pieces(batches):
         rows = [measures(t or "").astype(np.float32) for t in batch.column("text").to_pylist()]
         flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.float32))
         offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(MEASURES))
@@ -203,7 +203,7 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept.only(None)
-        for batch in batches:
+        for batch in kept.pieces(batches):
             texts = batch.column("text").cast(pa.string()).to_pylist()
             if texts:
                 good = model.scores(np.stack([measures(t or "").astype(np.float32) for t in texts])) >= least

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -321,3 +322,17 @@ def test_another_operator_frees_what_a_worker_remembers():
         list(task(iter([])))
         assert token_output.word_encoder.cache_info().currsize == 0
         assert bool(shingles._hashes()) == words_stay
+
+
+def test_finished_tasks_hold_no_words_and_texts_are_taken_in_pieces(monkeypatch):
+    from depotlens.llm import decontamination, near_dedup, shingles
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3_000)), "text": [f"some words of text {i}" for i in range(3_000)]})
+    seen, leaks = [], decontamination.Searcher.leaks
+    monkeypatch.setattr(decontamination.Searcher, "leaks", lambda self, texts: seen.append(len(texts)) or leaks(self, texts))
+    found = list(decontamination._filtering([(1, "an item of the benchmark with words")])(iter([batch])))
+    assert sum(b.num_rows for b in found) == sum(seen) == 3_000 and max(seen) <= 512
+    assert not shingles._hashes()
+    pairs = pa.RecordBatch.from_pydict({"a": [2], "b": [1], "text_a": ["one two three"], "text_b": ["one two three"]})
+    assert [b["similarity"].to_pylist() for b in near_dedup._compared(iter([pairs]))] == [[1.0]]
+    assert not shingles._hashes()
