@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from depotlens.llm.hot_keys import lookup
 from depotlens.operators.skew import ordered_positions
-from depotlens.session import written_table
+from depotlens.session import new_folder, written_table, written_to
 
 #: Conversations that share a first one, and remainders of the checksum that say how many turns they take.
 FAMILY, HEADS = 20, 4
@@ -127,44 +127,38 @@ def subtree_totals(tree: DataFrame, values: Sequence[str]) -> DataFrame:
     ``tree``: ``node, parent`` (null for a root) and the values as long; every parent is a node.
     """
     edges = [f"edge_{v}" for v in values]
-    state = written_table(tree.select(
+    state = tree.select(
         "node", "parent", *[F.col(v).cast("long").alias(v) for v in values],
-        *[F.lit(0).cast("long").alias(e) for e in edges]), "trie-state")
+        *[F.lit(0).cast("long").alias(e) for e in edges])
     kids = state.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
-    state = state.join(kids, "node", "left").withColumn("kids", F.coalesce("kids", F.lit(0)))
-    state = written_table(state, "trie-state")
-    raked, spliced, number = [], [], 0
+    state = state.join(kids, "node", "left").withColumn("leaf", F.col("kids").isNull()).drop("kids")
+    folder, number = new_folder(tree.sparkSession, "trie-rounds"), 0
     while True:
         number += 1
-        leaf = F.col("kids") == 0
-        raked.append(state.filter(leaf).select("node", *values))
+        leaf = F.col("leaf")
         given = state.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
             *[F.sum(F.when(leaf, F.col(v) + F.col(e)).otherwise(0)).alias(f"from_{v}") for v, e in zip(values, edges)],
             F.count_if(~leaf).alias("left"), F.max(F.when(~leaf, F.struct("node", *edges))).alias("child"))
-        state = state.filter(~leaf).join(given, "node").select(
-            "node", "parent", *[(F.col(v) + F.col(f"from_{v}")).alias(v) for v in values], *edges,
-            F.col("left").alias("kids"), F.when(F.col("left") == 1, F.col("child")).alias("child"))
+        state = state.join(given, "node", "left").select(
+            "node", "parent", *[(F.col(v) + F.coalesce(f"from_{v}", F.lit(0))).alias(v) for v in values], *edges,
+            "leaf", F.coalesce("left", F.lit(0)).alias("left"), F.when(F.col("left") == 1, F.col("child")).alias("child"))
         least = [F.xxhash64(F.lit(number), c) for c in ("node", "parent", "child.node")]
         going = F.col("child").isNotNull() & F.col("parent").isNotNull() & (least[0] < least[1]) & (least[0] < least[2])
-        state = written_table(state.withColumn("going", going), "trie-round")
-        if state.isEmpty():
+        state = written_to(state.withColumn("going", going), f"{folder}/round={number}")
+        stays = state.filter("NOT leaf")
+        if stays.isEmpty():
             break
-        gone = state.filter("going")
-        spliced.append(gone.select("node", F.col("child.node").alias("next"), *[
-            (F.col(v) + F.col(f"child.{e}")).alias(v) for v, e in zip(values, edges)]))
-        moved = gone.select(F.col("child.node").alias("node"), F.col("parent").alias("above"), *[
+        moved = stays.filter("going").select(F.col("child.node").alias("node"), F.col("parent").alias("above"), *[
             (F.col(v) + F.col(e)).alias(f"more_{v}") for v, e in zip(values, edges)])
-        state = state.filter("NOT going").join(moved, "node", "left").select(
+        state = stays.filter("NOT going").join(moved, "node", "left").select(
             "node", F.coalesce("above", "parent").alias("parent"), *values,
-            *[(F.col(e) + F.coalesce(f"more_{v}", F.lit(0))).alias(e) for v, e in zip(values, edges)], "kids")
-    total = raked[0]
-    for more in raked[1:]:
-        total = total.unionByName(more)
-    records = spliced[0] if spliced else None
-    for more in spliced[1:]:
-        records = records.unionByName(more)
-    if records is None:
-        return total
+            *[(F.col(e) + F.coalesce(f"more_{v}", F.lit(0))).alias(e) for v, e in zip(values, edges)],
+            (F.col("left") == 0).alias("leaf"))
+    # every node left in one round, raked or spliced; all rounds are one scan, however many there were
+    rounds = tree.sparkSession.read.schema(state.schema).parquet(folder)
+    total = rounds.filter("leaf").select("node", *values)
+    records = rounds.filter("going").select("node", F.col("child.node").alias("next"), *[
+        (F.col(v) + F.col(f"child.{e}")).alias(v) for v, e in zip(values, edges)])
     records = written_table(records, "trie-spliced")
     for _ in range(ceil(log2(number + 1))):  # a record points to a later round, so chains are shorter than the rounds
         ahead = records.select(F.col("node").alias("next"), F.col("next").alias("far"), *[F.col(v).alias(f"far_{v}") for v in values])
