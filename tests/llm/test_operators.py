@@ -407,6 +407,36 @@ def test_planted_passages_across_documents_show_as_spans(spark):
     assert [found[k] for k in range(36)] == planted
 
 
+def _shuffled_bytes(spark):
+    """Bytes that every stage so far has written for other stages."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(
+        none, False, False, gateway.new_array(jvm.double, 0), none).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
+def test_texts_with_repeats_move_once(spark):
+    rng = np.random.default_rng(10)
+    random_text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passages = [random_text(500) for _ in range(10)]
+    data = [(k, random_text(20_000) + chr(65 + k) + passages[k % 10] + chr(65 + k) + random_text(20_000)) for k in range(50)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").localCheckpoint()
+    setting = "spark.sql.autoBroadcastJoinThreshold"  # a real table is not broadcast
+    usual, before = spark.conf.get(setting), _shuffled_bytes(spark)
+    spark.conf.set(setting, "-1")
+    try:
+        found = rows(suffix_dedup.remove_repeats(docs))
+    finally:
+        spark.conf.set(setting, usual)
+    moved = _shuffled_bytes(spark) - before
+    assert [r["n_removed"] for r in found] == [500] * 50
+    assert moved < 2 * sum(len(text) for _, text in data)  # all texts once, then anchors and strings around shared ones
+
+
 def test_suffix_dedup_odd_and_empty(odd, empty):
     found = rows(suffix_dedup.remove_repeats(odd))
     assert len(found) == odd.count()
